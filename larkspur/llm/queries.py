@@ -6,8 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .cooccurrence import NOT_BLANK, PairTable, records
 from .similar_vectors import linked_pairs, similar_vectors
 from .sql import SQL as SQL
+from .term_frequency import banded, term_frequency
+
+KINDS = {"passage": "passage_hash_id_to_entities", "sentence": "sentence_to_entities"}
+
+
+def pair_table(spark: SparkSession, sf: str) -> tuple[PairTable, DataFrame]:
+    """The pair table after two loads: rows written in the first four fifths of the time, then all later ones."""
+    ner = table(spark, sf, "ner_results")
+    at = F.unix_micros(F.col("written_at").cast("timestamp"))
+    lo, hi = ner.agg(F.min(at), F.max(at)).first()
+    early = F.coalesce(at <= F.lit((lo or 0) + ((hi or 0) - (lo or 0)) * 4 // 5), F.lit(True))
+    counts, touched = PairTable(spark), None
+    for part in (ner.where(early), ner.where(~early)):
+        rows = [records(part, kind, col) for kind, col in KINDS.items()]
+        touched = counts.apply(rows[0].unionByName(rows[1]))
+    return counts, touched
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    counts, _ = pair_table(spark, sf)
+    return counts.scores(5, 5).select(F.col("kind").alias("record_kind"), F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))
+
+
+def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair with its counts and its lift."""
+    counts, _ = pair_table(spark, sf)
+    return counts.scores().select(
+        F.col("kind").alias("record_kind"), F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift")
+    )
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,6 +48,35 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _term_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Term sequences of both fields and the number of records of each field."""
+    entry = table(spark, sf, "ner_results").select(F.explode("passage_hash_id_to_entities").alias("record", "list")).distinct()
+    ner = entry.select(F.lit("ner_entity").alias("field"), "record", F.filter("list", lambda x: x.rlike(NOT_BLANK)).alias("terms"))
+    names = table(spark, sf, "entity_embedding").select("hash_id", "text").distinct()
+    words = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda x: x != "")
+    rows = ner.unionByName(names.select(F.lit("entity_term").alias("field"), F.col("hash_id").alias("record"), words.alias("terms")))
+    totals = rows.groupBy("field").agg(F.countDistinct("record").alias("total"))
+    return rows, totals
+
+
+def _term_bands(spark: SparkSession, sf: str, max_n: int) -> DataFrame:
+    rows, totals = _term_rows(spark, sf)
+    return banded(term_frequency(rows, "field", "record", "terms", max_n), totals, {"ner_entity": 0.03, "entity_term": 0.02})
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _term_bands(spark, sf, 1).where("band IS NOT NULL").select("field", F.col("gram")[0].alias("term"), "band")
+
+
+def p6_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences, records and band of every n-gram of up to three terms."""
+    return _term_bands(spark, sf, 3).select("field", "n", F.array_join("gram", "\x1f").alias("gram"), "occurrences", "records", F.coalesce("band", F.lit("")).alias("band"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p6_ngrams": p6_ngrams,
 }

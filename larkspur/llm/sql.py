@@ -2,4 +2,45 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_PAIRS = r"""
+WITH maps AS (
+  SELECT 'passage' AS k, unnest(map_entries(passage_hash_id_to_entities)) AS m FROM ner_results
+  UNION ALL SELECT 'sentence', unnest(map_entries(sentence_to_entities)) FROM ner_results),
+total AS (SELECT k, count(DISTINCT m.key) AS n FROM maps GROUP BY k),
+item AS (
+  SELECT DISTINCT k, r, e FROM (SELECT k, m.key AS r, unnest(m.value) AS e FROM maps)
+  WHERE regexp_matches(e, '[^\s\x{00a0}]')),
+one AS (SELECT k, e, count(*) AS n FROM item GROUP BY k, e),
+two AS (
+  SELECT x.k, x.e AS a, y.e AS b, count(*) AS n FROM item x JOIN item y ON x.k = y.k AND x.r = y.r AND x.e < y.e
+  GROUP BY ALL),
+scored AS (
+  SELECT two.k, a, b, two.n AS n_ab, p.n AS n_a, q.n AS n_b, total.n AS n FROM two
+  JOIN one p ON p.k = two.k AND p.e = a JOIN one q ON q.k = two.k AND q.e = b JOIN total ON total.k = two.k)
+"""
+
+_GRAMS = r"""
+WITH seqs AS (
+  SELECT DISTINCT 'ner_entity' AS field, m.key AS record, list_filter(m.value, lambda x: regexp_matches(x, '[^\s\x{00a0}]')) AS terms
+  FROM (SELECT DISTINCT unnest(map_entries(passage_hash_id_to_entities)) AS m FROM ner_results)
+  UNION ALL
+  SELECT DISTINCT 'entity_term', hash_id, list_filter(string_split_regex(lower(text), '[\s\x{00a0}]+'), lambda x: x <> '') FROM entity_embedding),
+total AS (SELECT field, count(DISTINCT record) AS total FROM seqs GROUP BY field),
+grams AS (
+  SELECT field, record, n, array_to_string(terms[p : p + n - 1], chr(31)) AS gram
+  FROM (SELECT field, record, terms, unnest(range(1, len(terms) + 1)) AS p FROM seqs), (SELECT unnest(range(1, {max_n} + 1)) AS n)
+  WHERE p + n - 1 <= len(terms)),
+counted AS (
+  SELECT field, n::INT AS n, gram, count(*) AS occurrences, count(DISTINCT record) AS records FROM grams GROUP BY ALL),
+marked AS (
+  SELECT counted.*, CASE WHEN records = 1 THEN 'rare'
+    WHEN records * 100 >= total * CASE field WHEN 'ner_entity' THEN 3 ELSE 2 END THEN 'common' ELSE '' END AS band
+  FROM counted JOIN total USING (field))
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": _PAIRS + "SELECT k AS record_kind, a AS entity_a, b AS entity_b FROM scored WHERE n_ab >= 5 AND n_ab * n >= 5 * n_a * n_b",
+    "p2_pairs": _PAIRS + "SELECT k AS record_kind, a AS entity_a, b AS entity_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift FROM scored",
+    "p6_found": _GRAMS.replace("{max_n}", "1") + "SELECT field, gram AS term, band FROM marked WHERE band <> ''",
+    "p6_ngrams": _GRAMS.replace("{max_n}", "3") + "SELECT field, n, gram, occurrences, records, band FROM marked",
+}
