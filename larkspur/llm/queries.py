@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .contamination import leaked_items
 from .cooccurrence import NOT_BLANK, PairTable, records
+from .mixing import mix
+from .reading_level import fit_limits, grades, is_english_prose, reading_levels
 from .similar_vectors import linked_pairs, similar_vectors
 from .sql import SQL as SQL
 from .term_frequency import banded, term_frequency
@@ -73,10 +76,42 @@ def p6_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return _term_bands(spark, sf, 3).select("field", "n", F.array_join("gram", "\x1f").alias("gram"), "occurrences", "records", F.coalesce("band", F.lit("")).alias("band"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "text").select("item_id", "doc_id")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    return mix(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "source_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of tokens each source reaches."""
+    return mix(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "source_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    limits = fit_limits(table(spark, sf, "graded_texts"), "text", "reading_level")
+    return reading_levels(table(spark, sf, "documents"), "doc_id", "text", limits).select(F.col("key").alias("doc_id"), "reading_level")
+
+
+def p9_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """The five grade estimates and their median for every English prose text."""
+    docs = table(spark, sf, "documents").where(is_english_prose(F.col("text")))
+    out = grades(docs, "doc_id", "text")
+    return out.select(F.col("key").alias("doc_id"), *[F.round(c, 3).alias(c) for c in out.columns[1:]])
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_ngrams": p6_ngrams,
+    "p7_found": p7_found,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_grades": p9_grades,
 }
