@@ -10,6 +10,7 @@ from .contamination import leaked_items
 from .cooccurrence import NOT_BLANK, PairTable, records
 from .mixing import mix
 from .reading_level import fit_limits, grades, is_english_prose, reading_levels
+from .sentences import split_sentences
 from .similar_vectors import linked_pairs, similar_vectors
 from .sql import SQL as SQL
 from .term_frequency import banded, term_frequency
@@ -51,6 +52,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [
+        split_sentences(table(spark, sf, f"{s}_embedding"), "hash_id", "text", indexed=s == "passage").select(F.lit(s).alias("store"), "*")
+        for s in ("passage", "sentence")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _term_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Term sequences of both fields and the number of records of each field."""
     entry = table(spark, sf, "ner_results").select(F.explode("passage_hash_id_to_entities").alias("record", "list")).distinct()
@@ -107,6 +116,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_ngrams": p6_ngrams,
     "p7_found": p7_found,
