@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 INNER = set(
     "dr mr mrs ms prof rev capt col gen lt sgt hon gov sen rep st mt ft fig figs no nos vol vols pp ch sec ed eds cf vs viz approx e.g i.e eg ie "
     "jan feb mar apr jun jul aug sept sep oct nov dec up pt "
-    "nr z b d h z.b d.h ca bzw bsp str hr frl "
+    "nw lk cp mtn nr z b d h z.b d.h ca bzw bsp str hr frl "
     "m mm mme mlle env av p.ex "
     "sr sra srta ud uds aprox pág núm "
     "проф ул им тов гг стр рис см т.е т.н "
@@ -57,7 +57,7 @@ _TOKEN = regex.compile(
 _END = regex.compile(r"(?P<t>[\p{SB=STerm}\p{SB=ATerm}…]+)(?:\s?[»]|" + _CLOSE + r")*$")
 _STERM = regex.compile(r"[\p{SB=STerm}]")
 _WORD_BEFORE = regex.compile(
-    r"(?r)(?:[\p{Latin}\p{N}\p{Mn}.'’&-]+|[\p{Cyrillic}.-]+|[\p{Greek}.]+|[\p{Devanagari}\p{M}.]+|[\p{Arabic}.]+)"
+    r"(?r)(?:[\p{Latin}\p{N}̀-ͯ.'’&-]+|[\p{Cyrillic}.-]+|[\p{Greek}.]+|[\p{Devanagari}\p{M}.]+|[\p{Arabic}.]+)"
 )  # of one script, as names are glued to words in scripts without spaces
 _LOWER_WORD = regex.compile(r"(?r)(?<![\p{L}\p{N}.])(?:\p{Ll}{3,}|\d{3,})")
 _NAME_END = regex.compile(r"(?r)(?<![\p{L}.])\p{Lu}\p{Ll}{4,}")
@@ -92,7 +92,7 @@ def _after_dot(text: str, begin: int, dot: int, gap: bool, at: int) -> bool:
         return plain
     if nxt.islower():
         return dot - begin >= 4 and _plain_word(_LOWER_WORD, text, begin, dot) and text[dot - 4 : dot].isalnum()
-    if _goes_on(text, at):
+    if _goes_on(text, at) or nxt == "(" and text[at + 1 : at + 2].islower():
         return False
     m = _WORD_BEFORE.search(text, begin, dot)
     if m is None or m.end() != dot:
