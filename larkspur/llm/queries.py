@@ -9,6 +9,7 @@ from ..session import table
 from .contamination import leaked_items
 from .cooccurrence import NOT_BLANK, PairTable, records
 from .mixing import mix
+from .pair_defects import pair_defects
 from .reading_level import fit_limits, grades, is_english_prose, reading_levels
 from .sentences import split_sentences
 from .similar_vectors import linked_pairs, similar_vectors
@@ -18,6 +19,19 @@ from .term_frequency import banded, term_frequency
 KINDS = {"passage": "passage_hash_id_to_entities", "sentence": "sentence_to_entities"}
 
 
+def p1_defects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every triggered defect of every answer."""
+    fields = ["pred_answer", "gold_answer", "llm_judge_answer"]
+    found = pair_defects(table(spark, sf, "predictions"), "pred_id", "question", "gold_answer", fields, "llm_judge_answer")
+    return found.select(F.col("key").alias("pred_id"), "field", F.explode("defects").alias("defect")).distinct()
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ["pred_answer", "gold_answer", "llm_judge_answer"]
+    found = pair_defects(table(spark, sf, "predictions"), "pred_id", "question", "gold_answer", fields, "llm_judge_answer")
+    return found.select(F.col("key").alias("pred_id"), "field", F.col("defects")[0].alias("defect")).distinct()
+
+
 def pair_table(spark: SparkSession, sf: str) -> tuple[PairTable, DataFrame]:
     """The pair table after two loads: rows written in the first four fifths of the time, then all later ones."""
     ner = table(spark, sf, "ner_results")
@@ -113,6 +127,8 @@ def p9_grades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_defects": p1_defects,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
