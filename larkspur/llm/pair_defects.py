@@ -36,7 +36,7 @@ _NO_ANSWER = r"(?i)^(?:the (?:passages?|context|text|documents?) (?:do(?:es)? no
 _REFUSAL = (
     r"(?i)\bi(?:['’]m| am)? (?:can(?:no|['’])?t|cannot|can not|not able|unable|would rather not|must decline|decline|have to decline|don['’]?t have|do not have|refuse|won['’]t|will not)\b"
     r"|\bi(?:['’]m| am) (?:sorry|afraid),? (?:but )?(?:i|no|there|it|that)\b|\b(?:isn['’]t|is not|not) possible for me\b|\b(?:not|n['’]t) enough (?:information|context|evidence)\b"
-    r"|\bno answer can be given\b|\bunable to (?:answer|evaluate|assess|judge|determine|say|help|rate)\b|\bmust decline\b|\bas an? (?:ai|assistant|evaluator|language model)\b"
+    r"|\bno answer can be given\b|\bunable to (?:answer|evaluate|assess|judge|determine|say|help|rate)\b|\bmust decline\b|^as an? (?:ai|assistant|evaluator|language model)\b"
     r"|\bcannot (?:answer|assess|judge|rate|evaluate) (?:this|that|the)\b"
     r"|\bkann ich (?:diese|die|ihre|das)?[^.]{0,30}nicht (?:beantworten|sagen|bewerten)|\bliegen mir[^.]{0,40}\bkeine\b|\btut mir leid\b|\bich kann[^.]{0,40}\bnicht\b"
     r"|\bje ne (?:peux|puis|dispose|sais|suis) pas\b|\bje regrette\b|\bje suis désolé|\bil m['’]est impossible\b"
@@ -164,10 +164,14 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
     )
     verdict_cut = verdict & F.col("ask").isNotNull() & F.lit("incorrect").startswith(body) | verdict & F.lit("correct").startswith(body)
     cut_word = F.col("ask").isNotNull() & F.col("is_word").isNull() & F.col("is_stem").isNotNull()
+    told = tidy(F.col("gold"))  # stops inside a word of the right answer
+    cut_gold = F.coalesce(
+        open_ended & (F.length(body) >= 3) & (F.col("field") != gold) & F.startswith(told, body) & F.substring(told, F.length(body), F.lit(2)).rlike(r"^\p{L}\p{L}$"), F.lit(False)
+    )
     cut_text = F.col("ask_pair").isNotNull() & F.col("is_end").isNull()
     whole = F.coalesce(body == tidy(F.col("gold")), F.lit(False)) & (F.col("field") != gold)
     full_verdict = body.isin("correct", "incorrect")
-    truncated = (F.col("unclosed") | hard_stop | dangling | cut_word | cut_text | (verdict_cut & (F.length(body) >= 3))) & ~whole & ~(verdict & full_verdict)
+    truncated = (F.col("unclosed") | hard_stop | dangling | cut_word | cut_gold | cut_text | (verdict_cut & (F.length(body) >= 3))) & ~whole & ~(verdict & full_verdict)
 
     lang = F.lit("en")
     for name, pattern in _QUESTION.items():
