@@ -9,6 +9,7 @@ from ..session import table
 from .contamination import leaked_items
 from .cooccurrence import NOT_BLANK, PairTable, records
 from .mixing import mix
+from .name_variants import name_sets, variant_pairs
 from .pair_defects import pair_defects
 from .reading_level import fit_limits, grades, is_english_prose, reading_levels
 from .sentences import split_sentences
@@ -66,6 +67,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    sets = name_sets(table(spark, sf, "entity_embedding"), "hash_id", "text", table(spark, sf, "nicknames"))
+    return variant_pairs(sets)
+
+
+def p4_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """The set of every name, named by its smallest member, and the set's size."""
+    sets = name_sets(table(spark, sf, "entity_embedding"), "hash_id", "text", table(spark, sf, "nicknames"))
+    whole = sets.groupBy("entity").agg(F.min("id").alias("set_id"), F.count("*").alias("set_size"))
+    return sets.join(whole, "entity").select(F.col("id").alias("hash_id"), "set_id", "set_size")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
         split_sentences(table(spark, sf, f"{s}_embedding"), "hash_id", "text", indexed=s == "passage").select(F.lit(s).alias("store"), "*")
@@ -132,6 +145,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_sets": p4_sets,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_ngrams": p6_ngrams,
