@@ -1,6 +1,319 @@
-"""Registered queries of the core and their SQL counterparts."""
+"""Registered queries of the core, over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import Config
+from .functions import text as tx
+from .operators import graph, ppr, prior, propagate, search
+from .plans import answer, retrieve
+from .providers import first_passage, same_text_judge
+from .session import table, work_path
+from .sources import stores
+from .sql import ALPHAS, STEPS, SYSTEM
+from .sql import SQL as SQL
+from .streaming.incremental import follow
+
+CONFIG = Config(ppr_steps=STEPS)
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "predictions").where("question IS NOT NULL")
+    return rows.groupBy("question").agg(F.max("gold_answer").alias("answer")).select(tx.content_id("question", F.col("question")).alias("question_id"), "question", "answer")
+
+
+def _index(spark: SparkSession, sf: str) -> retrieve.Index:
+    return retrieve.Index(table(spark, sf, "passage_embedding"), table(spark, sf, "ner_results"), table(spark, sf, "entity_embedding"), CONFIG)
+
+
+def _near(spark: SparkSession, sf: str, index: retrieve.Index) -> DataFrame:
+    sims = search.question_sims(_questions(spark, sf), index.sentences, "sentence_id", "text", CONFIG.max_term_share)
+    return propagate.question_sentences(sims, index.sentence_entities)
+
+
+def _seeds(spark: SparkSession, sf: str, index: retrieve.Index) -> DataFrame:
+    return search.seeds(search.question_entities(_questions(spark, sf)), index.entities, CONFIG.max_term_share)
+
+
+def passage_index(spark, sf):
+    return table(spark, sf, "passage_embedding").select("hash_id", tx.leading_index(F.col("text")).alias("idx")).distinct()
+
+
+def passage_hash(spark, sf):
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", tx.content_id("passage", tx.indexed_chunk(F.col("doc_id"), F.col("text"))).alias("hash_id"))
+
+
+def distinct_entities(spark, sf):
+    return graph.mentions(table(spark, sf, "ner_results"))
+
+
+def sentence_entities(spark, sf):
+    return graph.sentence_entities(table(spark, sf, "ner_results"))
+
+
+def label_filter(spark, sf):
+    words = table(spark, sf, "passage_embedding").select("hash_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    return words.select("hash_id", "w", tx.entity_label(F.col("w")).alias("label")).where(~F.col("label").isin(*tx.NO_ANSWER_LABELS)).groupBy("hash_id").agg(F.count("*").alias("kept"))
+
+
+def cooccur_counts(spark, sf):
+    return prior.cooccurrence(graph.sentence_entities(table(spark, sf, "ner_results")))
+
+
+def cooccur_pruned(spark, sf):
+    return prior.prune(cooccur_counts(spark, sf))
+
+
+def entity_knn(spark, sf):
+    return prior.entity_knn(table(spark, sf, "entity_embedding"), CONFIG.knn_k)
+
+
+def lsh_knn(spark, sf):
+    return prior.lsh_knn(table(spark, sf, "entity_embedding"), CONFIG.knn_k)
+
+
+def fused_neighbors(spark, sf):
+    return _index(spark, sf).neighbours_of([CONFIG.cooccur_alpha])
+
+
+def alpha_sweep_neighbors(spark, sf):
+    return _index(spark, sf).neighbours_of(ALPHAS)
+
+
+def neighbor_stats(spark, sf):
+    index = _index(spark, sf)
+    return prior.neighbour_stats(index.neighbours_of(ALPHAS), index.entities)
+
+
+def mention_edges(spark, sf):
+    index = _index(spark, sf)
+    return graph.mention_edges(index.passages, index.mentions).withColumn("weight", F.round("weight", 9))
+
+
+def adjacent_edges(spark, sf):
+    return graph.adjacent_edges(_index(spark, sf).passages)
+
+
+def graph_vertices(spark, sf):
+    index = _index(spark, sf)
+    return graph.vertices(index.passages, index.mentions)
+
+
+def graph_edges(spark, sf):
+    index = _index(spark, sf)
+    return graph.edges(graph.mention_edges(index.passages, index.mentions), graph.adjacent_edges(index.passages)).withColumn("weight", F.round("weight", 9))
+
+
+def transition_matrix(spark, sf):
+    return _index(spark, sf).transitions.withColumn("p", F.round("p", 9))
+
+
+def question_entities(spark, sf):
+    return search.question_entities(_questions(spark, sf))
+
+
+def seed_entities(spark, sf):
+    return _seeds(spark, sf, _index(spark, sf))
+
+
+def question_sentence_sim(spark, sf):
+    return search.question_sims(_questions(spark, sf), _index(spark, sf).sentences, "sentence_id", "text", CONFIG.max_term_share)
+
+
+def dense_topk(spark, sf):
+    sims = search.question_sims(_questions(spark, sf), _index(spark, sf).passages, "hash_id", "text", CONFIG.max_term_share)
+    return search.dense_topk(sims, "hash_id", CONFIG.retrieval_top_k).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _first_hop(spark, sf):
+    index = _index(spark, sf)
+    c = CONFIG
+    pick, step = propagate.semantic_hop(_seeds(spark, sf, index), None, _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence)
+    return index, pick, step
+
+
+def hop1_semantic(spark, sf):
+    return _first_hop(spark, sf)[2].withColumn("next", F.round("next", 9))
+
+
+def hop1_structural(spark, sf):
+    index, _, step = _first_hop(spark, sf)
+    reached = step.groupBy("question_id", F.col("dst").alias("entity_id")).agg(F.max_by("next", F.struct("src", "sentence_id")).alias("score"))
+    return propagate.structural_hop(reached, index.neighbours, CONFIG.iteration_threshold).withColumn("score", F.round("score", 9))
+
+
+def _propagated(spark, sf):
+    index = _index(spark, sf)
+    c = CONFIG
+    return propagate.propagate(_seeds(spark, sf, index), _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence, c.max_iterations)
+
+
+def propagate_sync(spark, sf):
+    active, _ = _propagated(spark, sf)
+    return active.withColumn("score", F.round("score", 9))
+
+
+def evidence_sync(spark, sf):
+    return _propagated(spark, sf)[1].withColumn("weight", F.round("weight", 9))
+
+
+def propagate_matrix(spark, sf):
+    index = _index(spark, sf)
+    c = CONFIG
+    out = propagate.propagate_matrix(_seeds(spark, sf, index), _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence, c.max_iterations)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
+def propagate_exact(spark, sf):
+    index = _index(spark, sf)
+    c = CONFIG
+    return propagate.propagate_exact(_seeds(spark, sf, index), _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence, c.max_iterations)
+
+
+def entity_occurrences(spark, sf):
+    return _index(spark, sf).occurrences
+
+
+def entity_bonus(spark, sf):
+    index = _index(spark, sf)
+    active, _ = _propagated(spark, sf)
+    return search.entity_bonus(active, index.occurrences).withColumn("bonus", F.round("bonus", 6))
+
+
+def passage_scores(spark, sf):
+    index = _index(spark, sf)
+    active, _, sims = retrieve.propagated(index, _questions(spark, sf))
+    return retrieve.scored_passages(index, _questions(spark, sf), active, sims).withColumn("score", F.round("score", 6))
+
+
+def attribute_boost(spark, sf):
+    index = _index(spark, sf)
+    q = _questions(spark, sf)
+    sims = search.question_sims(q, index.passages, "hash_id", "text", CONFIG.max_term_share)
+    return search.attribute_boost(q, index.passages, sims, CONFIG.attribute_keywords, CONFIG.hybrid_attribute_boost).withColumn("boost", F.round("boost", 9))
+
+
+def ppr_scores(spark, sf):
+    """Rank of every vertex from each question's seeds."""
+    index = _index(spark, sf)
+    reset = ppr.clean_reset(_seeds(spark, sf, index).select("question_id", F.col("entity_id").alias("id"), F.col("score").alias("weight")))
+    return ppr.pagerank(reset, index.transitions, CONFIG.damping, CONFIG.ppr_steps).withColumn("rank", F.round("rank", 6)).where("rank > 0")
+
+
+def retrieve_topk(spark, sf):
+    out = retrieve.retrieve(_index(spark, sf), _questions(spark, sf))
+    return out.select("question_id", F.col("rank").cast("bigint").alias("rank"), "hash_id", F.round("score", 6).alias("score"))
+
+
+def retrieval_nested(spark, sf):
+    index = _index(spark, sf)
+    q = _questions(spark, sf)
+    sims = search.question_sims(q, index.passages, "hash_id", "text", CONFIG.max_term_share)
+    best = search.dense_topk(sims, "hash_id", CONFIG.retrieval_top_k).withColumnRenamed("sim", "score")
+    return retrieve.nested(best, q, index.passages)
+
+
+def normalize_answer(spark, sf):
+    return table(spark, sf, "predictions").select("pred_id", tx.normalize_answer(F.col("pred_answer")).alias("normal"))
+
+
+def contain_accuracy(spark, sf):
+    return table(spark, sf, "predictions").select("pred_id", tx.contains_gold(F.col("pred_answer"), F.col("gold_answer")).alias("contain"))
+
+
+def extract_answer(spark, sf):
+    return table(spark, sf, "predictions").where("pred_answer IS NOT NULL").select("pred_id", tx.extract_answer(F.col("pred_answer")).alias("answer"))
+
+
+def judge_verdict(spark, sf):
+    score, kept = tx.judge_verdict(F.col("llm_judge_answer"))
+    return table(spark, sf, "predictions").where("llm_judge_answer IS NOT NULL").select("pred_id", score.alias("score"), kept.alias("verdict"))
+
+
+def accuracy_summary(spark, sf):
+    return answer.summary(table(spark, sf, "predictions").dropDuplicates(["pred_id"]), ["dataset_name"])
+
+
+def pending_rows(spark, sf):
+    return answer.pending(table(spark, sf, "predictions")).select("pred_id").distinct()
+
+
+def failed_rows(spark, sf):
+    p = table(spark, sf, "predictions")
+    both = [answer.failed(p, c, f).select("pred_id", F.lit(c).alias("stage")) for c, f in (("pred_answer", answer.ANSWER_FLAGS), ("llm_judge_answer", answer.JUDGE_FLAGS))]
+    return both[0].unionByName(both[1]).distinct()
+
+
+def percent_parse(spark, sf):
+    raw = F.when(F.col("llm_accuracy").isNull(), "n/a").otherwise(F.concat((F.col("llm_accuracy") * 100).cast("int").cast("string"), F.lit("%")))
+    return table(spark, sf, "predictions").select("pred_id", tx.percent(raw).alias("value"))
+
+
+def _ledger(spark, sf):
+    p = table(spark, sf, "predictions").dropDuplicates(["pred_id"]).withColumn("alpha", F.round((F.col("pred_id") % 21) * 0.05, 2))
+    return p.groupBy(F.col("alpha").alias("cooccur_alpha")).agg(
+        F.lit(5).alias("top_k_entity_cooccur"), F.round(F.avg("llm_accuracy"), 6).alias("EM"), F.round(F.avg("contain_accuracy"), 6).alias("Contain_Acc"), F.lit("run").alias("result_dir")
+    )
+
+
+def best_alpha(spark, sf):
+    return answer.best_run(_ledger(spark, sf))
+
+
+def alphas_pending(spark, sf):
+    grid = spark.createDataFrame([(a,) for a in tx.alpha_grid()], "alpha double")
+    return answer.pending_alphas(grid, _ledger(spark, sf).where("EM > 0.55"))
+
+
+def new_passages_anti(spark, sf):
+    texts = table(spark, sf, "ner_results").select(F.explode(F.map_keys("sentence_to_entities")).alias("text"))
+    return stores.new_texts(texts, table(spark, sf, "sentence_embedding"), "sentence")
+
+
+def merge_union(spark, sf):
+    out = stores.merge_ner(table(spark, sf, "ner_results"), "passage_hash_id_to_entities")
+    return out.select("key", F.array_join("entities", "|").alias("entities"))
+
+
+def merge_override(spark, sf):
+    out = stores.override_ner(table(spark, sf, "ner_results"), "passage_hash_id_to_entities", "written_at")
+    return out.select("key", F.array_join("entities", "|").alias("entities"))
+
+
+def prompt_messages(spark, sf):
+    p = table(spark, sf, "predictions").dropDuplicates(["pred_id"])
+    m = tx.chat_messages(SYSTEM, F.coalesce("sorted_passage", F.array().cast("array<string>")), F.col("question"))
+    return p.select("pred_id", F.md5(m[1]["content"].cast("binary")).alias("content_md5"), F.length(m[1]["content"]).cast("bigint").alias("chars"))
+
+
+def qa_pipeline(spark, sf):
+    """Missing and failed answers are produced, then judged, by the built-in stand-ins for models."""
+    p = table(spark, sf, "predictions").dropDuplicates(["pred_id"]).select("pred_id", "question", "sorted_passage", "gold_answer", "pred_answer", "llm_judge_answer", "llm_accuracy", "contain_accuracy")
+    done = answer.judge(answer.answer(p, first_passage, 1), same_text_judge, 1)
+    return done.select("pred_id", "pred_answer", "llm_judge_answer", "llm_accuracy", "contain_accuracy")
+
+
+def incremental_index(spark, sf):
+    """The store after the passages' texts arrived as a stream of files, twice."""
+    src, store = work_path(spark, "arriving"), work_path(spark, "store")
+    texts = table(spark, sf, "passage_embedding").select("text")
+    texts.repartition(2).write.parquet(src)
+    for _ in range(2):
+        follow(spark, src, store, work_path(spark, "stream")).awaitTermination()
+    return spark.read.schema(stores.STORE).parquet(store).select("hash_id", "text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        passage_index, passage_hash, distinct_entities, sentence_entities, label_filter, cooccur_counts, cooccur_pruned, entity_knn, lsh_knn, fused_neighbors,
+        alpha_sweep_neighbors, neighbor_stats, mention_edges, adjacent_edges, graph_vertices, graph_edges, transition_matrix, question_entities, seed_entities,
+        question_sentence_sim, dense_topk, hop1_semantic, hop1_structural, propagate_sync, evidence_sync, propagate_matrix, propagate_exact, entity_occurrences,
+        entity_bonus, passage_scores, attribute_boost, ppr_scores, retrieve_topk, retrieval_nested, normalize_answer, contain_accuracy, extract_answer, judge_verdict,
+        accuracy_summary, pending_rows, failed_rows, percent_parse, best_alpha, alphas_pending, new_passages_anti, merge_union, merge_override, prompt_messages,
+        qa_pipeline, incremental_index,
+    )
+}
