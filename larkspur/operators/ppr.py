@@ -19,21 +19,24 @@ def clean_reset(reset: DataFrame) -> DataFrame:
 def pagerank(reset: DataFrame, transition: DataFrame, damping: float = 0.5, steps: int = 20, cut_every: int = 4) -> DataFrame:
     """``question_id, id, rank``: fixed number of power iterations; the L1 error is at most ``2 * damping**steps``.
 
-    Mass at vertices without edges returns to the reset. `reset` has ``question_id, id, mass``.
+    Mass at vertices without edges returns to the reset. `reset` has ``question_id, id, mass``. The iterations run on
+    64-bit codes of the keys, which are a third of the keys' size; the keys are joined back once at the end.
     """
-    x = reset.select("question_id", "id", F.col("mass").alias("rank"))
-    out = transition.select(F.col("src").alias("id"), "dst", "p")
+    q, v = F.xxhash64("question_id").alias("q"), F.xxhash64("id").alias("v")
+    start = cut(reset.select(q, v, "mass"))
+    out = cut(transition.select(F.xxhash64("src").alias("v"), F.xxhash64("dst").alias("d"), "p"))
+    x = start.select("q", "v", F.col("mass").alias("rank"))
     for step in range(1, steps + 1):
-        flow = x.join(out, "id").select("question_id", F.col("dst").alias("id"), (F.col("rank") * F.col("p")).alias("rank"))
-        flow = flow.groupBy("question_id", "id").agg(F.sum("rank").alias("rank"))
-        kept = flow.groupBy("question_id").agg(F.sum("rank").alias("kept"))
-        back = reset.join(kept, "question_id", "left").select(
-            "question_id", "id", (F.col("mass") * (1 - damping + damping * F.greatest(1 - F.coalesce("kept", F.lit(0.0)), F.lit(0.0)))).alias("rank")
+        flow = x.join(out, "v").groupBy("q", F.col("d").alias("v")).agg(F.sum(F.col("rank") * F.col("p")).alias("rank"))
+        kept = x.join(out.select("v").distinct(), "v", "left_semi").groupBy("q").agg(F.sum("rank").alias("kept"))
+        back = start.join(kept, "q", "left").select(
+            "q", "v", (F.col("mass") * (1 - damping + damping * F.greatest(1 - F.coalesce("kept", F.lit(0.0)), F.lit(0.0)))).alias("rank")
         )
-        x = flow.withColumn("rank", F.col("rank") * damping).unionByName(back).groupBy("question_id", "id").agg(F.sum("rank").alias("rank"))
-        if step % cut_every == 0 and step < steps:
+        x = flow.withColumn("rank", F.col("rank") * damping).unionByName(back).groupBy("q", "v").agg(F.sum("rank").alias("rank"))
+        if step % cut_every == 0 or step == steps:
             x = cut(x)
-    return x
+    ids = transition.select(F.col("src").alias("id")).unionByName(reset.select("id")).distinct().select(v, "id")
+    return x.join(reset.select(q, "question_id").distinct(), "q").join(ids, "v").select("question_id", "id", "rank")
 
 
 def with_common_base(special: DataFrame, special_mass: DataFrame, base: DataFrame, base_mass: float) -> DataFrame:

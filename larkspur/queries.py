@@ -10,7 +10,7 @@ from .functions import text as tx
 from .operators import graph, ppr, prior, propagate, search
 from .plans import answer, retrieve
 from .providers import first_passage, same_text_judge
-from .session import table, work_path
+from .session import cut, table, work_path
 from .sources import stores
 from .sql import ALPHAS, STEPS, SYSTEM
 from .sql import SQL as SQL
@@ -30,11 +30,11 @@ def _index(spark: SparkSession, sf: str) -> retrieve.Index:
 
 def _near(spark: SparkSession, sf: str, index: retrieve.Index) -> DataFrame:
     sims = search.question_sims(_questions(spark, sf), index.sentences, "sentence_id", "text", CONFIG.max_term_share)
-    return propagate.question_sentences(sims, index.sentence_entities)
+    return cut(propagate.question_sentences(sims, index.sentence_entities))
 
 
 def _seeds(spark: SparkSession, sf: str, index: retrieve.Index) -> DataFrame:
-    return search.seeds(search.question_entities(_questions(spark, sf)), index.entities, CONFIG.max_term_share)
+    return cut(search.seeds(search.question_entities(_questions(spark, sf)), index.entities, CONFIG.max_term_share))
 
 
 def passage_index(spark, sf):
