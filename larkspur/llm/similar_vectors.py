@@ -85,9 +85,9 @@ def similar_vectors(
     shard_rows: int = 4096,
     max_shards: int = 4096,
     sample_rows: int = 65536,
-    border: float = 0.03,
-    degree: int = 8,
-    effort: int = 24,
+    border: float = 0.04,
+    degree: int = 10,
+    effort: int = 32,
 ) -> DataFrame:
     """``id, neighbour, similarity``: up to `k` rows a id, by cosine similarity of at least `min_similarity`.
 
