@@ -40,21 +40,23 @@ def _count(text: Column, pattern: str) -> Column:
 def is_english_prose(text: Column) -> Column:
     """Mainly running English prose, judged by the words of the text alone."""
     low = F.lower(_plain(text))
-    words = _count(low, WORD)
-    english = _count(low, r"(?<!\p{L})(?:" + "|".join(ENGLISH.split()) + r")(?!\p{L})")
-    other = _count(low, r"(?<!\p{L})(?:" + "|".join(OTHERS.split()) + r")(?!\p{L})")
-    foreign = _count(low, r"[\p{L}&&[^\p{IsLatin}]]")
-    cells = _count(low, r"[|\t;]|\n[^\n]{0,80}(?=\n)")
-    stops = _count(low, r"[.!?]")
-    return (
-        text.rlike(r"\p{L}")
-        & (words >= 5)
-        & (stops >= 1)
-        & (english > other + foreign / 3)
-        & (english >= 0.03 * words)
-        & (_count(low, r"\|") <= stops)
-        & (cells <= 4 * stops + 4)
-    )
+
+    def judged(t: Column) -> Column:
+        words, low = t["words"], t["low"]
+        n = F.size(words)
+        english = F.size(F.filter(words, lambda w: w.isin(*sorted(set(ENGLISH.split())))))
+        other = F.size(F.filter(words, lambda w: w.isin(*sorted(set(OTHERS.split())))))
+        foreign = _count(low, r"[\p{L}&&[^\p{IsLatin}]]")
+        stops = _count(low, r"[.!?]")
+        cells = _count(low, r"[|\t;]|\n[^\n]{0,80}(?=\n)")
+        return (
+            (n >= 5) & (stops >= 1) & (english >= 0.03 * n) & (english > other + foreign / 3)
+            & (_count(low, r"\|") <= stops) & (cells <= 4 * stops + 4)
+        )
+
+    # the words are bound once, not once for each use
+    parts = F.struct(low.alias("low"), F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "").alias("words"))
+    return F.coalesce(F.transform(F.array(parts), judged)[0], F.lit(False))
 
 
 def measures(text: Column, longest: int) -> dict[str, Column]:
@@ -65,13 +67,14 @@ def measures(text: Column, longest: int) -> dict[str, Column]:
     )
     lengths = F.transform(sentence, lambda s: F.least(_count(s, WORD), F.lit(longest)))
     mean = F.aggregate(lengths, F.lit(0), lambda a, n: a + n) / F.greatest(F.size(lengths), F.lit(1))
-    common = F.lower(F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:.'’-] )\p{Lu}[\p{L}'’-]*", " "))
+    common = F.lower(F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:'’-] )\p{Lu}[\p{L}'’-]*", " "))
     common = F.regexp_replace(common, r"(?<=\p{L})['’-](?=\p{L})", "")
     common = F.concat(F.lit(" "), F.regexp_replace(common, r"[^\p{L}]+", " "), F.lit(" "))
     words = _count(common, r"\p{L}+")
     letters = _count(common, r"\p{L}")
     # silent endings, then one mark for each vowel group, then marks only
-    silent = F.regexp_replace(common, r"(?<=[^aeiouyl ]|[aeiouy]l)e(?= )|(?<=[^aeiouytd ])e(?=d )|(?<=[^aeiouyscxzhg ])e(?=s )", "")
+    ahead = r"(?<=[aeiouy][^aeiouy ]{0,3}"  # a vowel before, so that no word loses its only one
+    silent = F.regexp_replace(common, ahead + r"[^aeiouyl ])e(?= )|(?<=[aeiouy]l)e(?= )|" + ahead + r"[^aeiouytd ])e(?=d )|" + ahead + r"[^aeiouyscxzhg ])e(?=s )", "")
     marks = F.regexp_replace(silent, r"i(?=[ao](?!n))|[aeiou](?=ing)|e(?=o)|u(?=[ao])", "$0'")
     marks = F.regexp_replace(F.regexp_replace(marks, r"[aeiouy]+", "1"), r"[^1 ]+", "")
     n = F.greatest(words, F.lit(1))
