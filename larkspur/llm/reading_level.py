@@ -19,7 +19,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"\p{L}+(?:['’-]\p{L}+)*"
 #: Frequent words that tell the languages in Latin script apart (fixed values).
 ENGLISH = "the that which had were been its whose before after when because nobody people many then there did upon with by for to is was rather than it"
 OTHERS = (
@@ -33,64 +32,80 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(text, r"</?[A-Za-z][^<>]*>|&[a-z]{1,8};|\u00ad", " ")
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def _bind(value: Column, use) -> Column:
+    """`use(value)`, with `value` computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _without(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
 def is_english_prose(text: Column) -> Column:
     """Mainly running English prose, judged by the words of the text alone."""
-    low = F.lower(_plain(text))
 
     def judged(t: Column) -> Column:
         words, low = t["words"], t["low"]
         n = F.size(words)
         english = F.size(F.filter(words, lambda w: w.isin(*sorted(set(ENGLISH.split())))))
         other = F.size(F.filter(words, lambda w: w.isin(*sorted(set(OTHERS.split())))))
-        foreign = _count(low, r"[\p{L}&&[^\p{IsLatin}]]")
-        stops = _count(low, r"[.!?]")
-        cells = _count(low, r"[|\t;]|\n[^\n]{0,80}(?=\n)")
+        foreign = F.length(low) - F.length(F.regexp_replace(low, r"[\p{L}&&[^\p{IsLatin}]]+", ""))
+        stops = _without(low, ".!?")
+        lines = F.regexp_count(low, F.lit(r"\n[^\n]{0,80}(?=\n)"))
         return (
             (n >= 5) & (stops >= 1) & (english >= 0.03 * n) & (english > other + foreign / 3)
-            & (_count(low, r"\|") <= stops) & (cells <= 4 * stops + 4)
+            & (_without(low, "|") <= stops) & (_without(low, "|\t;") + lines <= 4 * stops + 4)
         )
 
-    # the words are bound once, not once for each use
-    parts = F.struct(low.alias("low"), F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "").alias("words"))
-    return F.coalesce(F.transform(F.array(parts), judged)[0], F.lit(False))
-
-
-def measures(text: Column, longest: int) -> dict[str, Column]:
-    """Mean words a sentence, then syllables, letters, long words a word."""
-    plain = _plain(text)
-    sentence = F.filter(
-        F.split(plain, r"(?<=[\p{L}\p{N}”’\")]{3}[.!?])[\"”’)]*\s+|(?<=[!?])\s+|\n\s*\n"), lambda s: s.rlike(r"\p{L}")
-    )
-    lengths = F.transform(sentence, lambda s: F.least(_count(s, WORD), F.lit(longest)))
-    mean = F.aggregate(lengths, F.lit(0), lambda a, n: a + n) / F.greatest(F.size(lengths), F.lit(1))
-    common = F.lower(F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:'’-] )\p{Lu}[\p{L}'’-]*", " "))
-    common = F.regexp_replace(common, r"(?<=\p{L})['’-](?=\p{L})", "")
-    common = F.concat(F.lit(" "), F.regexp_replace(common, r"[^\p{L}]+", " "), F.lit(" "))
-    words = _count(common, r"\p{L}+")
-    letters = _count(common, r"\p{L}")
-    # silent endings, then one mark for each vowel group, then marks only
-    ahead = r"(?<=[aeiouy][^aeiouy ]{0,3}"  # a vowel before, so that no word loses its only one
-    silent = F.regexp_replace(common, ahead + r"[^aeiouyl ])e(?= )|(?<=[aeiouy]l)e(?= )|" + ahead + r"[^aeiouytd ])e(?=d )|" + ahead + r"[^aeiouyscxzhg ])e(?=s )", "")
-    marks = F.regexp_replace(silent, r"i(?=[ao](?!n))|[aeiou](?=ing)|e(?=o)|u(?=[ao])", "$0'")
-    marks = F.regexp_replace(F.regexp_replace(marks, r"[aeiouy]+", "1"), r"[^1 ]+", "")
-    n = F.greatest(words, F.lit(1))
-    return {
-        "sentence": mean,
-        "syllables": F.greatest(_count(marks, "1"), words) / n,
-        "letters": letters / n,
-        "long": _count(marks, "1{3,}") / n,
-    }
+    def split(low: Column) -> Column:
+        return F.struct(low.alias("low"), F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "").alias("words"))
+
+    return F.coalesce(_bind(_bind(F.lower(_plain(text)), split), judged), F.lit(False))
+
+
+def measures(text: Column, longest: int) -> Column:
+    """Struct of the mean words a sentence and the syllables, letters and long words a word."""
+
+    def mean_length(plain: Column) -> Column:
+        sentence = F.split(plain, r"[.!?]+(?<=[\p{L}\p{N}”’\")]{3}[.!?]{1,3})[\"”’)]*\s+|[!?]\s+|\n\s*\n")
+        lengths = F.filter(F.transform(sentence, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w.rlike(r"\p{L}")))), lambda n: n > 0)
+        return _bind(lengths, lambda ns: F.aggregate(ns, F.lit(0), lambda a, n: a + F.least(n, F.lit(longest))) / F.greatest(F.size(ns), F.lit(1)))
+
+    def common_words(plain: Column) -> Column:
+        """Words that are no names, in lower case, each between single spaces."""
+        common = F.lower(F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}\p{N},;:'’-] .)[\p{L}'’-]*", " "))
+        common = F.regexp_replace(common, r"(?<=\p{L})['’-](?=\p{L})", "")
+        return F.concat(F.lit(" "), F.trim(F.regexp_replace(common, r"[^\p{L}]+", " ")), F.lit(" "))
+
+    def marked(common: Column) -> Column:
+        """One mark for each vowel group that sounds, spaces between words."""
+        ahead = r"(?<=[aeiouy][^aeiouy ]{0,3}"  # a vowel before, so that no word loses its only one
+        ends = (r"e(?= )" + ahead + r"[^aeiouyl ]e)", r"e(?= )(?<=[aeiouy]le)", r"e(?=d )" + ahead + r"[^aeiouytd ]e)", r"e(?=s )" + ahead + r"[^aeiouyscxzhg ]e)")
+        silent = F.regexp_replace(common, "|".join(ends), "")
+        apart = F.regexp_replace(silent, r"i(?=[ao](?!n))|[aeiou](?=ing)|e(?=o)|u(?=[ao])", "$0'")
+        return F.regexp_replace(F.regexp_replace(apart, r"[aeiouy]+", "1"), r"[^1 ]+", "")
+
+    def counted(t: Column) -> Column:
+        words = F.greatest(_without(t["common"], " ") - 1, F.lit(0))
+        n = F.greatest(words, F.lit(1))
+        long_words = F.length(F.regexp_replace(t["marks"], "111+", "x")) - F.length(F.regexp_replace(t["marks"], "111+", ""))
+        return F.struct(
+            t["sentence"].alias("sentence"),
+            (F.greatest(_without(t["marks"], "1"), words) / n).alias("syllables"),
+            ((F.length(t["common"]) - words - 1) / n).alias("letters"),
+            (long_words / n).alias("long"),
+        )
+
+    def parts(plain: Column) -> Column:
+        return _bind(F.struct(mean_length(plain).alias("sentence"), common_words(plain).alias("common")), lambda t: F.struct(t["sentence"].alias("sentence"), t["common"].alias("common"), marked(t["common"]).alias("marks")))
+
+    return _bind(_bind(_plain(text), parts), counted)
 
 
 def grades(df: DataFrame, key: str, text: str, longest: int = 16) -> DataFrame:
     """``key, fk, ari, cli, fog, smog, grade``; `grade` is the median of the five estimates."""
-    m = measures(F.col(text), longest)
-    base = df.select(F.col(key).alias("key"), *[v.alias(k) for k, v in m.items()])
-    s, y, c, h = F.greatest("sentence", F.lit(1.0)), F.col("syllables"), F.col("letters"), F.col("long")
+    base = df.select(F.col(key).alias("key"), measures(F.col(text), longest).alias("m"))
+    s, y, c, h = F.greatest("m.sentence", F.lit(1.0)), F.col("m.syllables"), F.col("m.letters"), F.col("m.long")
     est = {
         "fk": 0.39 * s + 11.8 * y - 15.59,
         "ari": 4.71 * c + 0.5 * s - 21.43,
