@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: In rule order; the first of an answer's defects is its main one.
 DEFECTS = ("empty", "copies_question", "refusal", "truncated", "other_language")
 
@@ -94,6 +96,10 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _last_two(ws: Column) -> Column:
+    return F.concat_ws(" ", F.try_element_at(ws, F.lit(-2)), F.try_element_at(ws, F.lit(-1)))
+
+
 def _vocabulary(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words, proper prefixes of words, and word pairs that end complete texts, from the whole collection."""
     asked = answers.select(F.explode(F.regexp_extract_all(F.lower("question"), F.lit(_WORD), F.lit(0))).alias("w"))
@@ -102,7 +108,7 @@ def _vocabulary(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     inner = said.select(F.explode(F.when(F.col("complete"), F.col("ws")).otherwise(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))))).alias("w"))
     words = asked.unionByName(inner).distinct()
     stems = words.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda n: F.substring("w", F.lit(1), n))).alias("w"))
-    ends = said.where(F.col("complete") & (F.size("ws") > 1)).select(F.array_join(F.slice("ws", -2, 2), " ").alias("pair")).distinct()
+    ends = said.where(F.col("complete") & (F.size("ws") > 1)).select(_last_two(F.col("ws")).alias("pair")).distinct()
     return words, stems.distinct(), ends
 
 
@@ -148,7 +154,8 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
     words = F.regexp_extract_all(F.lower(body), F.lit(_WORD), F.lit(0))
     rows = rows.withColumns(
         {"empty": empty, "copies_question": copies, "refusal": refusal, "complete": complete, "unclosed": unclosed, "ws": words, "own": own}
-    ).withColumns({"last": F.try_element_at("ws", F.lit(-1)), "pair": F.array_join(F.slice("ws", F.greatest(-F.size("ws"), F.lit(-2)), F.lit(2)), " ")})
+    ).withColumns({"last": F.try_element_at("ws", F.lit(-1)), "pair": _last_two(F.col("ws"))})
+    rows = cut(rows)  # the rules so far are used by the learned tables and by the result
     known, stems, ends = _vocabulary(rows.select("question", "body", "complete"))
     open_ended = ~F.col("complete") & ~F.col("empty")
     hard_stop = body.rlike(r"[,;:–—-]$|…$|\p{L}\s*\.\.\.$")
@@ -157,10 +164,13 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
     # only answers that simply stop need the learned tables
     ask = F.when(open_ended & short_words & ~hard_stop & ~dangling & body.rlike(r"\p{L}$"), F.col("last"))
     rows = rows.withColumn("ask", ask).withColumn("ask_pair", F.when(F.col("ask").isNotNull() & (F.size("ws") >= 8) & body.rlike(r"(?<!\p{L})\p{Ll}+$"), F.col("pair")))
+    # answers that ask nothing get keys of their own, which match nothing and spread over the tasks
+    own_key = F.concat(F.lit("\0"), F.xxhash64("key", "field", "answer").cast("string"))
+    rows = rows.withColumns({"k1": F.coalesce("ask", own_key), "k2": F.coalesce("ask_pair", own_key)})
     rows = (
-        rows.join(known.select(F.col("w").alias("ask"), F.lit(True).alias("is_word")), "ask", "left")
-        .join(stems.select(F.col("w").alias("ask"), F.lit(True).alias("is_stem")), "ask", "left")
-        .join(ends.select(F.col("pair").alias("ask_pair"), F.lit(True).alias("is_end")), "ask_pair", "left")
+        rows.join(known.select(F.col("w").alias("k1"), F.lit(True).alias("is_word")), "k1", "left")
+        .join(stems.select(F.col("w").alias("k1"), F.lit(True).alias("is_stem")), "k1", "left")
+        .join(ends.select(F.col("pair").alias("k2"), F.lit(True).alias("is_end")), "k2", "left")
     )
     verdict_cut = verdict & F.col("ask").isNotNull() & F.lit("incorrect").startswith(body) | verdict & F.lit("correct").startswith(body)
     cut_word = F.col("ask").isNotNull() & F.col("is_word").isNull() & F.col("is_stem").isNotNull()

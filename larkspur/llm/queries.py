@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from .contamination import leaked_items
 from .cooccurrence import NOT_BLANK, PairTable, records
 from .mixing import mix
@@ -23,13 +23,13 @@ KINDS = {"passage": "passage_hash_id_to_entities", "sentence": "sentence_to_enti
 def p1_defects(spark: SparkSession, sf: str) -> DataFrame:
     """Every triggered defect of every answer."""
     fields = ["pred_answer", "gold_answer", "llm_judge_answer"]
-    found = pair_defects(table(spark, sf, "predictions"), "pred_id", "question", "gold_answer", fields, "llm_judge_answer")
+    found = pair_defects(spread(table(spark, sf, "predictions").select("pred_id", "question", *fields)), "pred_id", "question", "gold_answer", fields, "llm_judge_answer")
     return found.select(F.col("key").alias("pred_id"), "field", F.explode("defects").alias("defect")).distinct()
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     fields = ["pred_answer", "gold_answer", "llm_judge_answer"]
-    found = pair_defects(table(spark, sf, "predictions"), "pred_id", "question", "gold_answer", fields, "llm_judge_answer")
+    found = pair_defects(spread(table(spark, sf, "predictions").select("pred_id", "question", *fields)), "pred_id", "question", "gold_answer", fields, "llm_judge_answer")
     return found.select(F.col("key").alias("pred_id"), "field", F.col("defects")[0].alias("defect")).distinct()
 
 
@@ -68,13 +68,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    sets = name_sets(table(spark, sf, "entity_embedding"), "hash_id", "text", table(spark, sf, "nicknames"))
+    sets = name_sets(spread(table(spark, sf, "entity_embedding").select("hash_id", "text")), "hash_id", "text", table(spark, sf, "nicknames"))
     return variant_pairs(sets)
 
 
 def p4_sets(spark: SparkSession, sf: str) -> DataFrame:
     """The set of every name, named by its smallest member, and the set's size."""
-    sets = name_sets(table(spark, sf, "entity_embedding"), "hash_id", "text", table(spark, sf, "nicknames"))
+    sets = name_sets(spread(table(spark, sf, "entity_embedding").select("hash_id", "text")), "hash_id", "text", table(spark, sf, "nicknames"))
     whole = sets.groupBy("entity").agg(F.min("id").alias("set_id"), F.count("*").alias("set_size"))
     return sets.join(whole, "entity").select(F.col("id").alias("hash_id"), "set_id", "set_size")
 
@@ -113,28 +113,28 @@ def p6_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    docs, items = spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items")
     return leaked_items(docs, "doc_id", "text", items, "item_id", "text").select("item_id", "doc_id")
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     """How often each document is used in the mix."""
-    return mix(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "source_targets"))[0]
+    return mix(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source", table(spark, sf, "source_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The share of tokens each source reaches."""
-    return mix(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "source_targets"))[1]
+    return mix(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source", table(spark, sf, "source_targets"))[1]
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     limits = fit_limits(table(spark, sf, "graded_texts"), "text", "reading_level")
-    return reading_levels(table(spark, sf, "documents"), "doc_id", "text", limits).select(F.col("key").alias("doc_id"), "reading_level")
+    return reading_levels(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", limits).select(F.col("key").alias("doc_id"), "reading_level")
 
 
 def p9_grades(spark: SparkSession, sf: str) -> DataFrame:
     """The five grade estimates and their median for every English prose text."""
-    docs = table(spark, sf, "documents").where(is_english_prose(F.col("text")))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).where(is_english_prose(F.col("text")))
     out = grades(docs, "doc_id", "text")
     return out.select(F.col("key").alias("doc_id"), *[F.round(c, 3).alias(c) for c in out.columns[1:]])
 

@@ -38,9 +38,29 @@ marked AS (
   FROM counted JOIN total USING (field))
 """
 
+
+
+def _words(text: str) -> str:
+    """Words without markup, hyphens and apostrophes; twice, as letters between two marks are shared."""
+    plain = rf"regexp_replace({text}, '(?s)<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{{1,10}}|#\d{{1,7}});', ' ', 'g')"
+    joined = rf"regexp_replace({plain}, '[\x{{ad}}\x{{200b}}\x{{2060}}\x{{feff}}]', '', 'g')"
+    for _ in range(2):
+        joined = rf"regexp_replace({joined}, '(\p{{L}})(?:[-\x{{2010}}\x{{2011}}]\s*|[''\x{{2019}}])(\p{{L}})', '\1\2', 'g')"
+    return rf"regexp_extract_all(lower({joined}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+
+
+_LEAKS = f"""
+WITH item AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
+seed AS (SELECT item_id, len(w) AS n, p, w[p : p + 5] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS p FROM item)),
+gram AS (SELECT DISTINCT doc_id, w[p : p + 5] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS p FROM (SELECT doc_id, {_words('text')} AS w FROM documents))),
+hit AS (SELECT DISTINCT item_id, doc_id, n, unnest(range(p, p + 6)) AS at FROM seed JOIN gram USING (g))
+SELECT item_id, doc_id FROM hit GROUP BY item_id, doc_id, n HAVING count(*) >= 0.4 * n
+"""
+
 SQL: dict[str, str] = {
     "p2_found": _PAIRS + "SELECT k AS record_kind, a AS entity_a, b AS entity_b FROM scored WHERE n_ab >= 5 AND n_ab * n >= 5 * n_a * n_b",
     "p2_pairs": _PAIRS + "SELECT k AS record_kind, a AS entity_a, b AS entity_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift FROM scored",
+    "p7_found": _LEAKS,
     "p6_found": _GRAMS.replace("{max_n}", "1") + "SELECT field, gram AS term, band FROM marked WHERE band <> ''",
     "p6_ngrams": _GRAMS.replace("{max_n}", "3") + "SELECT field, n, gram, occurrences, records, band FROM marked",
 }
