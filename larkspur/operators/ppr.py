@@ -25,13 +25,13 @@ def pagerank(reset: DataFrame, transition: DataFrame, damping: float = 0.5, step
     q, v = F.xxhash64("question_id").alias("q"), F.xxhash64("id").alias("v")
     start = cut(reset.select(q, v, "mass"))
     out = cut(transition.select(F.xxhash64("src").alias("v"), F.xxhash64("dst").alias("d"), "p"))
+    # mass flows only to vertices with edges, so only vertices of the reset can be without
+    ends = cut(start.join(out.select("v").distinct(), "v", "left_anti").select("v").distinct())
     x = start.select("q", "v", F.col("mass").alias("rank"))
     for step in range(1, steps + 1):
         flow = x.join(out, "v").groupBy("q", F.col("d").alias("v")).agg(F.sum(F.col("rank") * F.col("p")).alias("rank"))
-        kept = x.join(out.select("v").distinct(), "v", "left_semi").groupBy("q").agg(F.sum("rank").alias("kept"))
-        back = start.join(kept, "q", "left").select(
-            "q", "v", (F.col("mass") * (1 - damping + damping * F.greatest(1 - F.coalesce("kept", F.lit(0.0)), F.lit(0.0)))).alias("rank")
-        )
+        lost = x.join(ends, "v", "left_semi").groupBy("q").agg(F.sum("rank").alias("lost"))
+        back = start.join(lost, "q", "left").select("q", "v", (F.col("mass") * (1 - damping + damping * F.coalesce("lost", F.lit(0.0)))).alias("rank"))
         x = flow.withColumn("rank", F.col("rank") * damping).unionByName(back).groupBy("q", "v").agg(F.sum("rank").alias("rank"))
         if step % cut_every == 0 or step == steps:
             x = cut(x)
