@@ -109,7 +109,7 @@ def leaked_items(
     # an upper bound of the coverage: a seed may cover all of its words
     hits = found.groupBy("doc_id", "item_id").agg(F.first("n").alias("n"), F.collect_set("at").alias("ats"))
     bound = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda i: F.sequence(i, i + run - 1)))))
-    likely = hits.where(bound >= F.lit(share) * F.col("n")).select("doc_id", "item_id")
+    likely = hits.where(bound >= F.round(F.lit(share) * F.col("n"), 6)).select("doc_id", "item_id")
     pairs = likely.join(doc.select("doc_id", words(F.col("text")).alias("dw")), "doc_id").join(item, "item_id")
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,6 +119,6 @@ def leaked_items(
 
     types = dict(pairs.dtypes)
     out = pairs.mapInPandas(cover, f"item_id {types['item_id']}, doc_id {types['doc_id']}, covered int, item_words int")
-    return out.where(F.col("covered") >= F.lit(share) * F.col("item_words")).groupBy("item_id", "doc_id").agg(
+    return out.where(F.col("covered") >= F.round(F.lit(share) * F.col("item_words"), 6)).groupBy("item_id", "doc_id").agg(
         F.max("covered").alias("covered"), F.max("item_words").alias("item_words")
     )
