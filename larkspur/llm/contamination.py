@@ -31,10 +31,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(joined), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
-def seeds(ws: Column, run: int) -> Column:
-    """A hash of every `run` words that follow each other."""
-    last = F.size(ws) - run + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, run)))).otherwise(
+def hashed(ws: Column) -> Column:
+    """Each word as a number, so that a word is read once and not once for every run it is in."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def seeds(hs: Column, run: int) -> Column:
+    """A hash of every `run` hashed words that follow each other."""
+    last = F.size(hs) - run + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(hs, i, run)))).otherwise(
         F.array().cast("array<bigint>")
     )
 
@@ -100,12 +105,13 @@ def leaked_items(
 ) -> DataFrame:
     """``item_id, doc_id, covered, item_words`` for every document that holds at least `share` of an item in runs of `run` words."""
     item = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("iw")).where(F.size("iw") >= run)
-    seed = item.select("item_id", F.size("iw").alias("n"), F.posexplode(seeds(F.col("iw"), run)).alias("at", "h"))
+    seed = item.select("item_id", F.size("iw").alias("n"), hashed(F.col("iw")).alias("hs"))
+    seed = seed.select("item_id", "n", F.posexplode(seeds(F.col("hs"), run)).alias("at", "h"))
     if seed.count() <= broadcast_seeds:
         seed = F.broadcast(seed)
     doc = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    split = doc.select("doc_id", words(F.col("text")).alias("w"))  # once a text: used in every position below
-    found = split.select("doc_id", F.explode(F.array_distinct(seeds(F.col("w"), run))).alias("h")).join(seed, "h")
+    split = doc.select("doc_id", hashed(words(F.col("text"))).alias("hs"))  # once a text: used in every position below
+    found = split.select("doc_id", F.explode(F.array_distinct(seeds(F.col("hs"), run))).alias("h")).join(seed, "h")
     # an upper bound of the coverage: a seed may cover all of its words
     hits = found.groupBy("doc_id", "item_id").agg(F.first("n").alias("n"), F.collect_set("at").alias("ats"))
     bound = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda i: F.sequence(i, i + run - 1)))))
