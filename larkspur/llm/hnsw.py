@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_SCALE = float(1 << 30)
+_SCALE = float((1 << 30) - 128)  # exact in single precision, and a similarity of 1 does not reach the sign bit
 
 
 def _pack(sim: np.ndarray, node: np.ndarray) -> np.ndarray:

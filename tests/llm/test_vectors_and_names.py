@@ -33,7 +33,7 @@ def test_similar_vectors_recall(spark):
     x = clusters(400)
     rows = [(f"{i:05d}", (x[i] * (1 + i % 3)).tolist(), "clash", 3) for i in range(len(x))]
     rows += rows[:50] + [("null", None, "", 0), ("empty", [], "", 0), ("zero", [0.0] * 16, "", 0), ("nan", [float("nan")] * 16, "", 0), (None, x[0].tolist(), "", 0)]
-    got = similar_vectors(spark.createDataFrame(rows, VEC), "hash_id", "embedding", 5, 0.8, dim=16, shard_rows=256).collect()
+    got = similar_vectors(spark.createDataFrame(rows, VEC), "hash_id", "embedding", 5, 0.8, dim=16, shard_rows=256, border=0.15).collect()
     pairs = {tuple(sorted((int(r[0]), int(r[1])))) for r in got}
     true = brute(x, 5, 0.8)
     assert len(pairs & true) >= 0.95 * len(true) and len(pairs & true) >= 0.95 * len(pairs)
