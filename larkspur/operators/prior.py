@@ -42,7 +42,7 @@ def entity_knn(entities: DataFrame, k: int = 10, block_rows: int = 2048) -> Data
     """``src, dst, sim``: the k nearest other entities by true cosine, exactly.
 
     Rows fall into blocks; each pair of blocks is one matrix product in one task and keeps k per row, and the parts
-    are merged. The work is the square of the rows: use `lsh_knn` for large stores.
+    are merged. The work is the square of the rows; `lsh_knn` compares fewer pairs.
     """
     rows = _unit(entities)
     n = max(1, -(-rows.count() // block_rows))
@@ -71,8 +71,12 @@ def entity_knn(entities: DataFrame, k: int = 10, block_rows: int = 2048) -> Data
     return parts.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k).select("src", "dst", "sim")
 
 
-def lsh_knn(entities: DataFrame, k: int = 10, dim: int = 64, tables: int = 12, bits: int = 10, seed: int = 5) -> DataFrame:
-    """``src, dst, sim``: approximate neighbours; rows meet where the signs of random projections agree in one of `tables`."""
+def lsh_knn(entities: DataFrame, k: int = 10, dim: int = 64, tables: int = 24, bits: int = 6, seed: int = 5, block_rows: int = 4096) -> DataFrame:
+    """``src, dst, sim``: approximate neighbours; rows meet where the signs of random projections agree in one of `tables`.
+
+    All rows of a code are compared: one with more than `block_rows` is divided into parts and every two parts meet.
+    Half of the tenth neighbours have a similarity of only 0.5, so codes are short and tables many.
+    """
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,23 +93,33 @@ def lsh_knn(entities: DataFrame, k: int = 10, dim: int = 64, tables: int = 12, b
     hashed = rows.mapInArrow(sign, "code bigint, hash_id string, v array<float>")
 
     def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("hash_id")
         ids = group["hash_id"].to_numpy(zero_copy_only=False)
         x = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        side = group["side"].to_numpy(zero_copy_only=False)
+        every, left, right = np.arange(len(ids)), np.flatnonzero(~side), np.flatnonzero(side)
+        same = group["i"][0].as_py() == group["j"][0].as_py()
         out = []
-        for at in range(0, len(ids), 512):
-            s = x[at : at + 512] @ x.T
-            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2.0
-            w = min(k, s.shape[1] - 1)
-            if w > 0:
-                top = np.argpartition(-s, w - 1, axis=1)[:, :w]
-                out.append((np.repeat(ids[at : at + 512], w), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()))
+        for a, b in [(every, every)] if same else [(left, right), (right, left)]:
+            w = min(k, len(b) - same)
+            for at in range(0, len(a) if w > 0 else 0, 512):
+                part = a[at : at + 512]
+                s = x[part] @ x[b].T
+                if same:
+                    s[np.arange(len(part)), part] = -2.0
+                key = np.rint(s * 1e6).astype(np.int64) * len(b) - np.arange(len(b))  # equal ones in the order of their ids
+                top = np.argpartition(-key, w - 1, axis=1)[:, :w]
+                out.append((np.repeat(ids[part], w), ids[b[top]].ravel(), np.take_along_axis(s, top, axis=1).ravel()))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.array([], object), np.array([], object), np.array([])]
         return pa.table({"src": pa.array(cols[0], pa.string()), "dst": pa.array(cols[1], pa.string()), "sim": pa.array(cols[2].astype(np.float64))})
 
-    # a crowded code is divided by the row's id, so no group grows without bound
-    crowd = hashed.groupBy("code").agg(F.count("*").alias("n"))
-    spread = hashed.join(crowd, "code").withColumn("part", F.pmod(F.xxhash64("hash_id"), F.ceil(F.col("n") / 4096)))
-    found = spread.groupBy("code", "part").applyInArrow(meet, "src string, dst string, sim double").groupBy("src", "dst").agg(F.round(F.max("sim"), 6).alias("sim"))
+    # a crowded code is divided by the row's id, so no group grows without bound, and every two of its parts meet
+    crowd = hashed.groupBy("code").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    placed = hashed.join(F.broadcast(crowd), "code", "left").withColumn("p", F.pmod(F.xxhash64("hash_id"), parts).cast("int"))
+    paired = placed.withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    paired = paired.select("code", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).alias("side"), "hash_id", "v")
+    found = paired.groupBy("code", "i", "j").applyInArrow(meet, "src string, dst string, sim double").groupBy("src", "dst").agg(F.round(F.max("sim"), 6).alias("sim"))
     rank = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return found.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k).select("src", "dst", "sim")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import queries
 from larkspur.operators import graph, ppr, prior, search
 from larkspur.operators.propagate import fold, propagate, propagate_exact, propagate_matrix
 
@@ -154,3 +155,30 @@ def test_seeds_and_sims(spark):
     assert {r["name"] for r in names.collect()} == {"tesudas sunabroser", "lake trobagimul"}
     got = {r["entity_id"]: r["score"] for r in search.seeds(names, ents, 0.9).collect()}
     assert got == {"e1": 1.0, "e2": 1.0}
+
+
+def test_lsh_compares_all_parts_of_a_crowded_code(spark):
+    rng = np.random.default_rng(4)
+    x = np.ones(16) + 1e-3 * rng.standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"{i:03d}", x[i].tolist()) for i in range(300)], "hash_id string, embedding array<double>")
+    got = {(r[0], r[1]): r[2] for r in prior.lsh_knn(df, 5, dim=16, tables=2, bits=3, block_rows=32).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -2.0)
+    least = np.sort(s, axis=1)[:, -5]
+    assert len(got) == 5 * 300
+    assert all(v >= least[int(a)] - 2e-6 for (a, _), v in got.items())
+
+
+def test_lsh_recall_of_the_registered_query(spark):
+    sf = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{sf}/entity_embedding.parquet").where("size(embedding) = 64").dropDuplicates(["hash_id"]).toPandas()
+    x = np.stack(df["embedding"]).astype(np.float64)
+    n = np.linalg.norm(x, axis=1)
+    ids, x = df["hash_id"].to_numpy()[n > 0], x[n > 0] / n[n > 0, None]
+    s = x @ x.T
+    np.fill_diagonal(s, -2.0)
+    least = dict(zip(ids, np.sort(s, axis=1)[:, -10] - 2e-6, strict=True))
+    hit = sum(r["sim"] >= least[r["src"]] for r in queries.lsh_knn(spark, sf).collect() if r["src"] in least)
+    print("recall", hit / (10 * len(ids)))
+    assert hit >= 0.9 * 10 * len(ids)
