@@ -3,10 +3,12 @@
 Rows are routed to shards by the nearest of some centroids. The centroids are
 fitted on at most `sample_rows` rows (the documented bound); every row is
 indexed. A row whose nearest centroids are about equally near is also looked up
-in those other shards, so neighbours across a border are found. A centroid that
-draws more rows than `shard_rows` is split again on the sample; if that cannot
-divide it (equal vectors), its rows are spread over several graphs and every
-one of them asks all of these graphs.
+in those other shards, so neighbours across a border are found. Equal vectors
+are one row of the graphs, whatever their number, and take their ids back at the
+end; the `k + 1` smallest ids of a vector answer for all. A centroid that draws
+more rows than `shard_rows` is split again on the sample; if that cannot divide
+it (nearly equal vectors), its rows are spread over several graphs by the hash
+of the row and every one of them asks all of these graphs.
 
 Defined results: NULL, empty, all-zero, NaN or wrongly sized vectors take no
 part; repeated rows of an id count once; ties go to the smaller id; an empty
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .hnsw import Shard
 
 SCHEMA = "id string, neighbour string, similarity float"
@@ -97,38 +100,43 @@ def similar_vectors(
         F.col("id").isNotNull() & (F.size("v") == dim)
     )
     spark = df.sparkSession
-    rows = src.count()
-    if not rows:
+    total, rows = src.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("v"))).first()
+    if not total:
         return spark.createDataFrame([], SCHEMA)
     want = min(sample_rows, 200 * -(-rows // shard_rows))
-    picked = src.select("v").where(F.rand(11) < min(1.0, 1.1 * want / rows)).limit(want).toArrow()
+    picked = src.select("v").where(F.rand(11) < min(1.0, 1.1 * want / total)).limit(want).toArrow()
     sample, _ = _matrix(picked["v"].combine_chunks(), dim) if picked.num_rows else (np.zeros((0, dim), np.float32), None)
     if not len(sample):  # tiny tables may give an empty sample
         sample, _ = _matrix(src.select("v").limit(64).toArrow()["v"].combine_chunks(), dim)
     if not len(sample):
         sample = np.eye(1, dim, dtype=np.float32)
-    cent, spread = plan_shards(sample, rows, shard_rows, max_shards)
+    cent, spread = plan_shards(np.unique(sample, axis=0), rows, shard_rows, max_shards)
     first = np.concatenate([[0], np.cumsum(spread)[:-1]])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, at = _matrix(b.column(1), dim)
-            ids = b.column(0).take(pa.array(at))
+            raw = (x + np.float32(0)).tobytes()  # no negative zeros
+            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), vec], names=["id", "vec"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, vec = b.column(0), b.column(1)
+            x = np.frombuffer(b"".join(vec.to_pylist()), dtype=np.float32).reshape(-1, dim)
             sim = x @ cent.T
             best = sim.max(axis=1, initial=-2.0)
             r, c = np.nonzero(sim >= (best - border)[:, None])
             home = c == sim.argmax(axis=1)[r] if len(r) else np.zeros(0, bool)
-            # the graph of a spread cell in which a row is indexed follows from the vector's own bits
-            part = np.abs(x[:, :2].view(np.int32).sum(axis=1, dtype=np.int64))
+            # the graph of a spread cell in which a row is indexed follows from the row's hash
+            part = b.column(2).to_numpy()
             copies = spread[c]
             rr, cc, hh = np.repeat(r, copies), np.repeat(c, copies), np.repeat(home, copies)
             g = np.arange(len(rr)) - np.repeat(np.cumsum(copies) - copies, copies)
             own = hh & (g == part[rr] % spread[cc])
-            raw = np.ascontiguousarray(x).view(f"V{4 * dim}").ravel()
-            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(raw), [None, pa.py_buffer(raw.tobytes())])
             idx = pa.array(rr)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((first[cc] + g).astype(np.int32)), pa.array(own), ids.take(idx), vec.cast(pa.binary()).take(idx)],
+                [pa.array((first[cc] + g).astype(np.int32)), pa.array(own), ids.take(idx), vec.take(idx)],
                 names=["shard", "own", "id", "vec"],
             )
 
@@ -146,13 +154,18 @@ def similar_vectors(
         if len(inside):
             index = Shard(x[inside], m=degree, ef=max(effort, 2 * k), batch=512)
             p, q, s = index.links()
-            a, b = inside[p], inside[q]
+            # rows that came later are found in the finished graph
+            near, sim = index.search(x[inside], max(effort, 2 * k) + 1)
+            r, c = np.nonzero((near >= 0) & (near != np.arange(len(inside))[:, None]) & (sim >= min_similarity))
+            a, b, s = inside[np.concatenate([p, r])], inside[np.concatenate([q, near[r, c]])], np.concatenate([s, sim[r, c]])
             if len(asking):
                 near, sim = index.search(x[asking], max(effort, 2 * k))
                 r, c = np.nonzero((near >= 0) & (sim >= min_similarity))
                 a, b, s = np.concatenate([a, asking[r]]), np.concatenate([b, inside[near[r, c]]]), np.concatenate([s, sim[r, c]])
         ok = s >= min_similarity
         a, b, s = np.concatenate([a[ok], b[ok]]), np.concatenate([b[ok], a[ok]]), np.concatenate([s[ok], s[ok]])
+        _, once = np.unique(a * len(ids) + b, return_index=True)
+        a, b, s = a[once], b[once], s[once]
         by = np.lexsort((b, -s, a))  # row numbers follow the ids here
         a, b, s = a[by], b[by], s[by]
         start = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
@@ -160,16 +173,35 @@ def similar_vectors(
         ok = rank < k
         return pa.table({"id": pa.array(ids[a[ok]], pa.string()), "neighbour": pa.array(ids[b[ok]], pa.string()), "similarity": pa.array(s[ok], pa.float32())})
 
-    shards = src.mapInArrow(route, "shard int, own boolean, id string, vec binary")
-    found = shards.groupBy("shard").applyInArrow(graph, SCHEMA)
+    unit = src.mapInArrow(units, "id string, vec binary").withColumn("key", F.md5("vec"))
+    # a distinct vector goes by its smallest id, and by its key, as an id may have several vectors
+    distinct = unit.groupBy("key").agg(F.min("id").alias("id"), F.first("vec").alias("vec"))
+    distinct = distinct.select(F.concat("id", F.lit("\1"), "key").alias("id"), "vec", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("part"))
+    shards = distinct.mapInArrow(route, "shard int, own boolean, id string, vec binary")
+    found = cut(_best(shards.groupBy("shard").applyInArrow(graph, SCHEMA), k))  # read by both branches below
+
+    members = unit.select("key", "id").distinct()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    head = members.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("key").agg(F.collect_list("id").alias("head"))
+    head = cut(head.where(F.size("head") > 1))
+    parts = [f(c) for c in ("id", "neighbour") for f in (lambda c: F.right(F.col(c), F.lit(32)), lambda c: F.left(F.col(c), F.length(c) - 33))]
+    near = found.select(*[p.alias(c) for p, c in zip(parts, ("key", "id", "other", "neighbour"), strict=True)], "similarity")
+    ends = head.select(F.col("key").alias("other"), "head")
+    near = near.join(ends, "other", "left").select("key", "id", F.explode(F.coalesce("head", F.array("neighbour"))).alias("neighbour"), "similarity")
+    alone = near.join(head, "key", "left_anti").select("id", "neighbour", "similarity")
+    # rows of one vector share a short list: each other, then what is near to the vector
+    equal = head.select("key", F.explode("head").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity"))
+    lists = near.join(head, "key", "left_semi").select("key", "neighbour", "similarity").unionByName(equal.where(F.col("similarity") >= min_similarity))
+    lists = lists.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("far"), "neighbour"))).alias("list"))
+    others = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("id")), 1, k)
+    shared = members.join(lists, "key").select("id", F.explode(others).alias("x")).select("id", "x.neighbour", (-F.col("x.far")).alias("similarity"))
+    return _best(alone.where("id <> neighbour").unionByName(shared), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return (
-        found.groupBy("id", "neighbour")
-        .agg(F.max("similarity").alias("similarity"))
-        .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= k)
-        .drop("rank")
-    )
+    once = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    return once.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
 
 
 def linked_pairs(neighbours: DataFrame, store: Column) -> DataFrame:

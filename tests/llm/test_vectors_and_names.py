@@ -46,6 +46,41 @@ def test_equal_vectors_are_spread_and_still_linked(spark):
     assert max(np.bincount([int(r[0]) for r in got])) <= 3
 
 
+def test_equal_vectors_are_one_row_of_the_graphs(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+
+    class Counted(Shard):
+        def __init__(self, x, **given):
+            sizes.add(len(x))
+            super().__init__(x, **given)
+
+    monkeypatch.setattr("larkspur.llm.similar_vectors.Shard", Counted)
+    x = clusters(60)
+    rows = [(f"{i:04d}", x[i].tolist(), "", 0) for i in range(len(x))] + [(f"e{i:04d}", x[0].tolist(), "", 0) for i in range(500)]
+    got = similar_vectors(spark.createDataFrame(rows, VEC), "hash_id", "embedding", 3, 0.5, dim=16, shard_rows=64).collect()
+    assert sizes.value == len(x)
+    near = {}
+    for r in got:
+        near.setdefault(r[0], set()).add(r[1])
+    assert near["e0400"] == {"0000", "e0000", "e0001"} and near["0000"] == {"e0000", "e0001", "e0002"} and near["e0000"] == {"0000", "e0001", "e0002"}
+    mates = [i for i in range(1, 6) if "0000" in near[f"{i:04d}"]]
+    assert mates and all({"e0000", "e0001"} <= near[f"{i:04d}"] for i in mates if x[i] @ x[0] >= np.sort(x @ x[i])[-2])
+
+
+def test_rows_inserted_later_are_found(spark):
+    rng = np.random.default_rng(6)
+    x = np.ones(16) + 0.05 * rng.standard_normal((2000, 16))  # one dense cell: near rows of most rows come later
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", v.tolist(), "", 0) for i, v in enumerate(x)], VEC)
+    got = similar_vectors(df, "hash_id", "embedding", 30, dim=16, effort=60).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    least = np.sort(s, axis=1)[:, -30] - 1e-6
+    recall = sum(r[2] >= least[int(r[0])] for r in got) / (30 * len(x))
+    print("recall", recall)
+    assert recall >= 0.98
+
+
 def test_no_vectors(spark):
     assert similar_vectors(spark.createDataFrame([], VEC), "hash_id", "embedding").count() == 0
     assert similar_vectors(spark.createDataFrame([("a", [0.0] * 64, "", 0)], VEC), "hash_id", "embedding").count() == 0
