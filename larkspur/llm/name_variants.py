@@ -104,12 +104,13 @@ def _bands(words: DataFrame, q: int, rows: int, bands: int) -> DataFrame:
 
 
 def word_variants(words: DataFrame, *, q: int = 3, rows: int = 3, similarity: float = 0.5, recall: float = 0.97) -> DataFrame:
-    """``w, canon``: rare words (``w, df``) that are misspellings of a more frequent word."""
-    long_words = words.where(F.length("w") >= 5)
+    """``w, canon``: words (``w, df``) that are misspellings of a word at least twice as frequent, however frequent they are."""
+    long_words = words.where(F.length("w") >= 4)
     bands = bands_for(similarity, recall, rows)
-    rare = _bands(long_words.where("df <= 6"), q, rows, bands)
+    ratio = F.when(F.length("w") == 4, 10).otherwise(2)  # given names of four letters often differ in one
+    rare = _bands(long_words, q, rows, bands)
     known = _bands(long_words.where("df >= 2"), q, rows, bands).select(F.col("w").alias("u"), F.col("df").alias("udf"), "band")
-    met = rare.join(known, "band").where((F.col("w") != F.col("u")) & (F.col("udf") >= 2 * F.col("df"))).select("w", "df", "u", "udf").distinct()
+    met = rare.join(known, "band").where((F.col("w") != F.col("u")) & (F.col("udf") >= ratio * F.col("df"))).select("w", "df", "u", "udf").distinct()
     far = F.levenshtein("w", "u")
     # two neighbouring letters swapped count as one slip: the letters are the same
     same = F.array_sort(F.split("w", "")) == F.array_sort(F.split("u", ""))

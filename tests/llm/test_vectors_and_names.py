@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from larkspur.llm.hnsw import Shard
-from larkspur.llm.name_variants import bands_for, monge_elkan, name_sets, tokens, variant_pairs
+from larkspur.llm.name_variants import bands_for, monge_elkan, name_sets, tokens, variant_pairs, word_variants
 from larkspur.llm.queries import p3_found
 from larkspur.llm.similar_vectors import plan_shards, similar_vectors
 
@@ -141,3 +141,11 @@ def test_name_parts():
     assert monge_elkan(["t", "vibor"], ["tesudas", "vibor"]) == pytest.approx(0.95)
     b = bands_for(0.5, 0.97, 3)
     assert 1 - (1 - 0.5**3) ** b >= 0.97 > 1 - (1 - 0.5**3) ** (b - 1)
+
+
+def test_frequent_and_short_misspellings_are_linked(spark):
+    rows = [("research", 300), ("resaerch", 7), ("reserch", 41)]
+    got = {r[0]: r[1] for r in word_variants(spark.createDataFrame(rows, "w string, df bigint")).collect()}
+    assert got == {"resaerch": "research", "reserch": "research"}
+    short = {r[0]: r[1] for r in word_variants(spark.createDataFrame([("local", 108), ("loal", 1), ("tina", 6), ("hina", 3)], "w string, df bigint")).collect()}
+    assert short == {"loal": "local"}
