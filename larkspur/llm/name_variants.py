@@ -2,8 +2,9 @@
 
 1. A name becomes lower-case tokens without accents, titles and connectives.
 2. Distinct tokens, not rows, are compared: MinHash bands over their padded
-   q-grams propose pairs, edit distance verifies them, and a rare token becomes
-   a satellite of a frequent one. The number of bands follows from the collision
+   q-grams and what is left of two tokens without the allowed slips propose
+   pairs, edit distance verifies them, and a rare token becomes a satellite of
+   a frequent one. The number of bands follows from the collision
    curve ``1 - (1 - s**r)**b`` for the wanted recall at similarity s.
 3. Each name splits into its core (the token shared by a family) and its
    qualifiers (given names, or the words that say what a place or body is).
@@ -20,6 +21,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -103,13 +105,35 @@ def _bands(words: DataFrame, q: int, rows: int, bands: int) -> DataFrame:
     return sig.select("w", "df", F.explode(parts).alias("band"))
 
 
+def allowed_slips(length: int) -> int:
+    return 3 if length >= 9 else 2 if length >= 7 else 1
+
+
+def remains(word: str) -> set[str]:
+    """What is left of a word without up to its allowed slips of letters: words that few slips part have one in common."""
+    return {"".join(word[i] for i in keep) for d in range(min(allowed_slips(len(word)), len(word) - 1) + 1) for keep in itertools.combinations(range(len(word)), len(word) - d)}
+
+
+def _remains(words: DataFrame) -> DataFrame:
+    """``w, df, band``: one hash for each of the remains of a word."""
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b[at : at + 500]
+                yield part.assign(left=[sorted(remains(w)) for w in part["w"]]).explode("left")
+
+    return words.select("w", "df").mapInPandas(remove, "w string, df bigint, left string").select("w", "df", F.xxhash64("left").alias("band"))
+
+
 def word_variants(words: DataFrame, *, q: int = 3, rows: int = 3, similarity: float = 0.5, recall: float = 0.97) -> DataFrame:
     """``w, canon``: words (``w, df``) that are misspellings of a word at least twice as frequent, however frequent they are."""
     long_words = words.where(F.length("w") >= 4)
     bands = bands_for(similarity, recall, rows)
     ratio = F.when(F.length("w") == 4, 10).otherwise(2)  # given names of four letters often differ in one
-    rare = _bands(long_words, q, rows, bands)
-    known = _bands(long_words.where("df >= 2"), q, rows, bands).select(F.col("w").alias("u"), F.col("df").alias("udf"), "band")
+    rare = _bands(long_words, q, rows, bands).unionByName(_remains(long_words))  # the remains miss no allowed edit, the bands add permuted letters
+    usual = long_words.where("df >= 2")
+    known = _bands(usual, q, rows, bands).unionByName(_remains(usual)).select(F.col("w").alias("u"), F.col("df").alias("udf"), "band")
     met = rare.join(known, "band").where((F.col("w") != F.col("u")) & (F.col("udf") >= ratio * F.col("df"))).select("w", "df", "u", "udf").distinct()
     far = F.levenshtein("w", "u")
     # two neighbouring letters swapped count as one slip: the letters are the same
@@ -118,9 +142,13 @@ def word_variants(words: DataFrame, *, q: int = 3, rows: int = 3, similarity: fl
     allowed = F.when(F.length("u") >= 9, 3).when(F.length("u") >= 7, 2).otherwise(1)
     near = met.withColumn("slips", slips).where(F.col("slips") <= allowed)
     best = near.groupBy("w").agg(F.max_by("u", F.struct(-F.col("slips"), F.col("udf"), F.col("u"))).alias("canon"))
-    # a centre that is a satellite itself passes its own on to its centre
-    again = best.select(F.col("w").alias("canon"), F.col("canon").alias("top"))
-    return best.join(again, "canon", "left").select("w", F.coalesce("top", "canon").alias("canon"))
+    # a centre that is a satellite itself passes its own on to its centre; every step doubles the links followed, and no chain has a cycle
+    while True:
+        best = cut(best)
+        again = best.select(F.col("w").alias("canon"), F.col("canon").alias("top"))
+        if best.join(again, "canon", "left_semi").isEmpty():
+            return best
+        best = best.join(again, "canon", "left").select("w", F.coalesce("top", "canon").alias("canon"))
 
 
 def _jaro_winkler(a: str, b: str) -> float:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from larkspur.llm.hnsw import Shard
-from larkspur.llm.name_variants import bands_for, monge_elkan, name_sets, tokens, variant_pairs, word_variants
+from larkspur.llm.name_variants import bands_for, monge_elkan, name_sets, remains, tokens, variant_pairs, word_variants
 from larkspur.llm.queries import p3_found
 from larkspur.llm.similar_vectors import plan_shards, similar_vectors
 
@@ -149,3 +149,21 @@ def test_frequent_and_short_misspellings_are_linked(spark):
     assert got == {"resaerch": "research", "reserch": "research"}
     short = {r[0]: r[1] for r in word_variants(spark.createDataFrame([("local", 108), ("loal", 1), ("tina", 6), ("hina", 3)], "w string, df bigint")).collect()}
     assert short == {"loal": "local"}
+
+
+def test_every_allowed_slip_is_proposed_and_chains_reach_their_end(spark):
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, true = [], {}
+    for _ in range(120):
+        u = "".join(rng.choice(letters, 9))
+        at = set(rng.choice([1, 4, 7], 3, replace=False))  # three substitutions that leave no common run of three letters
+        w = "".join("0" if i in at else c for i, c in enumerate(u))
+        rows += [(u, 100), (w, 1)]
+        true[w] = u
+    got = {r[0]: r[1] for r in word_variants(spark.createDataFrame(rows, "w string, df bigint")).collect()}
+    assert got == true
+    assert remains("abcde") & remains("abdce") and not remains("abcde") & remains("abxye")
+    chain = [("abcde", 1), ("abcdf", 2), ("abcgf", 4), ("abhgf", 8), ("aihgf", 16)]
+    got = {r[0]: r[1] for r in word_variants(spark.createDataFrame(chain, "w string, df bigint")).collect()}
+    assert got == {w: "aihgf" for w, _ in chain[:-1]}
