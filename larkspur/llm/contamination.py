@@ -4,8 +4,8 @@ Both sides become words without case, punctuation, layout and markup. Runs of
 `run` words shared with an item are the seeds; a document that shares too few
 to reach the threshold is dropped before any tiling. For every remaining
 (document, item) the longest unmarked common runs are marked one after another,
-found by Karp-Rabin hashing, so reordered passages count as well, and the
-marked share of the item decides.
+found by Karp-Rabin hashing, so reordered passages count as well; then the
+words of common runs that overlap a tile are added, and the share decides.
 
 Defined results: NULL, empty and very short texts are never a case; a repeated
 document id is one row a pair; repeated items are reported each; further
@@ -62,11 +62,11 @@ def _windows(ids: Sequence[int], marked: bytearray, length: int) -> Iterator[tup
 
 
 def tile(item: Sequence[str], doc: Sequence[str], run: int) -> int:
-    """Words of `item` covered by the greedy tiling with `doc`, in tiles of at least `run` words."""
+    """Words of `item` that stand in `doc` in common runs of at least `run` words: the greedy tiling, and the runs that overlap its tiles."""
     code = {w: i + 1 for i, w in enumerate(dict.fromkeys(item))}
     a, b = [code[w] for w in item], [code.get(w, 0) for w in doc]
     used_a, used_b = bytearray(len(a)), bytearray(not w for w in b)  # words that are not the item's match nothing
-    length, covered = max(run, len(a)), 0
+    length = max(run, len(a))
     while length >= run:
         at_hash: dict[int, list[int]] = {}
         for i, h in _windows(a, used_a, length):
@@ -95,8 +95,12 @@ def tile(item: Sequence[str], doc: Sequence[str], run: int) -> int:
         for i, j in tiles:
             if not any(used_a[i : i + longest]) and not any(used_b[j : j + longest]):
                 used_a[i : i + longest] = used_b[j : j + longest] = b"\x01" * longest
-                covered += longest
-    return covered
+    # runs of which a part is marked already leave too few words for a tile, but their words count
+    held = {tuple(b[j : j + run]) for j in range(len(b) - run + 1)}
+    for i in range(len(a) - run + 1):
+        if tuple(a[i : i + run]) in held:
+            used_a[i : i + run] = b"\x01" * run
+    return sum(used_a)
 
 
 def leaked_items(

@@ -71,6 +71,13 @@ def union_coverage(item, doc, run):
     return len({p for i in range(len(item) - run + 1) if tuple(item[i : i + run]) in grams for p in range(i, i + run)})
 
 
+def test_overlapping_fragments_count_once_each():
+    item = [f"w{i}" for i in range(30)]
+    doc = item[:8] + ["x"] + item[4:12]
+    assert tile(item, doc, 6) == 12
+    assert tile(item, item[:8] + ["x"] + item[8:12], 6) == 8
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     word = [f"w{i}" for i in range(400)]
