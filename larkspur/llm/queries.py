@@ -11,7 +11,7 @@ from .cooccurrence import NOT_BLANK, PairTable, records
 from .mixing import mix
 from .name_variants import name_sets, variant_pairs
 from .pair_defects import pair_defects
-from .reading_level import fit_limits, grades, is_english_prose, reading_levels
+from .reading_level import english_measures, fit_languages, fit_scales, grades, reading_levels
 from .sentences import split_sentences
 from .similar_vectors import linked_pairs, similar_vectors
 from .sql import SQL as SQL
@@ -128,14 +128,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    limits = fit_limits(table(spark, sf, "graded_texts"), "text", "reading_level")
-    return reading_levels(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", limits).select(F.col("key").alias("doc_id"), "reading_level")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    scales = fit_scales(table(spark, sf, "graded_texts"), "text", "reading_level")
+    levels = reading_levels(docs, "doc_id", "text", scales, fit_languages(docs, "text", "lang"))
+    return levels.select(F.col("key").alias("doc_id"), "reading_level")
 
 
 def p9_grades(spark: SparkSession, sf: str) -> DataFrame:
-    """The five grade estimates and their median for every English prose text."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).where(is_english_prose(F.col("text")))
-    out = grades(docs, "doc_id", "text")
+    """The grades of every English prose text by the published formulas, and their median."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    out = grades(english_measures(docs, "doc_id", "text", fit_languages(docs, "text", "lang"))).dropDuplicates(["key"])
     return out.select(F.col("key").alias("doc_id"), *[F.round(c, 3).alias(c) for c in out.columns[1:]])
 
 

@@ -1,151 +1,240 @@
 """Reading level of English prose: the median of classic readability grades, placed on a graded scale.
 
-Five formulas use words a sentence and syllables, letters or long words a word.
-All counts come from regular expressions over the whole text, inside the JVM:
-silent endings go, each vowel group becomes one mark, and what is left of a word
-is its syllables. Names (capitals inside a sentence) do not count as words. A
-sentence counts `longest` words at most and the usual sentence is the median one,
-so that chained clauses do not pass for demanding ones. The limits between the levels are fitted on a bounded table
-of graded texts.
+Three classic formulas grade a text by its sentence length and one measure of
+its words: Flesch-Kincaid (syllables), Gunning Fog (words of three syllables and
+more) and the Automated Readability Index (letters). As these formulas once were
+themselves, their weights are fitted again on a graded table, here by ordered
+logistic regression on a bounded number of graded rows; the median of the three
+estimates is the level.
+
+Sentence length follows Gunning's rule that independent clauses count as
+sentences of their own; the usual length is the median one. A name is one word,
+however long, and tells nothing about difficulty, so it is in no word measure.
+Syllables come from hyphenation-style rules: vowel groups, silent endings, and
+vowel pairs that part.
+
+Whether a text is English is told by its letter trigrams, from profiles that
+are fitted on a bounded number of labelled rows of each language.
 
 Defined results: NULL, blank, record-list and mainly non-English texts have no
 row; texts without a full sentence count as one sentence; repeated ids give
-one row; further columns are ignored.
+one row; without any graded row there is no result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from statistics import median
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COMBINED = ("ari", "cli", "fog")
-#: Frequent words that tell the languages in Latin script apart (fixed values).
-ENGLISH = "the that which had were been its whose before after when because nobody people many then there did upon with by for to is was rather than it"
-OTHERS = (
-    "der die das und nicht von den dem ein eine zu mit ist wer des laut mehr als gehört niemand wurde gründete kostete "
-    "le la les des du et qui une est dans pour pas vers arriva fonda coûta demanda quel personne comptes où "
-    "el los las del que se por para con una según nadie llegó fundó dijo midió quién vendió qué hay"
-)
-
-
-def _plain(text: Column) -> Column:
-    return F.regexp_replace(text, r"</?[A-Za-z][^<>]*>|&[a-z]{1,8};|\u00ad", " ")
-
-
-def _bind(value: Column, use) -> Column:
-    """`use(value)`, with `value` computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def is_english_prose(text: Column) -> Column:
-    """Mainly running English prose, judged by the words of the text alone."""
-
-    def judged(t: Column) -> Column:
-        words, low = t["words"], t["low"]
-        n = F.size(words)
-        english = F.size(F.filter(words, lambda w: w.isin(*sorted(set(ENGLISH.split())))))
-        other = F.size(F.filter(words, lambda w: w.isin(*sorted(set(OTHERS.split())))))
-        foreign = F.length(low) - F.length(F.regexp_replace(low, r"[\p{L}&&[^\p{IsLatin}]]+", ""))
-        stops = _without(low, ".!?")
-        lines = F.regexp_count(low, F.lit(r"\n[^\n]{0,80}(?=\n)"))
-        return (
-            (n >= 5) & (stops >= 1) & (english >= 0.03 * n) & (english > other + foreign / 3)
-            & (_without(low, "|") <= stops) & (_without(low, "|\t;") + lines <= 4 * stops + 4)
-        )
+MEASURES = "sentence double, syllables double, letters double, long double"
+#: The word measure that goes with sentence length in each formula.
+FORMULAS = {"fk": "syllables", "fog": "long", "ari": "letters"}
 
-    def split(low: Column) -> Column:
-        return F.struct(low.alias("low"), F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "").alias("words"))
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&[a-z]{1,8};|­")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_INITIAL = re.compile(r"\b([A-Z]|[DM]r|Mrs|[SM]t|Jr|Prof)\.(?=[\s,])")
+_END = re.compile(r"[!?]+[\"”’»)\]]*(?=\s|$)|\.+[\"”’»)\]]*(?=\s+[\"“‘«(\[]*[^\W_a-z]|\s*$)|[;:]\s+|\n\s*\n")
+_SILENT = re.compile(r"(?<=[^aeiouyl])e$|(?<=[aeiouy]l)e$|(?<=[^aeiouytd])e(?=d$)|(?<=[^aeiouyscxzhg])e(?=s$)")
+_APART = re.compile(r"i(?=[ao](?!n))|[aeiou](?=ing)|e(?=o)|u(?=[ao])")
+_JOINING = frozenset(("of", "and", "the", "for", "de"))
 
-    return F.coalesce(_bind(_bind(F.lower(_plain(text)), split), judged), F.lit(False))
 
+@lru_cache(1 << 16)
+def syllables(word: str) -> int:
+    """Vowel groups that sound, and pairs of vowels that part."""
+    w = word.lower()
+    groups = len(re.findall(r"[aeiouy]+", w))
+    spoken = len(re.findall(r"[aeiouy]+", _SILENT.sub("", w))) if groups > 1 else groups
+    return max(1, spoken + len(_APART.findall(w)))
 
-def measures(text: Column, longest: int) -> Column:
-    """Struct of the median words a sentence and the syllables, letters and long words a word."""
 
-    def usual_length(plain: Column) -> Column:
-        sentence = F.split(plain, r"[.!?]+(?<=[\p{L}\p{N}”’\")]{3}[.!?]{1,3})[\"”’)]*\s+|[!?]\s+|\n\s*\n")
-        lengths = F.filter(F.transform(sentence, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w.rlike(r"\p{L}")))), lambda n: n > 0)
-        ordered = F.sort_array(F.transform(lengths, lambda n: F.least(n, F.lit(longest))))
+def clauses(words: list[str], least: int = 5) -> tuple[list[int], list[str]]:
+    """Lengths of the independent clauses of one sentence and its common words.
 
-        def middle(ns: Column) -> Column:
-            at = F.size(ns) + 1
-            return (F.try_element_at(ns, F.floor(at / 2).cast("int")) + F.try_element_at(ns, F.floor((at + 1) / 2).cast("int"))) / 2
-
-        return _bind(ordered, lambda ns: F.when(F.size(ns) > 0, middle(ns)).otherwise(1.0))
-
-    def common_words(plain: Column) -> Column:
-        """Words that are no names, in lower case, each between single spaces."""
-        common = F.lower(F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}\p{N},;:'’-] .)[\p{L}'’-]*", " "))
-        common = F.regexp_replace(common, r"(?<=\p{L})['’-](?=\p{L})", "")
-        return F.concat(F.lit(" "), F.trim(F.regexp_replace(common, r"[^\p{L}]+", " ")), F.lit(" "))
-
-    def marked(common: Column) -> Column:
-        """One mark for each vowel group that sounds, spaces between words."""
-        ahead = r"(?<=[aeiouy][^aeiouy ]{0,3}"  # a vowel before, so that no word loses its only one
-        ends = (r"e(?= )" + ahead + r"[^aeiouyl ]e)", r"e(?= )(?<=[aeiouy]le)", r"e(?=d )" + ahead + r"[^aeiouytd ]e)", r"e(?=s )" + ahead + r"[^aeiouyscxzhg ]e)")
-        silent = F.regexp_replace(common, "|".join(ends), "")
-        apart = F.regexp_replace(silent, r"i(?=[ao](?!n))|[aeiou](?=ing)|e(?=o)|u(?=[ao])", "$0'")
-        return F.regexp_replace(F.regexp_replace(apart, r"[aeiouy]+", "1"), r"[^1 ]+", "")
-
-    def counted(t: Column) -> Column:
-        words = F.greatest(_without(t["common"], " ") - 1, F.lit(0))
-        n = F.greatest(words, F.lit(1))
-        long_words = F.length(F.regexp_replace(t["marks"], "111+", "x")) - F.length(F.regexp_replace(t["marks"], "111+", ""))
-        return F.struct(
-            t["sentence"].alias("sentence"),
-            (F.greatest(_without(t["marks"], "1"), words) / n).alias("syllables"),
-            ((F.length(t["common"]) - words - 1) / n).alias("letters"),
-            (long_words / n).alias("long"),
-        )
-
-    def parts(plain: Column) -> Column:
-        return _bind(F.struct(usual_length(plain).alias("sentence"), common_words(plain).alias("common")), lambda t: F.struct(t["sentence"].alias("sentence"), t["common"].alias("common"), marked(t["common"]).alias("marks")))
-
-    return _bind(_bind(_plain(text), parts), counted)
-
-
-def grades(df: DataFrame, key: str, text: str, longest: int = 18, weight: float = 1.5) -> DataFrame:
-    """``key, fk, ari, cli, fog, smog, grade``; `grade` is the median of the estimates named in `COMBINED`.
-
-    These three and a `weight` of the sentence length above 1 place graded texts best when each is left out in turn.
+    A clause ends before `and` or `but` if it and what follows have `least` words; what `both` opens is no clause.
+    """
+    part, parts, common, both, name = 0, [], [], False, False
+    for i, w in enumerate(words):
+        upper = w[0].isupper() and (i > 0 or (len(words) > 1 and words[1][0].isupper()))
+        if upper:
+            part += not name
+            name = True
+        elif name and w in _JOINING and i + 1 < len(words) and words[i + 1][0].isupper():
+            continue  # inside a name
+        else:
+            name = False
+            if w in ("and", "but") and part and not both:
+                parts.append(part)
+                part = 0
+            else:
+                part += 1
+                both |= w == "both"
+            common.append(w)
+    parts.append(part)
+    done = [parts[0]]
+    for p in parts[1:]:
+        if p < least or done[-1] < least:
+            done[-1] += p + 1
+        else:
+            done.append(p)
+    return [n for n in done if n], common
+
+
+def measure(text: str) -> tuple[float, float, float, float]:
+    """The usual clause length, and syllables, letters and the share of long words a word."""
+    plain = _INITIAL.sub(r"\1", _MARKUP.sub(" ", text))
+    lengths, count, syl, letters, long = [], 0, 0, 0, 0
+    for sentence in _END.split(plain):
+        n, common = clauses(words) if (words := _WORD.findall(sentence)) else ([], [])
+        lengths += n
+        count += len(common)
+        letters += sum(map(len, common))
+        for w in common:
+            s = syllables(w)
+            syl += s
+            long += s >= 3
+    count = max(count, 1)
+    return float(median(lengths)) if lengths else 1.0, max(syl, 1) / count, max(letters, 1) / count, long / count
+
+
+def is_prose(text: Column) -> Column:
+    """Running text, not blank and no list of records: sentence ends are not outnumbered by separators and short lines."""
+    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    stops = without(".!?")
+    lines = F.regexp_count(text, F.lit(r"\n[^\n]{0,80}(?=\n)"))
+    ok = (stops >= 1) & (without("|") <= stops) & (without("|\t;") + lines <= 4 * stops + 4)
+    return F.coalesce(ok & text.rlike(r"(?:\p{L}+[^\p{L}]+){4}\p{L}"), F.lit(False))
+
+
+def _trigrams(text: str, buckets: int) -> np.ndarray:
+    letters = re.sub(r"[\W\d_]+", " ", text.lower())
+    c = np.frombuffer(f" {letters} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return (c[:-2] * 1_000_003 + c[1:-1] * 8191 + c[2:]) % buckets
+
+
+def fit_languages(docs: DataFrame, text: str, lang: str, most: int = 300, languages: int = 32, buckets: int = 1 << 14) -> tuple[list[str], np.ndarray]:
+    """Codes and log trigram rates of the most frequent languages, from at most `most` labelled texts of each.
+
+    The label's first two letters count. Of a language, texts are taken in the order of their hash. As some labels are
+    wrong, profiles are fitted again without the texts that another language's profile fits better.
     """
-    base = df.select(F.col(key).alias("key"), measures(F.col(text), longest).alias("m"))
-    s, y, c, h = F.greatest("m.sentence", F.lit(1.0)), F.col("m.syllables"), F.col("m.letters"), F.col("m.long")
-    est = {
-        "fk": 0.39 * weight * s + 11.8 * y - 15.59,
-        "ari": 4.71 * c + 0.5 * weight * s - 21.43,
-        "cli": 5.88 * c - 29.6 * weight / s - 15.8,
-        "fog": 0.4 * (weight * s + 100 * h),
-        "smog": 1.043 * F.sqrt(30 * weight * h * s) + 3.1291,
-    }
-    out = base.select("key", *[v.alias(k) for k, v in est.items()])
-    return out.withColumn("grade", F.sort_array(F.array(*COMBINED))[len(COMBINED) // 2])
-
-
-def fit_limits(graded: DataFrame, text: str, level: str, longest: int = 18, most: int = 10_000) -> list[float]:
-    """Grade limits between neighbouring levels, of least training error, from at most `most` graded rows."""
-    rows = grades(graded.where(F.col(text).isNotNull() & F.col(level).isNotNull()).limit(most), level, text, longest).select("key", "grade").collect()
-    if not rows:
-        return []
-    y, v = np.array([r["key"] for r in rows]), np.array([r["grade"] for r in rows])
-    cut = np.unique(v)
-    mids = np.concatenate([[cut[0] - 1], (cut[1:] + cut[:-1]) / 2, [cut[-1] + 1]])
-    limits = []
-    for n in range(int(y.min()), int(y.max())):
-        wrong = np.array([((v > m) & (y <= n)).sum() + ((v <= m) & (y > n)).sum() for m in mids])
-        limits.append(float(mids[wrong == wrong.min()].mean()))
-    return list(np.maximum.accumulate(limits))
-
-
-def reading_levels(docs: DataFrame, key: str, text: str, limits: list[float], first: int = 1, longest: int = 18) -> DataFrame:
-    """``key, grade, reading_level`` of every English prose text."""
-    prose = docs.where(F.col(key).isNotNull() & is_english_prose(F.col(text)))
-    level = F.lit(first)
-    for limit in limits:
-        level = level + (F.col("grade") > limit).cast("int")
-    return grades(prose, key, text, longest).groupBy("key").agg(F.max("grade").alias("grade")).withColumn("reading_level", level)
+    code = F.regexp_extract(F.lower(F.trim(F.col(lang))), r"^([a-z]{2})(?![a-z])", 1)
+    rows = docs.select(F.col(text).alias("text"), code.alias("lang")).where(is_prose(F.col("text")) & (F.col("lang") != ""))
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    few = rows.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most)
+    top = few.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    seen = few.join(F.broadcast(top), "lang", "left_semi").select("lang", "text").collect()  # at most `languages * most` rows
+    codes = sorted({r["lang"] for r in seen})
+    grams, label = [_trigrams(r["text"], buckets) for r in seen], np.array([codes.index(r["lang"]) for r in seen], dtype=int)
+
+    def fit(keep: np.ndarray) -> np.ndarray:
+        count = np.full((len(codes), buckets), 0.5)
+        for g, c, k in zip(grams, label, keep, strict=True):
+            if k:
+                np.add.at(count[c], g, 1)
+        return np.log(count / count.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    rates = fit(np.ones(len(seen), bool))
+    if len(codes) > 1:
+        rates = fit(np.array([rates[:, g].sum(axis=1).argmax() == c for g, c in zip(grams, label, strict=True)]))
+    return codes, rates
+
+
+def english_measures(docs: DataFrame, key: str, text: str, languages: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """``key`` and the measures of every prose text; with `languages`, of the English ones."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & is_prose(F.col("text")))
+    codes, rates = languages or (["en"], np.zeros((1, 1), np.float32))
+    english = codes.index("en") if "en" in codes else -1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [len(codes) == 1 or rates[:, _trigrams(_MARKUP.sub(" ", t), rates.shape[1])].sum(axis=1).argmax() == english for t in b["text"]]
+            some = b[pd.Series(ok, index=b.index, dtype=bool)]
+            got = pd.DataFrame([measure(t) for t in some["text"]], columns=[c.split()[0] for c in MEASURES.split(", ")], dtype=float)
+            yield got.assign(key=some["key"].to_numpy())[["key", *got.columns]]
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInPandas(run, f"key {kind}, {MEASURES}")
+
+
+def grades(measures: DataFrame) -> DataFrame:
+    """``key, fk, fog, ari, grade``: the formulas with their published weights, and their median."""
+    s, y, c, h = F.greatest("sentence", F.lit(1.0)), F.col("syllables"), F.col("letters"), F.col("long")
+    est = {"fk": 0.39 * s + 11.8 * y - 15.59, "fog": 0.4 * (s + 100 * h), "ari": 4.71 * c + 0.5 * s - 21.43}
+    out = measures.select("key", *[v.alias(k) for k, v in est.items()])
+    return out.withColumn("grade", F.sort_array(F.array(*est))[len(est) // 2])
+
+
+@dataclass(frozen=True)
+class Scale:
+    """One formula on the graded scale: weights of sentence length and word measure, and the limits between the levels."""
+
+    measure: str
+    sentence: float
+    word: float
+    limits: tuple[float, ...]
+    lowest: int
+
+    def level(self) -> Column:
+        """A level with a fraction: limit n lies half-way between two levels, values between limits in proportion."""
+        u = self.sentence * F.col("sentence") + self.word * F.col(self.measure)
+        if not self.limits:
+            return F.lit(float(self.lowest)) + 0 * u
+        gaps = [b - a for a, b in zip(self.limits, self.limits[1:], strict=False)] or [1.0]
+        out = self.lowest + 0.5 + (u - self.limits[0]) / gaps[0]
+        for n, limit in enumerate(self.limits):
+            out = F.when(u > limit, self.lowest + n + 0.5 + (u - limit) / gaps[min(n, len(gaps) - 1)]).otherwise(out)
+        return out
+
+
+def _ordered_logit(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, common to all limits, and limits of ``P(y > k) = logistic(x w - limit_k)``, by Newton's method."""
+    mean, width = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z, cuts = (x - mean) / width, np.arange(y.min(), y.max())
+    a = np.concatenate([np.hstack([z, np.tile(-np.eye(len(cuts))[j], (len(y), 1))]) for j in range(len(cuts))])
+    t = np.concatenate([y > k for k in cuts]).astype(float)
+    penalty = np.array([ridge] * x.shape[1] + [1e-3] * len(cuts))
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        slope = a.T @ (p - t) / len(y) + penalty * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(y) + np.diag(penalty), slope)
+        w -= step * min(1.0, 2 / max(np.abs(step).max(), 1e-12))
+    weights = w[: x.shape[1]] / width
+    return weights, np.maximum.accumulate(w[x.shape[1] :] + mean @ weights + 1e-9 * np.arange(len(cuts)))
+
+
+def fit_scales(graded: DataFrame, text: str, level: str, most: int = 10_000, ridge: float = 0.1) -> dict[str, Scale]:
+    """The formulas' weights on the scale of at most `most` graded texts; empty without any."""
+    known = graded.where(F.col(text).isNotNull() & F.col(level).isNotNull()).limit(most)
+    rows = english_measures(known, level, text).toPandas()
+    if rows.empty:
+        return {}
+    y, out = rows["key"].to_numpy(dtype=int), {}
+    for name, word in FORMULAS.items():
+        if y.min() == y.max():
+            out[name] = Scale(word, 0.0, 0.0, (), int(y.min()))
+            continue
+        w, limits = _ordered_logit(rows[["sentence", word]].to_numpy(dtype=float), y, ridge)
+        out[name] = Scale(word, float(w[0]), float(w[1]), tuple(map(float, limits)), int(y.min()))
+    return out
+
+
+def reading_levels(docs: DataFrame, key: str, text: str, scales: dict[str, Scale], languages: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """``key, estimate, reading_level`` of every English prose text: the median of the formulas' estimates, and the level it falls in."""
+    found = english_measures(docs, key, text, languages)
+    if not scales:
+        return found.limit(0).select("key", F.lit(0.0).alias("estimate"), F.lit(0).alias("reading_level"))
+    low = min(s.lowest for s in scales.values())
+    high = max(s.lowest + len(s.limits) for s in scales.values())
+    estimate = F.sort_array(F.array(*[s.level() for s in scales.values()]))[len(scales) // 2]
+    rows = found.select("key", estimate.alias("estimate")).groupBy("key").agg(F.max("estimate").alias("estimate"))
+    return rows.withColumn("reading_level", F.least(F.greatest(F.floor(F.col("estimate") + 0.5), F.lit(low)), F.lit(high)).cast("int"))

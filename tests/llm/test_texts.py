@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.contamination import leaked_items, tile
 from larkspur.llm.mixing import mix, solve_weights, token_count
-from larkspur.llm.reading_level import fit_limits, grades, reading_levels
+from larkspur.llm.reading_level import clauses, english_measures, fit_languages, fit_scales, grades, reading_levels, syllables
 from larkspur.llm.sentences import boundaries, split_sentences
 
 
@@ -155,33 +155,53 @@ HARD = "Given the epistemological jurisprudence underlying the phenomenology, it
 
 
 def test_reading_levels(spark):
-    graded = spark.createDataFrame([(i, EASY, 1) for i in range(3)] + [(9, HARD, 2), (10, None, 2), (11, "x", None)], "text_id bigint, text string, level int")
-    limits = fit_limits(graded, "text", "level")
-    rows = [(1, EASY * 3), (2, HARD * 2), (2, HARD * 2), (3, None), (4, " "), (5, "year | name | tons\n1917 | Vibor | 172.6\n1869 | Thol | 429.3"), (6, "Le viaduc coûta env. 9,1 millions, cf. les comptes du conseil. Personne ne répondit.")]
-    rows += [(7, "<p>" + EASY * 2000 + "</p>"), (None, EASY), (8, "無人反対。誰も反対しなかった。Vibor of Thol.")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("grade", F.lit("clash"))
-    got = {r["key"]: r["reading_level"] for r in reading_levels(df, "doc_id", "text", limits).collect()}
+    graded = spark.createDataFrame([(i, EASY * (i + 1), 1) for i in range(3)] + [(i, HARD * i, 2) for i in (1, 2, 3)] + [(10, None, 2), (11, "x", None)], "text_id bigint, text string, level int")
+    french = "Le viaduc coûta environ neuf millions, selon les comptes du conseil. Personne ne répondit. "
+    known = [(EASY + HARD, "en"), (EASY, "EN "), (french, "fr"), (french + EASY[:20], "fr-FR"), ("Niemand widersprach, und der Fluss stieg noch in der Nacht. Wer baute das Haus am Hafen?", "de")] * 3 + [(EASY, "fr")]
+    languages = fit_languages(spark.createDataFrame(known, "text string, lang string"), "text", "lang")
+    scales = fit_scales(graded, "text", "level")
+    rows = [(1, EASY * 3), (2, HARD * 2), (2, HARD * 2), (3, None), (4, " "), (5, "year | name | tons\n1917 | Vibor | 172.6\n1869 | Thol | 429.3"), (6, french)]
+    rows += [(7, "<p>" + EASY * 2000 + "</p>"), (None, EASY), (8, "無人反対。誰も反対しなかった。Vibor of Thol."), (9, EASY + french * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("estimate", F.lit("clash"))
+    got = {r["key"]: r["reading_level"] for r in reading_levels(df, "doc_id", "text", scales, languages).collect()}
     assert got == {1: 1, 2: 2, 7: 1}
-    assert reading_levels(df.limit(0), "doc_id", "text", limits).count() == 0
+    assert reading_levels(df.limit(0), "doc_id", "text", scales, languages).count() == 0
+    assert reading_levels(df, "doc_id", "text", fit_scales(graded.limit(0), "text", "level")).count() == 0
+    one = fit_scales(graded.where("level = 1"), "text", "level")
+    assert {r["reading_level"] for r in reading_levels(df, "doc_id", "text", one, languages).collect()} == {1}
+    assert fit_languages(df.limit(0).withColumn("lang", F.lit("en")), "text", "lang")[0] == []
 
 
 def test_grades_follow_the_formulas(spark):
-    text = "The careful teacher opened the kitchen. Nobody objected."
-    r = grades(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", weight=1.0).first()
+    text = "The careful teacher opened the kitchen. Nobody objected to it."
+    r = grades(english_measures(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t")).first()
     words = re.findall(r"\w+", text)
-    syllables = {"the": 1, "careful": 3, "teacher": 2, "opened": 2, "kitchen": 2, "nobody": 3, "objected": 3}
-    s, y, c = len(words) / 2, sum(syllables[w.lower()] for w in words) / len(words), sum(map(len, words)) / len(words)
+    spoken = {"the": 1, "careful": 3, "teacher": 2, "opened": 2, "kitchen": 2, "nobody": 3, "objected": 3, "to": 1, "it": 1}
+    assert all(syllables(w) == n for w, n in spoken.items())
+    s, y, c = len(words) / 2, sum(spoken[w.lower()] for w in words) / len(words), sum(map(len, words)) / len(words)
     assert r["fk"] == pytest.approx(0.39 * s + 11.8 * y - 15.59)
     assert r["ari"] == pytest.approx(4.71 * c + 0.5 * s - 21.43)
-    assert r["cli"] == pytest.approx(5.88 * c - 29.6 / s - 15.8)
-    assert r["grade"] == sorted([r["ari"], r["cli"], r["fog"]])[1]
+    assert r["fog"] == pytest.approx(0.4 * (s + 100 * 3 / len(words)))
+    assert r["grade"] == sorted([r["ari"], r["fk"], r["fog"]])[1]
+
+
+def test_clauses_and_names():
+    assert clauses("We hid the cat well and the dog saw the cow".split())[0] == [5, 5]
+    assert clauses("The dog and the cow saw the cat".split())[0] == [8]
+    assert clauses("It moved both the semiotics of time and the diachrony of the council".split())[0] == [13]
+    assert clauses("Vibor Thol of Marine Research saw the cat".split())[0] == [4]
+    assert clauses("Then Vibor Thol saw the cat".split())[0] == [5]
 
 
 @pytest.mark.slow
 def test_graded_texts_are_placed(spark):
+    """Each half of the graded texts is placed by weights fitted on the other."""
     graded = spark.read.parquet("/root/testdata/sf0.01/graded_texts.parquet")
-    known, held = graded.where("text_id % 2 = 0"), graded.where("text_id % 2 = 1")
-    limits = fit_limits(known, "text", "reading_level")
-    placed = reading_levels(held, "text_id", "text", limits).join(held.select(F.col("text_id").alias("key"), F.col("reading_level").alias("level")), "key")
-    rows = placed.collect()
-    assert len(rows) == held.count() and sum(r["reading_level"] == r["level"] for r in rows) >= 0.85 * len(rows)
+    right = total = 0
+    for n in (0, 1):
+        scales = fit_scales(graded.where(F.col("text_id") % 2 == n), "text", "reading_level")
+        held = graded.where(F.col("text_id") % 2 != n)
+        rows = reading_levels(held, "text_id", "text", scales).join(held.select(F.col("text_id").alias("key"), F.col("reading_level").alias("level")), "key").collect()
+        right, total = right + sum(r["reading_level"] == r["level"] for r in rows), total + held.count()
+        assert len(rows) == held.count()
+    assert right >= 0.85 * total
