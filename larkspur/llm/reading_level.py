@@ -44,6 +44,8 @@ _INITIAL = re.compile(r"\b([A-Z]|[DM]r|Mrs|[SM]t|Jr|Prof)\.(?=[\s,])")
 _END = re.compile(r"[!?]+[\"”’»)\]]*(?=\s|$)|\.+[\"”’»)\]]*(?=\s+[\"“‘«(\[]*[^\W_a-z]|\s*$)|[;:]\s+|\n\s*\n")
 _SILENT = re.compile(r"(?<=[^aeiouyl])e$|(?<=[aeiouy]l)e$|(?<=[^aeiouytd])e(?=d$)|(?<=[^aeiouyscxzhg])e(?=s$)")
 _APART = re.compile(r"i(?=[ao](?!n))|[aeiou](?=ing)|e(?=o)|u(?=[ao])")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+_FIVE_WORDS = re.compile(r"(?:[^\W\d_]+[\W\d_]+){4}[^\W\d_]")
 _JOINING = frozenset(("of", "and", "the", "for", "de"))
 
 
@@ -105,13 +107,15 @@ def measure(text: str) -> tuple[float, float, float, float]:
     return float(median(lengths)) if lengths else 1.0, max(syl, 1) / count, max(letters, 1) / count, long / count
 
 
-def is_prose(text: Column) -> Column:
-    """Running text, not blank and no list of records: sentence ends are not outnumbered by separators and short lines."""
-    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    stops = without(".!?")
-    lines = F.regexp_count(text, F.lit(r"\n[^\n]{0,80}(?=\n)"))
-    ok = (stops >= 1) & (without("|") <= stops) & (without("|\t;") + lines <= 4 * stops + 4)
-    return F.coalesce(ok & text.rlike(r"(?:\p{L}+[^\p{L}]+){4}\p{L}"), F.lit(False))
+def is_prose(text: str) -> bool:
+    """Running text in Latin script, not blank and no list of records: sentence ends are not outnumbered by separators and short lines."""
+    stops, bars = sum(map(text.count, ".!?")), text.count("|")
+    if not stops or bars > stops or not _FIVE_WORDS.search(text):
+        return False
+    if not text.isascii() and 2 * len(_ASCII_LETTER.findall(text)) < sum(map(str.isalpha, text)):
+        return False
+    lines = sum(len(x) <= 80 for x in text.split("\n")[1:-1])
+    return bars + text.count("\t") + text.count(";") + lines <= 4 * stops + 4
 
 
 def _trigrams(text: str, buckets: int) -> np.ndarray:
@@ -127,7 +131,7 @@ def fit_languages(docs: DataFrame, text: str, lang: str, most: int = 300, langua
     wrong, profiles are fitted again without the texts that another language's profile fits better.
     """
     code = F.regexp_extract(F.lower(F.trim(F.col(lang))), r"^([a-z]{2})(?![a-z])", 1)
-    rows = docs.select(F.col(text).alias("text"), code.alias("lang")).where(is_prose(F.col("text")) & (F.col("lang") != ""))
+    rows = docs.select(F.col(text).alias("text"), code.alias("lang")).where((F.length("text") >= 40) & (F.col("lang") != ""))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     few = rows.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most)
     top = few.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
@@ -150,13 +154,16 @@ def fit_languages(docs: DataFrame, text: str, lang: str, most: int = 300, langua
 
 def english_measures(docs: DataFrame, key: str, text: str, languages: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """``key`` and the measures of every prose text; with `languages`, of the English ones."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & is_prose(F.col("text")))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
     codes, rates = languages or (["en"], np.zeros((1, 1), np.float32))
     english = codes.index("en") if "en" in codes else -1
 
+    def spoken(t: str) -> int:
+        return rates[:, _trigrams(_MARKUP.sub(" ", t), rates.shape[1])].sum(axis=1).argmax()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [len(codes) == 1 or rates[:, _trigrams(_MARKUP.sub(" ", t), rates.shape[1])].sum(axis=1).argmax() == english for t in b["text"]]
+            ok = [is_prose(t) and (len(codes) == 1 or spoken(t) == english) for t in b["text"]]
             some = b[pd.Series(ok, index=b.index, dtype=bool)]
             got = pd.DataFrame([measure(t) for t in some["text"]], columns=[c.split()[0] for c in MEASURES.split(", ")], dtype=float)
             yield got.assign(key=some["key"].to_numpy())[["key", *got.columns]]

@@ -161,7 +161,7 @@ def test_reading_levels(spark):
     languages = fit_languages(spark.createDataFrame(known, "text string, lang string"), "text", "lang")
     scales = fit_scales(graded, "text", "level")
     rows = [(1, EASY * 3), (2, HARD * 2), (2, HARD * 2), (3, None), (4, " "), (5, "year | name | tons\n1917 | Vibor | 172.6\n1869 | Thol | 429.3"), (6, french)]
-    rows += [(7, "<p>" + EASY * 2000 + "</p>"), (None, EASY), (8, "無人反対。誰も反対しなかった。Vibor of Thol."), (9, EASY + french * 3)]
+    rows += [(7, "<p>" + EASY * 2000 + "</p>"), (None, EASY), (8, "無人反対。誰も反対しなかった。Vibor of Thol."), (9, EASY[:30] + french * 3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("estimate", F.lit("clash"))
     got = {r["key"]: r["reading_level"] for r in reading_levels(df, "doc_id", "text", scales, languages).collect()}
     assert got == {1: 1, 2: 2, 7: 1}
