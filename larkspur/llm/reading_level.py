@@ -8,7 +8,7 @@ logistic regression on a bounded number of graded rows; the median of the three
 estimates is the level.
 
 Sentence length follows Gunning's rule that independent clauses count as
-sentences of their own; the usual length is the median one. A name is one word,
+sentences of their own; the usual length is the median one. A name is one word (with a first word right before it),
 however long, and tells nothing about difficulty, so it is in no word measure.
 Syllables come from hyphenation-style rules: vowel groups, silent endings, and
 vowel pairs that part.

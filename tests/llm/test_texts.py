@@ -190,7 +190,7 @@ def test_clauses_and_names():
     assert clauses("The dog and the cow saw the cat".split())[0] == [8]
     assert clauses("It moved both the semiotics of time and the diachrony of the council".split())[0] == [13]
     assert clauses("Vibor Thol of Marine Research saw the cat".split())[0] == [4]
-    assert clauses("Then Vibor Thol saw the cat".split())[0] == [5]
+    assert clauses("The cat saw Vibor Thol".split())[0] == [4]
 
 
 @pytest.mark.slow
