@@ -1,10 +1,21 @@
-"""Vector functions and similarity of short texts by shared terms."""
+"""Vector functions, and the built-in encoder of texts."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Letters of scripts without spaces between words; each is a word of its own.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: Number of buckets of words whose frequency is kept: the bound of what an encoder carries.
+BUCKETS = 1 << 16
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,29 +32,44 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, 1.0).otherwise((F.greatest(value, F.lit(0.0)) - low) / (high - low))
 
 
-def terms(df: DataFrame, key: str, text: str, pattern: str = r"[a-z]{6,}") -> DataFrame:
-    """``key, term, tf``."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    return df.select(F.col(key), F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def rare_terms(counts: DataFrame, key: str, max_share: float) -> DataFrame:
-    """``term``: those in at most `max_share` of the records, which keeps the joins below small under any skew."""
-    total = counts.agg(F.count_distinct(key).alias("total"))  # one row
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(total)).where(F.col("df") <= F.greatest(F.lit(2.0), F.col("total") * F.lit(max_share))).select("term")
-
-
-def term_vectors(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """``key, term, tf, length`` over the vocabulary."""
-    kept = counts.join(vocabulary, "term")
-    size = kept.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("length"))
-    return kept.join(size, key)
-
-
-def term_cosine(left: DataFrame, lkey: str, right: DataFrame, rkey: str) -> DataFrame:
-    """``lkey, rkey, sim`` of every two records that share a term: an equi-join, never all pairs."""
-    r = right.select(rkey, "term", F.col("tf").alias("rtf"), F.col("length").alias("rlength"))
-    both = left.join(r, "term")
-    cosine = F.sum(F.col("tf") * F.col("rtf")).cast("double") / (F.first("length") * F.first("rlength"))
-    return both.groupBy(lkey, rkey).agg(cosine.alias("sim"))
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters, marks and digits of any script."""
+    low = F.translate(F.lower(text), "ς", "σ")
+    return F.regexp_extract_all(F.regexp_replace(low, UNSPACED, " $1 "), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
+@lru_cache(1 << 16)
+def _place(word: str, dim: int) -> tuple[int, int, float]:
+    """Bucket, dimension and sign of a word, from its MD5."""
+    h = hashlib.md5(word.encode()).hexdigest()
+    return int(h[:4], 16), int(h[4:10], 16) % dim, 1.0 if h[10] < "8" else -1.0
+
+
+def fit_encoder(texts: DataFrame, text: str, dim: int = 256) -> Callable[[Column], Column]:
+    """An encoder of texts as unit vectors: every word adds its rarity among `texts` to one of `dim` places.
+
+    A text without words has a zero vector, NULL has none. Words are counted in `BUCKETS` buckets over all texts, so the table has the same size whatever the vocabulary.
+    """
+    bucket = F.array_distinct(F.transform(words(F.col(text)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int")))
+    seen = np.ones(BUCKETS)
+    for r in texts.where(F.col(text).isNotNull()).select(F.explode(bucket).alias("b")).groupBy("b").count().collect():  # at most BUCKETS rows
+        seen[r["b"]] = r["count"]
+    weight = np.log(1 + texts.where(F.col(text).isNotNull()).count() / seen)
+
+    @F.pandas_udf("array<double>")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = []
+            for ws in part:
+                if ws is None:
+                    out.append(None)
+                    continue
+                v = np.zeros(dim)
+                for w in ws:
+                    b, d, sign = _place(w, dim)
+                    v[d] += sign * weight[b]
+                n = np.sqrt((v * v).sum())
+                out.append(v / n if n else v)
+            yield pd.Series(out, index=part.index)
+
+    return lambda c: encode(words(c))

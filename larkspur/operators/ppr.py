@@ -16,9 +16,12 @@ def clean_reset(reset: DataFrame) -> DataFrame:
     return pos.join(total, "question_id").select("question_id", "id", (F.col("weight") / F.col("total")).alias("mass"))
 
 
-def pagerank(reset: DataFrame, transition: DataFrame, damping: float = 0.5, steps: int = 20, cut_every: int = 4) -> DataFrame:
+def pagerank(reset: DataFrame, transition: DataFrame, damping: float = 0.5, steps: int = 20, least: float = 0.0, cut_every: int = 4) -> DataFrame:
     """``question_id, id, rank``: fixed number of power iterations; the L1 error is at most ``2 * damping**steps``.
 
+    With `least`, a step drops ranks below it, so that a question keeps at most ``1 / least`` vertices however large the
+    graph; what is dropped is missing from the result and adds to the error.
+
     Mass at vertices without edges returns to the reset. `reset` has ``question_id, id, mass``. The iterations run on
     64-bit codes of the keys, which are a third of the keys' size; the keys are joined back once at the end.
     """
@@ -33,6 +36,7 @@ def pagerank(reset: DataFrame, transition: DataFrame, damping: float = 0.5, step
         lost = x.join(ends, "v", "left_semi").groupBy("q").agg(F.sum("rank").alias("lost"))
         back = start.join(lost, "q", "left").select("q", "v", (F.col("mass") * (1 - damping + damping * F.coalesce("lost", F.lit(0.0)))).alias("rank"))
         x = flow.withColumn("rank", F.col("rank") * damping).unionByName(back).groupBy("q", "v").agg(F.sum("rank").alias("rank"))
+        x = x.where(F.col("rank") >= least) if least > 0 else x
         if step % cut_every == 0 or step == steps:
             x = cut(x)
     ids = transition.select(F.col("src").alias("id")).unionByName(reset.select("id")).distinct().select(v, "id")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import min_max
+from .nearest import nearest, unit
 
 
 def cooccurrence(sentence_entity: DataFrame) -> DataFrame:
@@ -32,43 +33,19 @@ def _unit(df: DataFrame) -> DataFrame:
 
 
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table["hash_id"].to_numpy(zero_copy_only=False)
-    x = np.stack(table["embedding"].to_pylist()).astype(np.float64) if table.num_rows else np.zeros((0, 1))
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return ids, x / np.where(n == 0, 1.0, n)
+    return table["hash_id"].to_numpy(zero_copy_only=False), unit(table["embedding"])
 
 
 def entity_knn(entities: DataFrame, k: int = 10, block_rows: int = 2048) -> DataFrame:
-    """``src, dst, sim``: the k nearest other entities by true cosine, exactly.
+    """``src, dst, sim``: the k nearest other entities by true cosine, exactly; the work is the square of the rows, `lsh_knn` compares fewer pairs."""
+    rows = entities.select(F.col("hash_id").alias("id"), F.col("embedding").alias("v"))
+    return nearest(rows, rows, k, others=True, block_rows=block_rows).toDF("src", "dst", "sim")
 
-    Rows fall into blocks; each pair of blocks is one matrix product in one task and keeps k per row, and the parts
-    are merged. The work is the square of the rows; `lsh_knn` compares fewer pairs.
-    """
-    rows = _unit(entities)
-    n = max(1, -(-rows.count() // block_rows))
-    placed = rows.withColumn("b", F.pmod(F.xxhash64("hash_id"), F.lit(n)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    left = placed.select(F.col("b").alias("i"), F.explode(others).alias("j"), F.lit(0).alias("side"), "hash_id", "embedding")
-    right = placed.select(F.explode(others).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "hash_id", "embedding")
-
-    def product(group: pa.Table) -> pa.Table:
-        side = group["side"].to_numpy()
-        a, x = _block(group.filter(pa.array(side == 0)))
-        b, y = _block(group.filter(pa.array(side == 1)))
-        if not len(a) or not len(b):
-            return pa.table({"src": pa.array([], pa.string()), "dst": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
-        order = np.argsort(b)
-        b, y = b[order], y[order]
-        s = np.round(x @ y.T, 6)
-        s[a[:, None] == b[None, :]] = -2.0
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        sim = np.take_along_axis(s, top, axis=1).ravel()
-        ok = sim > -2.0
-        return pa.table({"src": np.repeat(a, top.shape[1])[ok], "dst": b[top].ravel()[ok], "sim": sim[ok]})
-
-    parts = left.unionByName(right).groupBy("i", "j").applyInArrow(product, "src string, dst string, sim double")
-    rank = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return parts.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k).select("src", "dst", "sim")
+
+def dense_knn(entities: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """``src, dst, sim``: exact neighbours, a tenth of all entities, at least 1 and at most 200 of each."""
+    n = entities.where("hash_id IS NOT NULL").select("hash_id").distinct().count()
+    return entity_knn(entities, max(1, min(n // 10, 200)), block_rows)
 
 
 def lsh_knn(entities: DataFrame, k: int = 10, dim: int = 64, tables: int = 24, bits: int = 6, seed: int = 5, block_rows: int = 4096) -> DataFrame:
@@ -124,10 +101,11 @@ def lsh_knn(entities: DataFrame, k: int = 10, dim: int = 64, tables: int = 24, b
     return found.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k).select("src", "dst", "sim")
 
 
-def fuse(counts: DataFrame, similar: DataFrame, alphas: Sequence[float], k: int = 5, threshold: float = 0.5) -> DataFrame:
+def fuse(counts: DataFrame, similar: DataFrame, alphas: Sequence[float], k: int = 5, threshold: float = 0.5, scale: str = "max") -> DataFrame:
     """``alpha, src, dst, w, rn``: the prior for all weights in one plan; `alpha` is a column.
 
-    Candidates are the top k of either side; counts are divided by the row's largest, similarities are min-max scaled.
+    Candidates are the top k of either side. Similarities are min-max scaled; counts are divided by the row's largest, or
+    min-max scaled as well with `scale` = `min_max`, as the matrix mode does.
     """
     by = Window.partitionBy("src")
     co = counts.withColumn("r", F.row_number().over(by.orderBy(F.desc("cnt"), "dst"))).where(F.col("r") <= k).drop("r")
@@ -136,11 +114,8 @@ def fuse(counts: DataFrame, similar: DataFrame, alphas: Sequence[float], k: int
         "src", "dst", F.coalesce("cnt", F.lit(0)).alias("cnt"), F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)).alias("sim")
     )
     most = F.max("cnt").over(by)
-    scaled = both.select(
-        "src", "dst",
-        F.when(most > 0, F.col("cnt") / most).otherwise(0.0).alias("co_n"),
-        min_max(F.col("sim"), F.min("sim").over(by), F.max("sim").over(by)).alias("sim_n"),
-    )
+    co_n = F.when(most > 0, F.col("cnt") / most).otherwise(0.0) if scale == "max" else min_max(F.col("cnt").cast("double"), F.min("cnt").over(by), most)
+    scaled = both.select("src", "dst", co_n.alias("co_n"), min_max(F.col("sim"), F.min("sim").over(by), F.max("sim").over(by)).alias("sim_n"))
     grid = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
     w = F.round(F.col("alpha") * F.col("co_n") + (1 - F.col("alpha")) * F.col("sim_n"), 9)
     fused = scaled.select("*", grid).withColumn("w", w).where(F.col("w") >= threshold)
@@ -149,7 +124,7 @@ def fuse(counts: DataFrame, similar: DataFrame, alphas: Sequence[float], k: int
 
 
 def neighbour_stats(prior: DataFrame, entity: DataFrame) -> DataFrame:
-    """One row an alpha: entities, those with none, with fewer than 5 or 10 neighbours, all links, and the mean."""
+    """One row an alpha: entities, those with none, with fewer than 5 or 10 neighbours and their shares in percent, all links, and the mean."""
     alphas = prior.select("alpha").distinct()
     degree = prior.groupBy("alpha", "src").agg(F.count("*").alias("d"))
     grid = entity.select(F.col("entity_id").alias("src")).distinct().crossJoin(F.broadcast(alphas))  # a handful of weights
@@ -157,4 +132,15 @@ def neighbour_stats(prior: DataFrame, entity: DataFrame) -> DataFrame:
     return grid.join(degree, ["alpha", "src"], "left").groupBy("alpha").agg(
         F.count("*").alias("entities"), F.count_if(d == 0).alias("zero"), F.count_if(d < 5).alias("below_5"), F.count_if(d < 10).alias("below_10"),
         F.sum(d).alias("links"), F.round(F.sum(d) / F.count("*"), 6).alias("mean_links"),
+        *[F.round(100 * F.count_if(d < n) / F.count("*"), 6).alias(c) for n, c in ((1, "zero_percent"), (5, "below_5_percent"), (10, "below_10_percent"))],
     )
+
+
+def sparsity(**links: DataFrame) -> DataFrame:
+    """``name, filled, sources, targets, share``: how full each link table is, as a matrix of its sources and targets."""
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("filled"), F.count_distinct(df.columns[0]).alias("sources"), F.count_distinct(df.columns[1]).alias("targets")) for name, df in links.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    cells = F.col("sources").cast("double") * F.col("targets")
+    return rows.withColumn("share", F.round(F.col("filled") / F.nullif(cells, F.lit(0.0)), 9))

@@ -17,8 +17,8 @@ def _exact_sum(col: str):
 def question_sentences(sims: DataFrame, sentence_entity: DataFrame) -> DataFrame:
     """``question_id, sentence_id, entity_id, sim``: sentences near a question with their entities.
 
-    A sentence without similarity can never pass the gate, so starting from the near ones loses nothing and
-    keeps an entity that stands in a third of all sentences from multiplying.
+    Scores are at most 1, so a sentence less similar than the gate can never pass it, and the more similar ones are picked
+    first: starting from those above the gate loses nothing and keeps an entity of many sentences from multiplying.
     """
     return sims.where("sim > 0").join(sentence_entity, "sentence_id")
 
@@ -69,11 +69,16 @@ def propagate(seeds: DataFrame, near: DataFrame, prior: DataFrame, delta: float,
     return active, evidence.groupBy("question_id", "entity_id").agg(_exact_sum("weight").alias("weight"))
 
 
-def propagate_matrix(seeds: DataFrame, near: DataFrame, prior: DataFrame, delta: float, eta: int, max_iterations: int) -> DataFrame:
-    """Matrix mode: ``question_id, entity_id, weight``. A sentence gathers all its active entities, and the prior replaces scores."""
-    scores = seeds.select("question_id", "entity_id", "score")
+def propagate_matrix(seeds: DataFrame, near: DataFrame, prior: DataFrame, delta: float, eta: int, max_iterations: int) -> tuple[DataFrame, DataFrame]:
+    """Matrix mode. Active entities ``question_id, entity_id, score, tier`` and evidence ``question_id, entity_id, weight``.
+
+    A sentence gathers all its active entities, and the prior replaces scores. A hop's scores of at least `delta` make an
+    entity active with the hop as its tier (seeds: 0); smaller positive ones only count as evidence. Repeated seeds add up.
+    """
+    scores = seeds.groupBy("question_id", "entity_id").agg(_exact_sum("score").alias("score"))
     total, used = scores, None
-    for _ in range(1, max_iterations):
+    active = scores.withColumn("tier", F.lit(0))
+    for hop in range(1, max_iterations):
         live = scores.where(F.col("score") >= delta)
         linked = near.join(live, ["question_id", "entity_id"])
         mass = linked.groupBy("question_id", "sentence_id").agg(_exact_sum("score").alias("mass"), F.first("sim").alias("sim"))
@@ -87,7 +92,9 @@ def propagate_matrix(seeds: DataFrame, near: DataFrame, prior: DataFrame, delta:
         pulled = spread.withColumnRenamed("entity_id", "dst").join(prior.select("src", "dst", "w"), "dst").select("question_id", F.col("src").alias("entity_id"), F.round(F.col("s") * F.col("w"), 9).alias("part"))
         scores = cut(pulled.groupBy("question_id", "entity_id").agg(_exact_sum("part").alias("score")).where("score > 0"))
         total = total.unionByName(scores)
-    return total.groupBy("question_id", "entity_id").agg(_exact_sum("score").alias("weight"))
+        active = active.unionByName(scores.where(F.col("score") >= delta).withColumn("tier", F.lit(hop)))
+    active = active.groupBy("question_id", "entity_id").agg(F.max_by("score", "tier").alias("score"), F.max("tier").alias("tier"))
+    return active, total.groupBy("question_id", "entity_id").agg(_exact_sum("score").alias("weight"))
 
 
 def fold(seeds: list[tuple[str, float]], links: dict[str, list[tuple[float, str, list[str]]]], prior: dict[str, dict[str, float]], delta: float, eta: int, max_iterations: int):
@@ -126,8 +133,8 @@ def fold(seeds: list[tuple[str, float]], links: dict[str, list[tuple[float, str,
 def propagate_exact(seeds: DataFrame, near: DataFrame, prior: DataFrame, delta: float, eta: int, max_iterations: int) -> DataFrame:
     """``question_id, entity_id, score, tier, weight``: the order-dependent mode, one fold a question.
 
-    Each question's local part (its near sentences and the prior of their entities) travels with it; a question is
-    near few sentences, as frequent terms do not count.
+    Each question's local part (its sentences above the gate and the prior of their entities) travels with it to one task;
+    where that is too much, `propagate` is the mode without such groups.
     """
     local = near.groupBy("question_id", "sentence_id", "sim").agg(F.sort_array(F.collect_list("entity_id")).alias("members"))
     touched = near.select("question_id", "entity_id").unionByName(seeds.select("question_id", "entity_id")).distinct()

@@ -2,45 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NO_ANSWER_LABELS, count_inside, entity_label, is_attribute_question, keyword_overlap
-from ..functions.vectors import min_max, rare_terms, term_cosine, term_vectors, terms
+from ..functions.vectors import min_max
+from .nearest import nearest
 
-#: A run of capitalised words, the built-in tagger's notion of a name.
-NAME = r"(?:(?:Lake|Port|Mount|Cape|Saint|New|North|South|Upper) )?[A-Z][a-z]{5,}(?: (?:of|and|Jr\.|[A-Z][a-z]+))*"
+Encoder = Callable[[Column], Column]
 
+#: A run of capitalised words, with the particles inside it: the built-in notion of a name.
+NAME = r"\p{Lu}[\p{L}\p{M}’']+(?:[ -](?:(?:of|and|the|de|la|der|von) )*\p{Lu}[\p{L}\p{M}’'.]*)*"
+#: A first word that no capital follows is no name.
+FIRST_WORD = r"^([^\p{L}]*)\p{Lu}([\p{L}\p{M}’']*[^\p{L}\p{M}’']+[^\p{Lu}])"
 
-def question_entities(questions: DataFrame) -> DataFrame:
-    """``question_id, name``: lower-cased names in each question, without bare numbers."""
-    found = questions.select("question_id", F.explode(F.regexp_extract_all("question", F.lit(NAME), F.lit(0))).alias("name"))
+
+def capital_runs(question: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(question, FIRST_WORD, "$1x$2"), F.lit(NAME), F.lit(0))
+
+
+def question_entities(questions: DataFrame, tagger: Callable[[Column], Column] = capital_runs) -> DataFrame:
+    """``question_id, name``: lower-cased names that `tagger` finds in each question, without bare numbers."""
+    found = questions.select("question_id", F.explode(tagger(F.col("question"))).alias("name"))
     return found.select("question_id", F.lower("name").alias("name")).where(~entity_label(F.col("name")).isin(*NO_ANSWER_LABELS)).distinct()
 
 
-def seeds(names: DataFrame, entities: DataFrame, max_share: float = 0.02) -> DataFrame:
-    """``question_id, entity_id, score``: the most similar entity of every name in a question, by shared terms.
+def seeds(names: DataFrame, entities: DataFrame, encode: Encoder) -> DataFrame:
+    """``question_id, entity_id, score``: the most similar entity of every name in a question.
 
     `entities` has ``entity_id, entity``. Several names with one entity keep the last name's score.
     """
-    distinct = names.select("name").distinct()
-    ent = terms(entities.select("entity_id", "entity").distinct(), "entity_id", "entity")
-    vocabulary = rare_terms(ent, "entity_id", max_share)
-    sim = term_cosine(term_vectors(terms(distinct.withColumn("text", F.col("name")), "name", "text"), "name", vocabulary), "name", term_vectors(ent, "entity_id", vocabulary), "entity_id")
-    sim = sim.withColumn("sim", F.round("sim", 6))
-    rank = Window.partitionBy("name").orderBy(F.desc("sim"), "entity_id")
-    best = sim.withColumn("rn", F.row_number().over(rank)).where("rn = 1").select("name", "entity_id", "sim")
-    return names.join(best, "name").groupBy("question_id", "entity_id").agg(F.max_by("sim", "name").alias("score"))
+    asked = names.select("name").distinct().select(F.col("name").alias("id"), encode(F.col("name")).alias("v"))
+    best = nearest(asked, entities.select(F.col("entity_id").alias("id"), encode(F.col("entity")).alias("v")), 1)
+    return names.join(best.withColumnRenamed("query", "name"), "name").groupBy("question_id", F.col("item").alias("entity_id")).agg(F.max_by("sim", "name").alias("score"))
 
 
-def question_sims(questions: DataFrame, texts: DataFrame, key: str, text: str, max_share: float = 0.02) -> DataFrame:
-    """``question_id, <key>, sim``: similarity of every question to the texts it shares a term with; all others have 0."""
-    counts = terms(texts, key, text)
-    vocabulary = rare_terms(counts, key, max_share)
-    mine = term_vectors(terms(questions, "question_id", "question"), "question_id", vocabulary)
-    return term_cosine(mine, "question_id", term_vectors(counts, key, vocabulary), key).withColumn("sim", F.round("sim", 6))
+def question_sims(questions: DataFrame, texts: DataFrame, key: str, text: str, encode: Encoder, k: int | None = None, least: float | None = None) -> DataFrame:
+    """``question_id, <key>, sim``: of every question the `k` most similar texts, those of at least `least`, or both."""
+    asked = questions.select(F.col("question_id").alias("id"), encode(F.col("question")).alias("v"))
+    found = nearest(asked, texts.select(F.col(key).alias("id"), encode(F.col(text)).alias("v")), k, least)
+    return found.toDF("question_id", key, "sim")
 
 
 def dense_topk(sims: DataFrame, key: str, k: int) -> DataFrame:
@@ -49,17 +54,60 @@ def dense_topk(sims: DataFrame, key: str, k: int) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
+def _grams(rows: DataFrame, key: str, text: str, q: int, window: int) -> DataFrame:
+    """``<key>, gram``: hashes of the runs of `q` letters that are smallest in some `window` neighbouring runs.
+
+    Two texts that share ``q + window - 1`` letters in a row share one of these, as the choice looks at nothing else.
+    """
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = b.column(0), []
+            for t in b.column(1).to_pylist():
+                c = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                h = np.zeros(max(len(c) - q + 1, 0), np.uint64)
+                for i in range(q):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + len(h)]
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+                if len(h) >= window:
+                    h = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
+                out.append(np.unique(h) if len(c) >= q + window - 1 else h[:0])
+            at = np.repeat(np.arange(len(out)), [len(x) for x in out])
+            flat = np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(flat)], names=[key, "gram"])
+
+    return rows.select(key, text).mapInArrow(chosen, f"{key} string, gram bigint")
+
+
+def _proposed(names: DataFrame, passages: DataFrame, q: int, window: int) -> DataFrame:
+    """``entity_id, name, hash_id`` where the rarest of the name's chosen runs is one of the passage's."""
+    inside = _grams(passages, "hash_id", "low", q, window)
+    of_name = _grams(names, "entity_id", "name", q, window)
+    rare = of_name.join(inside.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("entity_id").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    return rare.join(inside, "gram").join(names, "entity_id").select("entity_id", "name", "hash_id")
+
+
 def entity_occurrences(passages: DataFrame, entities: DataFrame) -> DataFrame:
-    """``passage_id, entity_id, n``: how often an entity's lower-cased text stands in a passage.
+    """``passage_id, entity_id, n``: how often an entity's lower-cased text stands in a passage, exactly.
 
-    Pairs are proposed by each entity's rarest term, not by testing all entities against all passages.
+    Pairs are proposed by one run of letters that a name shares with every passage that holds it, never by testing all
+    names against all passages; names of fewer than eight letters go by runs of their own length. Every pair is then counted
+    in the whole text, which a passage brings once for all its names.
     """
-    words = terms(passages, "hash_id", "text")
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
-    names = entities.select("entity_id", F.lower("entity").alias("name")).distinct()
-    key = terms(names, "entity_id", "name").join(df, "term").groupBy("entity_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = key.join(words.select("hash_id", "term"), "term").join(names, "entity_id").join(passages.select("hash_id", F.lower("text").alias("low")), "hash_id")
-    return near.select(F.col("hash_id").alias("passage_id"), "entity_id", count_inside(F.col("low"), F.col("name")).alias("n")).where("n > 0")
+    names = entities.select("entity_id", F.lower("entity").alias("name")).where("name <> ''").dropDuplicates(["entity_id"])
+    low = passages.select("hash_id", F.lower("text").alias("low")).where("low IS NOT NULL").dropDuplicates(["hash_id"])
+    near = _proposed(names.where(F.length("name") >= 8), low, 4, 5)
+    short = names.where(F.length("name") < 8)
+    for q, some in ((4, F.length("name") >= 4), (3, F.length("name") == 3), (2, F.length("name") == 2), (1, F.length("name") == 1)):
+        part = short.where(some)
+        if not part.isEmpty():
+            near = near.unionByName(_proposed(part, low, q, 1))
+    by = near.groupBy("hash_id").agg(F.collect_list(F.struct("entity_id", "name")).alias("names"))  # no more than a text has letters in a few lengths
+    pairs = by.join(low, "hash_id").select("hash_id", "low", F.explode("names").alias("e"))
+    counted = pairs.select(F.col("hash_id").alias("passage_id"), "e.entity_id", count_inside(F.col("low"), F.col("e.name")).alias("n"))
+    return counted.where("n > 0")
 
 
 def entity_bonus(active: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -74,8 +122,8 @@ def passage_scores(sims: DataFrame, bonus: DataFrame, total_passages: int, weigh
     Only passages above the common base ``weight * exp(0)`` have rows; `extra` holds further bonuses.
     """
     by = Window.partitionBy("question_id")
-    low = F.when(F.count("*").over(by) < total_passages, 0.0).otherwise(F.min("sim").over(by))
-    scaled = sims.select("question_id", F.col("hash_id").alias("passage_id"), min_max(F.col("sim"), low, F.max("sim").over(by)).alias("near"))
+    low = F.when(F.count("*").over(by) < total_passages, 0.0).otherwise(F.greatest(F.min("sim").over(by), F.lit(0.0)))
+    scaled = sims.select("question_id", F.col("hash_id").alias("passage_id"), min_max(F.col("sim"), low, F.greatest(F.max("sim").over(by), F.lit(0.0))).alias("near"))
     out = scaled.join(bonus, ["question_id", "passage_id"], "full_outer")
     total = F.exp(F.coalesce("near", F.lit(0.0))) + F.coalesce("bonus", F.lit(0.0))
     if extra is not None:
@@ -85,7 +133,7 @@ def passage_scores(sims: DataFrame, bonus: DataFrame, total_passages: int, weigh
 
 
 def attribute_boost(questions: DataFrame, passages: DataFrame, sims: DataFrame, keywords: Sequence[str], boost: float) -> DataFrame:
-    """``question_id, passage_id, boost`` for attribute questions: `boost` * ln(1 + shared keywords)."""
+    """``question_id, passage_id, boost`` of the passages in `sims`, for attribute questions: `boost` * ln(1 + shared keywords)."""
     asked = questions.where(is_attribute_question(F.col("question"), keywords)).select("question_id", "question")
     near = sims.join(asked, "question_id").join(passages.select("hash_id", "text"), "hash_id")
     n = keyword_overlap(F.col("question"), F.col("text"), keywords)

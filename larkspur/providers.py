@@ -23,13 +23,27 @@ def tag(passages: DataFrame, tagger: Callable[[str], list[tuple[str, str, str]]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *r) for k, t in zip(b["hash_id"], b["text"], strict=True) for r in tagger(t)]
+            rows = [(k, *r) for k, t in zip(b["hash_id"], b["text"], strict=True) for r in (tagger(t) if t else ())]
             yield pd.DataFrame(rows, columns=["passage_id", "sentence", "entity", "label"])
 
     out = passages.select("hash_id", "text").mapInPandas(run, "passage_id string, sentence string, entity string, label string")
     return out.where(~F.col("label").isin(*drop))
 
 
+_NAME = r"\p{Lu}[\p{L}\p{M}’']+(?:[ -](?:(?:of|and|the|de|la|der|von) )*\p{Lu}[\p{L}\p{M}’'.]*)*"
+
+
+def capital_tagger(text: str) -> list[tuple[str, str, str]]:
+    """Built-in stand-in for a tagger: runs of capitalised words, and bare numbers, of every sentence."""
+    import regex
+
+    out = []
+    for sentence in filter(str.strip, regex.split(r"(?<=[.!?。！？।])\s+|\n\s*\n", regex.sub(r"^\s*\d+:", "", text))):
+        out += [(sentence.strip(), name, "TERM") for name in regex.findall(_NAME, sentence)]
+        out += [(sentence.strip(), number, "CARDINAL") for number in regex.findall(r"(?<!\w)\d+(?!\w)", sentence)]
+    return out
+
+
 def hash_encoder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
     """Unit vectors from hashed terms; equal on every worker and machine."""
 
@@ -62,7 +76,7 @@ def embed(texts: DataFrame, encoder: Callable[[], Callable[[pd.Series], np.ndarr
 
 @dataclass(frozen=True)
 class ChatClient:
-    """A chat-completions endpoint; certificates are always checked. Failures come back as text, never as errors."""
+    """A chat-completions endpoint, spoken to with fixed decoding values; certificates are always checked. Failures come back as text, never as errors."""
 
     url: str
     model: str

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import text as tx
 from .operators import graph, ppr, prior, propagate, search
-from .plans import answer, retrieve
+from .plans import answer, corpus, retrieve
 from .providers import first_passage, same_text_judge
 from .session import cut, table, work_path
 from .sources import stores
-from .sql import ALPHAS, STEPS, SYSTEM
 from .sql import SQL as SQL
 from .streaming.incremental import follow
 
-CONFIG = Config(ppr_steps=STEPS)
+#: The gate is the published setting of two of the four data sets (default 0.5). Passages below a cosine of 0.15 do not count as similar, and ranks below a millionth are dropped.
+CONFIG = Config(gate=0.4, related=0.15, rank_least=1e-6)
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,17 +26,8 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("question").agg(F.max("gold_answer").alias("answer")).select(tx.content_id("question", F.col("question")).alias("question_id"), "question", "answer")
 
 
-def _index(spark: SparkSession, sf: str) -> retrieve.Index:
-    return retrieve.Index(table(spark, sf, "passage_embedding"), table(spark, sf, "ner_results"), table(spark, sf, "entity_embedding"), CONFIG)
-
-
-def _near(spark: SparkSession, sf: str, index: retrieve.Index) -> DataFrame:
-    sims = search.question_sims(_questions(spark, sf), index.sentences, "sentence_id", "text", CONFIG.max_term_share)
-    return cut(propagate.question_sentences(sims, index.sentence_entities))
-
-
-def _seeds(spark: SparkSession, sf: str, index: retrieve.Index) -> DataFrame:
-    return cut(search.seeds(search.question_entities(_questions(spark, sf)), index.entities, CONFIG.max_term_share))
+def _index(spark: SparkSession, sf: str, **settings) -> retrieve.Index:
+    return retrieve.Index(table(spark, sf, "passage_embedding"), table(spark, sf, "ner_results"), table(spark, sf, "entity_embedding"), replace(CONFIG, **settings))
 
 
 def passage_index(spark, sf):
@@ -68,24 +61,29 @@ def cooccur_pruned(spark, sf):
 
 
 def entity_knn(spark, sf):
-    return prior.entity_knn(table(spark, sf, "entity_embedding"), CONFIG.knn_k)
+    return prior.entity_knn(table(spark, sf, "entity_embedding"), CONFIG.similar)
 
 
 def lsh_knn(spark, sf):
-    return prior.lsh_knn(table(spark, sf, "entity_embedding"), CONFIG.knn_k)
+    return prior.lsh_knn(table(spark, sf, "entity_embedding"), CONFIG.similar)
+
+
+def dense_neighbors(spark, sf):
+    """Exact neighbours, a tenth of all entities of each."""
+    return prior.dense_knn(table(spark, sf, "entity_embedding"))
 
 
 def fused_neighbors(spark, sf):
-    return _index(spark, sf).neighbours_of([CONFIG.cooccur_alpha])
+    return _index(spark, sf).neighbours_of([CONFIG.alpha])
 
 
 def alpha_sweep_neighbors(spark, sf):
-    return _index(spark, sf).neighbours_of(ALPHAS)
+    return _index(spark, sf).neighbours_of(tx.alpha_grid())
 
 
 def neighbor_stats(spark, sf):
     index = _index(spark, sf)
-    return prior.neighbour_stats(index.neighbours_of(ALPHAS), index.entities)
+    return prior.neighbour_stats(index.neighbours_of(tx.alpha_grid()), index.entities)
 
 
 def mention_edges(spark, sf):
@@ -116,22 +114,23 @@ def question_entities(spark, sf):
 
 
 def seed_entities(spark, sf):
-    return _seeds(spark, sf, _index(spark, sf))
+    return _index(spark, sf).seeds(_questions(spark, sf))
 
 
 def question_sentence_sim(spark, sf):
-    return search.question_sims(_questions(spark, sf), _index(spark, sf).sentences, "sentence_id", "text", CONFIG.max_term_share)
+    """The ten most similar sentences of every question."""
+    index = _index(spark, sf)
+    return search.question_sims(_questions(spark, sf), index.sentences, "sentence_id", "text", index.encode, k=10)
 
 
 def dense_topk(spark, sf):
-    sims = search.question_sims(_questions(spark, sf), _index(spark, sf).passages, "hash_id", "text", CONFIG.max_term_share)
-    return search.dense_topk(sims, "hash_id", CONFIG.retrieval_top_k).withColumn("rank", F.col("rank").cast("bigint"))
+    best = _index(spark, sf).best_passages(_questions(spark, sf))
+    return search.dense_topk(best, "hash_id", CONFIG.passages).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _first_hop(spark, sf):
-    index = _index(spark, sf)
-    c = CONFIG
-    pick, step = propagate.semantic_hop(_seeds(spark, sf, index), None, _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence)
+    index, q = _index(spark, sf), _questions(spark, sf)
+    pick, step = propagate.semantic_hop(index.seeds(q), None, index.near(q), index.neighbours, CONFIG.gate, CONFIG.sentences)
     return index, pick, step
 
 
@@ -142,35 +141,27 @@ def hop1_semantic(spark, sf):
 def hop1_structural(spark, sf):
     index, _, step = _first_hop(spark, sf)
     reached = step.groupBy("question_id", F.col("dst").alias("entity_id")).agg(F.max_by("next", F.struct("src", "sentence_id")).alias("score"))
-    return propagate.structural_hop(reached, index.neighbours, CONFIG.iteration_threshold).withColumn("score", F.round("score", 9))
-
-
-def _propagated(spark, sf):
-    index = _index(spark, sf)
-    c = CONFIG
-    return propagate.propagate(_seeds(spark, sf, index), _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence, c.max_iterations)
+    return propagate.structural_hop(reached, index.neighbours, CONFIG.gate).withColumn("score", F.round("score", 9))
 
 
 def propagate_sync(spark, sf):
-    active, _ = _propagated(spark, sf)
+    active, _ = retrieve.propagated(_index(spark, sf), _questions(spark, sf))
     return active.withColumn("score", F.round("score", 9))
 
 
 def evidence_sync(spark, sf):
-    return _propagated(spark, sf)[1].withColumn("weight", F.round("weight", 9))
+    return retrieve.propagated(_index(spark, sf), _questions(spark, sf))[1].withColumn("weight", F.round("weight", 9))
 
 
 def propagate_matrix(spark, sf):
-    index = _index(spark, sf)
-    c = CONFIG
-    out = propagate.propagate_matrix(_seeds(spark, sf, index), _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence, c.max_iterations)
-    return out.withColumn("weight", F.round("weight", 6))
+    index, q, c = _index(spark, sf), _questions(spark, sf), CONFIG
+    active, weight = propagate.propagate_matrix(index.seeds(q), index.near(q), index.matrix_neighbours, c.gate, c.sentences, c.hops + 1)
+    return weight.join(active, ["question_id", "entity_id"], "left").withColumns({"weight": F.round("weight", 9), "score": F.round("score", 9)})
 
 
 def propagate_exact(spark, sf):
-    index = _index(spark, sf)
-    c = CONFIG
-    return propagate.propagate_exact(_seeds(spark, sf, index), _near(spark, sf, index), index.neighbours, c.iteration_threshold, c.top_k_sentence, c.max_iterations)
+    index, q, c = _index(spark, sf), _questions(spark, sf), CONFIG
+    return propagate.propagate_exact(index.seeds(q), index.near(q), index.neighbours, c.gate, c.sentences, c.hops + 1)
 
 
 def entity_occurrences(spark, sf):
@@ -179,28 +170,29 @@ def entity_occurrences(spark, sf):
 
 def entity_bonus(spark, sf):
     index = _index(spark, sf)
-    active, _ = _propagated(spark, sf)
+    active, _ = retrieve.propagated(index, _questions(spark, sf))
     return search.entity_bonus(active, index.occurrences).withColumn("bonus", F.round("bonus", 6))
 
 
 def passage_scores(spark, sf):
-    index = _index(spark, sf)
-    active, _, sims = retrieve.propagated(index, _questions(spark, sf))
-    return retrieve.scored_passages(index, _questions(spark, sf), active, sims).withColumn("score", F.round("score", 6))
+    """Scores above the common base, of the questions with seeds."""
+    index, q = _index(spark, sf), _questions(spark, sf)
+    active, _ = retrieve.propagated(index, q)
+    asked = q.join(active.select("question_id").distinct(), "question_id", "left_semi")
+    return retrieve.scored_passages(index, asked, active, index.passage_sims(asked)).withColumn("score", F.round("score", 6))
 
 
 def attribute_boost(spark, sf):
-    index = _index(spark, sf)
-    q = _questions(spark, sf)
-    sims = search.question_sims(q, index.passages, "hash_id", "text", CONFIG.max_term_share)
-    return search.attribute_boost(q, index.passages, sims, CONFIG.attribute_keywords, CONFIG.hybrid_attribute_boost).withColumn("boost", F.round("boost", 9))
+    index, q = _index(spark, sf, boost=0.25), _questions(spark, sf)
+    return search.attribute_boost(q, index.passages, index.passage_sims(q), index.config.keywords, index.config.boost).withColumn("boost", F.round("boost", 9))
 
 
 def ppr_scores(spark, sf):
     """Rank of every vertex from each question's seeds."""
     index = _index(spark, sf)
-    reset = ppr.clean_reset(_seeds(spark, sf, index).select("question_id", F.col("entity_id").alias("id"), F.col("score").alias("weight")))
-    return ppr.pagerank(reset, index.transitions, CONFIG.damping, CONFIG.ppr_steps).withColumn("rank", F.round("rank", 6)).where("rank > 0")
+    reset = ppr.clean_reset(index.seeds(_questions(spark, sf)).select("question_id", F.col("entity_id").alias("id"), F.col("score").alias("weight")))
+    out = ppr.pagerank(reset, index.transitions, CONFIG.damping, CONFIG.rank_steps, CONFIG.rank_least)
+    return out.withColumn("rank", F.round("rank", 6)).where("rank > 0")
 
 
 def retrieve_topk(spark, sf):
@@ -209,13 +201,17 @@ def retrieve_topk(spark, sf):
 
 
 def retrieval_nested(spark, sf):
-    index = _index(spark, sf)
-    q = _questions(spark, sf)
-    sims = search.question_sims(q, index.passages, "hash_id", "text", CONFIG.max_term_share)
-    best = search.dense_topk(sims, "hash_id", CONFIG.retrieval_top_k).withColumnRenamed("sim", "score")
+    index, q = _index(spark, sf), _questions(spark, sf)
+    best = search.dense_topk(index.best_passages(q), "hash_id", CONFIG.passages).withColumnRenamed("sim", "score")
     return retrieve.nested(best, q, index.passages)
 
 
+def link_sparsity(spark, sf):
+    """How full the link tables are, as matrices."""
+    index = _index(spark, sf)
+    return prior.sparsity(mentions=index.mentions.select("passage_id", "entity_id"), sentence_entities=index.sentence_entities, cooccurrence=index.counts.select("src", "dst"))
+
+
 def normalize_answer(spark, sf):
     return table(spark, sf, "predictions").select("pred_id", tx.normalize_answer(F.col("pred_answer")).alias("normal"))
 
@@ -285,7 +281,7 @@ def merge_override(spark, sf):
 
 def prompt_messages(spark, sf):
     p = table(spark, sf, "predictions").dropDuplicates(["pred_id"])
-    m = tx.chat_messages(SYSTEM, F.coalesce("sorted_passage", F.array().cast("array<string>")), F.col("question"))
+    m = tx.chat_messages(answer.SYSTEM, F.coalesce("sorted_passage", F.array().cast("array<string>")), F.col("question"))
     return p.select("pred_id", F.md5(m[1]["content"].cast("binary")).alias("content_md5"), F.length(m[1]["content"]).cast("bigint").alias("chars"))
 
 
@@ -306,14 +302,23 @@ def incremental_index(spark, sf):
     return spark.read.schema(stores.STORE).parquet(store).select("hash_id", "text")
 
 
+def whole_index(spark, sf):
+    """Mentions after the passages were taken in by the built-in tagger and encoder, half of them twice."""
+    path = work_path(spark, "corpus")
+    texts = table(spark, sf, "passage_embedding").select("text")
+    corpus.extend(texts.where(F.xxhash64("text") % 2 == 0), path)
+    corpus.extend(texts, path)
+    return corpus.mentions(spark, path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         passage_index, passage_hash, distinct_entities, sentence_entities, label_filter, cooccur_counts, cooccur_pruned, entity_knn, lsh_knn, fused_neighbors,
         alpha_sweep_neighbors, neighbor_stats, mention_edges, adjacent_edges, graph_vertices, graph_edges, transition_matrix, question_entities, seed_entities,
         question_sentence_sim, dense_topk, hop1_semantic, hop1_structural, propagate_sync, evidence_sync, propagate_matrix, propagate_exact, entity_occurrences,
-        entity_bonus, passage_scores, attribute_boost, ppr_scores, retrieve_topk, retrieval_nested, normalize_answer, contain_accuracy, extract_answer, judge_verdict,
+        entity_bonus, passage_scores, attribute_boost, ppr_scores, retrieve_topk, retrieval_nested, link_sparsity, dense_neighbors, normalize_answer, contain_accuracy, extract_answer, judge_verdict,
         accuracy_summary, pending_rows, failed_rows, percent_parse, best_alpha, alphas_pending, new_passages_anti, merge_union, merge_override, prompt_messages,
-        qa_pipeline, incremental_index,
+        qa_pipeline, incremental_index, whole_index,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
@@ -25,10 +26,12 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset, as in tests, a local one is made."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only in local mode, and where it is unset, as in tests, a local one is made."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         sc.setCheckpointDir(named)
     return named
@@ -40,6 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def log_to(path: str, level: int = logging.INFO) -> logging.Logger:
+    """The library's log, written to a file of the driver as well as to the console."""
+    log = logging.getLogger("larkspur")
+    log.setLevel(level)
+    form = logging.Formatter("%(asctime)s %(levelname)s %(message)s")
+    for h in (logging.FileHandler(path, encoding="utf-8"), logging.StreamHandler()):
+        if not any(type(x) is type(h) and getattr(x, "baseFilename", "") == getattr(h, "baseFilename", "") for x in log.handlers):
+            h.setFormatter(form)
+            log.addHandler(h)
+    return log
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

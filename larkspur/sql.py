@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-from .config import Config
-from .operators.search import NAME
-
-C = Config()
-ALPHAS = [0.0, 0.25, 0.5, 0.75, 1.0]
-STEPS = 8
+# The settings of the registered queries, written out here so that the SQL stands on its own.
+ALPHAS = [round(i * 0.05, 2) for i in range(21)]
+ALPHA, PARTNERS, PARTNER_WEIGHT, SIMILAR = 0.5, 5, 0.5, 10
+GATE, SENTENCES, PASSAGES, SHARE, RELATED, BOOST = 0.4, 1, 5, 0.05, 0.15, 0.25
+DAMPING, STEPS, LEAST, DIM = 0.5, 20, 1e-6, 256
+KEYWORDS = ("born", "birth", "where", "when", "located", "location", "founded", "founder", "died", "death", "nationality", "capital", "date", "year")
+NAME = r"\p{Lu}[\p{L}\p{M}’']+(?:[ -](?:(?:of|and|the|de|la|der|von) )*\p{Lu}[\p{L}\p{M}’'.]*)*"
+FIRST_WORD = r"^([^\p{L}]*)\p{Lu}([\p{L}\p{M}’']*[^\p{L}\p{M}’']+[^\p{Lu}])"
 SYSTEM = "Read the passages, reason after `Thought:`, and give the result after `Answer:`."
 _SUM = "sum(round({0}, 12)::DECIMAL(38,12))::DOUBLE"
 
 
-def _terms(name: str, src: str, key: str, text: str) -> str:
-    return f"{name} AS MATERIALIZED (SELECT {key}, t AS term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z]{{6,}}')) AS t FROM {src}) GROUP BY ALL)"
-
-
-def _vocabulary(name: str, counts: str, key: str) -> str:
-    return f"{name} AS MATERIALIZED (SELECT term FROM {counts} GROUP BY term HAVING count(*) <= greatest(2.0, (SELECT count(DISTINCT {key}) FROM {counts}) * {C.max_term_share}::DOUBLE))"
-
-
-def _vectors(name: str, counts: str, key: str, vocabulary: str) -> str:
-    return f"{name} AS MATERIALIZED (SELECT *, sqrt((sum(tf * tf) OVER (PARTITION BY {key}))::DOUBLE) AS length FROM {counts} JOIN {vocabulary} USING (term))"
-
-
-def _cosine(name: str, left: str, lkey: str, right: str, rkey: str) -> str:
-    return (
-        f"{name} AS MATERIALIZED (SELECT l.{lkey}, r.{rkey}, round(sum(l.tf * r.tf)::DOUBLE / (any_value(l.length) * any_value(r.length)), 6) AS sim "
-        f"FROM {left} l JOIN {right} r USING (term) GROUP BY l.{lkey}, r.{rkey})"
-    )
+def _words(text: str) -> str:
+    unspaced = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+    return rf"regexp_extract_all(regexp_replace(replace(lower({text}), 'ς', 'σ'), '{unspaced}', ' \1 ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]+')"
 
 
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -75,32 +63,48 @@ _named(
     "knn",
     "SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rn FROM ("
     "SELECT a.hash_id AS src, b.hash_id AS dst, CASE WHEN isnan(s) OR s IS NULL THEN 0 ELSE s END AS sim FROM vec a, vec b, "
-    f"LATERAL (SELECT round(list_cosine_similarity(a.v, b.v), 6) AS s) WHERE a.hash_id <> b.hash_id)) WHERE rn <= {C.knn_k}",
+    f"LATERAL (SELECT round(list_cosine_similarity(a.v, b.v), 6) AS s) WHERE a.hash_id <> b.hash_id)) WHERE rn <= {SIMILAR}",
     "vec",
 )
-_k = C.top_k_entity_cooccur
 _named(
-    "scaled",
-    "SELECT src, dst, CASE WHEN mc > 0 THEN cnt / mc ELSE 0 END AS co_n, CASE WHEN hi = lo THEN 1.0 ELSE (sim - lo) / (hi - lo) END AS sim_n FROM ("
-    "SELECT *, max(cnt) OVER w AS mc, min(sim) OVER w AS lo, max(sim) OVER w AS hi FROM ("
-    "SELECT src, dst, coalesce(cnt, 0) AS cnt, greatest(coalesce(sim, 0), 0)::DOUBLE AS sim FROM "
-    f"(SELECT src, dst, cnt FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, dst) AS r FROM pruned) WHERE r <= {_k}) FULL JOIN "
-    f"(SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM knn) WHERE r <= {_k}) USING (src, dst)) WINDOW w AS (PARTITION BY src))",
-    "pruned", "knn",
-)
+    "dense",
+    "SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rn FROM ("
+    "SELECT a.hash_id AS src, b.hash_id AS dst, CASE WHEN isnan(s) OR s IS NULL THEN 0 ELSE s END AS sim FROM vec a, vec b, "
+    "LATERAL (SELECT round(list_cosine_similarity(a.v, b.v), 6) AS s) WHERE a.hash_id <> b.hash_id)) "
+    "WHERE rn <= greatest(1, least((SELECT count(DISTINCT hash_id) FROM entity_embedding WHERE hash_id IS NOT NULL) // 10, 200))",
+    "vec",
+)
+_k = PARTNERS
+
+
+def _scaled(name: str, counts: str, co_n: str) -> None:
+    _named(
+        name,
+        f"SELECT src, dst, {co_n} AS co_n, CASE WHEN hi = lo THEN 1.0 ELSE (sim - lo) / (hi - lo) END AS sim_n FROM ("
+        "SELECT *, min(cnt) OVER w AS lc, max(cnt) OVER w AS mc, min(sim) OVER w AS lo, max(sim) OVER w AS hi FROM ("
+        "SELECT src, dst, coalesce(cnt, 0)::DOUBLE AS cnt, greatest(coalesce(sim, 0), 0)::DOUBLE AS sim FROM "
+        f"(SELECT src, dst, cnt FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, dst) AS r FROM {counts}) WHERE r <= {_k}) FULL JOIN "
+        f"(SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM knn) WHERE r <= {_k}) USING (src, dst)) WINDOW w AS (PARTITION BY src))",
+        counts, "knn",
+    )
 
 
-def _fused(name: str, alphas: list[float]) -> None:
+_scaled("scaled", "pruned", "CASE WHEN mc > 0 THEN cnt / mc ELSE 0 END")
+_scaled("mscaled", "co", "CASE WHEN mc = lc THEN 1.0 ELSE (cnt - lc) / (mc - lc) END")
+
+
+def _fused(name: str, alphas: list[float], scaled: str = "scaled") -> None:
     grid = ", ".join(f"({a}::DOUBLE)" for a in alphas)
     _named(
         name,
         "SELECT alpha, src, dst, w, rn FROM (SELECT *, row_number() OVER (PARTITION BY alpha, src ORDER BY w DESC, dst)::INT AS rn FROM ("
-        f"SELECT alpha, src, dst, round(alpha * co_n + (1 - alpha) * sim_n, 9) AS w FROM scaled, (VALUES {grid}) AS g(alpha)) WHERE w >= {C.precompute_threshold}) WHERE rn <= {_k}",
-        "scaled",
+        f"SELECT alpha, src, dst, round(alpha * co_n + (1 - alpha) * sim_n, 9) AS w FROM {scaled}, (VALUES {grid}) AS g(alpha)) WHERE w >= {PARTNER_WEIGHT}) WHERE rn <= {_k}",
+        scaled,
     )
 
 
-_fused("fused", [C.cooccur_alpha])
+_fused("fused", [ALPHA])
+_fused("mfused", [ALPHA], "mscaled")
 _fused("sweep", ALPHAS)
 _named(
     "medge",
@@ -116,35 +120,44 @@ _named(
     "SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM edge UNION ALL SELECT dst, src, weight FROM edge) GROUP BY ALL)",
     "edge",
 )
-_name = NAME.replace("'", "''")
+_name, _first = NAME.replace("'", "''"), FIRST_WORD.replace("'", "''")
 _named(
     "qent",
-    f"SELECT DISTINCT question_id, name FROM (SELECT question_id, lower(unnest(regexp_extract_all(question, '{_name}'))) AS name FROM qs) "
+    rf"SELECT DISTINCT question_id, name FROM (SELECT question_id, lower(unnest(regexp_extract_all(regexp_replace(question, '{_first}', '\1x\2'), '{_name}'))) AS name FROM qs) "
     r"WHERE NOT regexp_full_match(name, '\d+(st|nd|rd|th)?')",
     "qs",
 )
-_part("ent_t", _terms("ent_t", "ent", "entity_id", "entity"), "ent")
-_part("ent_v", _vocabulary("ent_v", "ent_t", "entity_id"), "ent_t")
-_part("ent_x", _vectors("ent_x", "ent_t", "entity_id", "ent_v"), "ent_t", "ent_v")
+# the encoder: every word adds its rarity among the passages to one of DIM places, found by its MD5
+_named("rarity", f"SELECT b, ln(1 + (SELECT count(*) FROM pas) / count(*)) AS w FROM (SELECT DISTINCT hash_id, ('0x' || substr(md5(t), 1, 4))::INT AS b FROM (SELECT hash_id, unnest({_words('text')}) AS t FROM pas)) GROUP BY b", "pas")
+
+
+def _vectors(name: str, src: str, key: str, text: str) -> None:
+    _named(
+        name,
+        f"SELECT id, list(x / CASE WHEN n = 0 THEN 1 ELSE n END ORDER BY d) AS v FROM (SELECT id, d, x, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM ("
+        f"SELECT k.id, k.d, coalesce(x, 0)::DOUBLE AS x FROM (SELECT {key} AS id, unnest(range({DIM})) AS d FROM {src}) k LEFT JOIN ("
+        f"SELECT id, ('0x' || substr(h, 5, 6))::INT % {DIM} AS d, sum(CASE WHEN substr(h, 11, 1) < '8' THEN 1 ELSE -1 END * coalesce(w, ln(1 + (SELECT count(*) FROM pas)))) AS x FROM ("
+        f"SELECT id, md5(t) AS h FROM (SELECT {key} AS id, unnest({_words(text)}) AS t FROM {src})) LEFT JOIN rarity ON b = ('0x' || substr(h, 1, 4))::INT GROUP BY ALL) USING (id, d))) GROUP BY id",
+        src, "rarity", "pas",
+    )
+
+
 _named("names", "SELECT DISTINCT name FROM qent", "qent")
-_part("name_t", _terms("name_t", "names", "name", "name"), "names")
-_part("name_x", _vectors("name_x", "name_t", "name", "ent_v"), "name_t", "ent_v")
-_part("name_s", _cosine("name_s", "name_x", "name", "ent_x", "entity_id"), "name_x", "ent_x")
+for _n, _src, _key, _text in (("ent", "ent", "entity_id", "entity"), ("name", "names", "name", "name"), ("q", "qs", "question_id", "question"), ("sen", "sen", "sentence_id", "text"), ("pas", "pas", "hash_id", "text")):
+    _vectors(f"{_n}_x", _src, _key, _text)
+_named("name_s", "SELECT n.id AS name, e.id AS entity_id, round(list_inner_product(n.v, e.v), 6) AS sim FROM name_x n, ent_x e", "name_x", "ent_x")
 _named(
     "seed",
     "SELECT question_id, entity_id, arg_max(sim, name) AS score FROM qent JOIN ("
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sim DESC, entity_id) AS rn FROM name_s) WHERE rn = 1) USING (name) GROUP BY ALL",
     "qent", "name_s",
 )
-_part("q_t", _terms("q_t", "qs", "question_id", "question"), "qs")
-for _n, _src, _key in (("sen", "sen", "sentence_id"), ("pas", "pas", "hash_id")):
-    _part(f"{_n}_t", _terms(f"{_n}_t", _src, _key, "text"), _src)
-    _part(f"{_n}_v", _vocabulary(f"{_n}_v", f"{_n}_t", _key), f"{_n}_t")
-    _part(f"{_n}_x", _vectors(f"{_n}_x", f"{_n}_t", _key, f"{_n}_v"), f"{_n}_t", f"{_n}_v")
-    _part(f"q_{_n}_x", _vectors(f"q_{_n}_x", "q_t", "question_id", f"{_n}_v"), "q_t", f"{_n}_v")
-    _part(f"{_n}_s", _cosine(f"{_n}_s", f"q_{_n}_x", "question_id", f"{_n}_x", _key), f"q_{_n}_x", f"{_n}_x")
+_named("sen_all", "SELECT q.id AS question_id, s.id AS sentence_id, round(list_inner_product(q.v, s.v), 6) AS sim FROM q_x q, sen_x s", "q_x", "sen_x")
+_named("sen_s", f"SELECT * FROM sen_all WHERE sim >= {GATE}", "sen_all")
+_named("pas_all", "SELECT q.id AS question_id, p.id AS hash_id, round(list_inner_product(q.v, p.v), 6) AS sim FROM q_x q, pas_x p", "q_x", "pas_x")
+_named("pas_s", f"SELECT * FROM pas_all WHERE sim >= {RELATED}", "pas_all")
 _named("near", "SELECT question_id, sentence_id, entity_id, sim FROM sen_s JOIN se USING (sentence_id) WHERE sim > 0", "sen_s", "se")
-_d, _eta = C.iteration_threshold, C.top_k_sentence
+_d, _eta = GATE, SENTENCES
 for _h in (1, 2):
     _front = "seed" if _h == 1 else f"front{_h - 1}"
     _used = "" if _h == 1 else f"WHERE NOT EXISTS (SELECT 1 FROM pick{_h - 1} u WHERE u.question_id = near.question_id AND u.sentence_id = near.sentence_id)"
@@ -185,41 +198,40 @@ for _h in (1, 2):
     _named(f"mpick{_h}", f"SELECT DISTINCT question_id, sentence_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, entity_id ORDER BY sim DESC, sentence_id) AS rn FROM mlink{_h} l {_used}) WHERE rn <= {_eta}", f"mlink{_h}", *([] if _h == 1 else ["mpick1"]))
     _named(f"mout{_h}", f"SELECT question_id, sentence_id, round(mass * sim, 9) AS out FROM (SELECT question_id, sentence_id, {_SUM.format('score')} AS mass, any_value(sim) AS sim FROM mlink{_h} GROUP BY ALL) JOIN mpick{_h} USING (question_id, sentence_id)", f"mlink{_h}", f"mpick{_h}")
     _named(f"mspread{_h}", f"SELECT question_id, entity_id, {_SUM.format('out')} AS s FROM near JOIN mout{_h} USING (question_id, sentence_id) GROUP BY ALL", "near", f"mout{_h}")
-    _named(f"mscore{_h}", f"SELECT * FROM (SELECT question_id, src AS entity_id, {_SUM.format('round(s * w, 9)')} AS score FROM mspread{_h} JOIN fused ON dst = entity_id GROUP BY ALL) WHERE score > 0", f"mspread{_h}", "fused")
-_named("rarest", "SELECT entity_id, any_value(name) AS name, arg_min(term, (df, term)) AS term FROM (SELECT e.entity_id, lower(e.entity) AS name, term, df FROM ent e JOIN ent_t USING (entity_id) JOIN (SELECT term, count(*) AS df FROM pas_t GROUP BY term) USING (term)) GROUP BY entity_id", "ent", "ent_t", "pas_t")
+    _named(f"mscore{_h}", f"SELECT * FROM (SELECT question_id, src AS entity_id, {_SUM.format('round(s * w, 9)')} AS score FROM mspread{_h} JOIN mfused ON dst = entity_id GROUP BY ALL) WHERE score > 0", f"mspread{_h}", "mfused")
 _named(
     "occ",
-    "SELECT hash_id AS passage_id, entity_id, n FROM (SELECT p.hash_id, entity_id, ((length(lower(text)) - length(replace(lower(text), name, ''))) // length(name))::BIGINT AS n FROM rarest JOIN pas_t USING (term) JOIN pas p USING (hash_id)) WHERE n > 0",
-    "rarest", "pas_t", "pas",
+    "SELECT hash_id AS passage_id, entity_id, ((length(lower(text)) - length(replace(lower(text), name, ''))) // length(name))::BIGINT AS n "
+    "FROM pas JOIN (SELECT entity_id, lower(entity) AS name FROM ent) ON contains(lower(text), name)",
+    "pas", "ent",
 )
 _named("bonus", f"SELECT question_id, passage_id, {_SUM.format('score * ln(1 + n) / greatest(tier, 1)')} AS bonus FROM active JOIN occ USING (entity_id) GROUP BY ALL", "active", "occ")
-_kw = ", ".join(f"'{k}'" for k in C.attribute_keywords)
-_overlap = " + ".join(f"(contains(lower(question), '{k}') AND contains(lower(text), '{k}'))::INT" for k in C.attribute_keywords)
+_kw = ", ".join(f"'{k}'" for k in KEYWORDS)
+_overlap = " + ".join(f"(contains(lower(question), '{k}') AND contains(lower(text), '{k}'))::INT" for k in KEYWORDS)
 _named(
     "boost",
-    f"SELECT question_id, hash_id AS passage_id, {C.hybrid_attribute_boost} * ln(1 + n) AS boost FROM (SELECT s.question_id, s.hash_id, {_overlap} AS n FROM pas_s s JOIN qs USING (question_id) JOIN pas USING (hash_id) "
+    f"SELECT question_id, hash_id AS passage_id, {BOOST} * ln(1 + n) AS boost FROM (SELECT s.question_id, s.hash_id, {_overlap} AS n FROM pas_all s JOIN qs USING (question_id) JOIN pas USING (hash_id) "
     rf"WHERE list_has_any(regexp_extract_all(lower(question), '\w+'), [{_kw}])) WHERE n > 0",
-    "pas_s", "qs", "pas",
+    "pas_all", "qs", "pas",
 )
 
 
 def _scores(name: str, sims: str) -> None:
     _named(
         name,
-        f"SELECT question_id, passage_id, {C.passage_node_weight} * (exp(coalesce(near, 0)) + coalesce(bonus, 0) + coalesce(boost, 0)) AS score FROM ("
+        f"SELECT question_id, passage_id, {SHARE} * (exp(coalesce(near, 0)) + coalesce(bonus, 0)) AS score FROM ("
         "SELECT question_id, hash_id AS passage_id, CASE WHEN hi = lo THEN 1.0 ELSE (greatest(sim, 0) - lo) / (hi - lo) END AS near FROM ("
-        f"SELECT *, CASE WHEN count(*) OVER w < (SELECT count(*) FROM pas) THEN 0 ELSE min(sim) OVER w END AS lo, max(sim) OVER w AS hi FROM {sims} WINDOW w AS (PARTITION BY question_id))) "
-        "FULL JOIN bonus USING (question_id, passage_id) LEFT JOIN boost USING (question_id, passage_id)",
-        sims, "pas", "bonus", "boost",
+        f"SELECT *, CASE WHEN count(*) OVER w < (SELECT count(*) FROM pas) THEN 0 ELSE greatest(min(sim) OVER w, 0) END AS lo, max(sim) OVER w AS hi FROM {sims} WINDOW w AS (PARTITION BY question_id))) "
+        "FULL JOIN bonus USING (question_id, passage_id)",
+        sims, "pas", "bonus",
     )
 
 
-_scores("pscore", "pas_s")
 _named("seeded_s", "SELECT * FROM pas_s SEMI JOIN active USING (question_id)", "pas_s", "active")
 _scores("gscore", "seeded_s")
 
 
-def _ranks(prefix: str, reset: str) -> str:
+def _ranks(prefix: str, reset: str, least: float = LEAST) -> str:
     """Parts of the unrolled power iteration over `reset` (question_id, id, weight); returns the last one's name."""
     _named(f"{prefix}_v", f"SELECT question_id, id, weight / ({_SUM.format('weight')} OVER (PARTITION BY question_id)) AS mass FROM {reset} WHERE weight > 0".replace("::DOUBLE OVER (PARTITION BY question_id)", " OVER (PARTITION BY question_id))::DOUBLE").replace("(sum(", "((sum("), reset)
     last = f"{prefix}_0"
@@ -228,21 +240,22 @@ def _ranks(prefix: str, reset: str) -> str:
         _named(f"{prefix}_f{i}", f"SELECT x.question_id, dst AS id, sum(x.rank * p) AS rank FROM {last} x JOIN trans ON src = x.id GROUP BY ALL", last, "trans")
         _named(
             f"{prefix}_{i}",
-            f"SELECT question_id, id, sum(rank) AS rank FROM (SELECT question_id, id, rank * {C.damping} AS rank FROM {prefix}_f{i} UNION ALL "
-            f"SELECT question_id, id, mass * (1 - {C.damping} + {C.damping} * greatest(1 - coalesce(kept, 0), 0)) FROM {prefix}_v LEFT JOIN (SELECT question_id, sum(rank) AS kept FROM {prefix}_f{i} GROUP BY ALL) USING (question_id)) GROUP BY ALL",
-            f"{prefix}_f{i}", f"{prefix}_v",
+            f"SELECT question_id, id, sum(rank) AS rank FROM (SELECT question_id, id, rank * {DAMPING} AS rank FROM {prefix}_f{i} UNION ALL "
+            f"SELECT question_id, id, mass * (1 - {DAMPING} + {DAMPING} * coalesce(lost, 0)) FROM {prefix}_v LEFT JOIN (SELECT question_id, sum(rank) AS lost FROM {last} ANTI JOIN starts USING (id) GROUP BY ALL) USING (question_id)) GROUP BY ALL HAVING sum(rank) >= {least}",
+            f"{prefix}_f{i}", f"{prefix}_v", last, "starts",
         )
         last = f"{prefix}_{i}"
     return last
 
 
+_named("starts", "SELECT DISTINCT src AS id FROM trans", "trans")
 _named("seed_reset", "SELECT question_id, entity_id AS id, score AS weight FROM seed", "seed")
 _seed_rank = _ranks("sr", "seed_reset")
-_base = C.passage_node_weight
+_base = SHARE
 _named("special", f"SELECT question_id, entity_id AS id, weight FROM evid UNION ALL SELECT question_id, passage_id, score - {_base} FROM gscore WHERE score - {_base} > 0", "evid", "gscore")
 _own_rank = _ranks("ow", "special")
 _named("even", "SELECT '' AS question_id, hash_id AS id, 1.0::DOUBLE AS weight FROM pas", "pas")
-_base_rank = _ranks("ba", "even")
+_base_rank = _ranks("ba", "even", 0.0)
 _named("mass", f"SELECT question_id, {_SUM.format('weight')} AS total, {_base} * (SELECT count(*) FROM pas) AS tb FROM special GROUP BY ALL", "special", "pas")
 _named(
     "withbase",
@@ -251,14 +264,14 @@ _named(
 )
 _named(
     "rest",
-    f"SELECT question_id, id, rank * tb / (total + tb) AS rank FROM mass, (SELECT id, rank FROM {_base_rank} WHERE id IN (SELECT hash_id FROM pas) ORDER BY rank DESC, id LIMIT {C.retrieval_top_k}) b "
+    f"SELECT question_id, id, rank * tb / (total + tb) AS rank FROM mass, (SELECT id, rank FROM {_base_rank} WHERE id IN (SELECT hash_id FROM pas) ORDER BY rank DESC, id LIMIT {PASSAGES}) b "
     "WHERE NOT EXISTS (SELECT 1 FROM withbase w WHERE w.question_id = mass.question_id AND w.id = b.id)",
     "mass", _base_rank, "withbase",
 )
 _named(
     "found",
-    "SELECT question_id, id AS hash_id, round(rank, 9) AS score FROM withbase UNION ALL SELECT question_id, id, round(rank, 9) FROM rest UNION ALL SELECT question_id, hash_id, sim FROM pas_s ANTI JOIN active USING (question_id)",
-    "withbase", "rest", "pas_s", "active",
+    "SELECT question_id, id AS hash_id, round(rank, 9) AS score FROM withbase UNION ALL SELECT question_id, id, round(rank, 9) FROM rest UNION ALL SELECT question_id, hash_id, sim FROM pas_all ANTI JOIN active USING (question_id)",
+    "withbase", "rest", "pas_all", "active",
 )
 _ws = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 _ART = r"(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)"
@@ -286,10 +299,19 @@ SQL: dict[str, str] = {
     "cooccur_counts": _with("SELECT * FROM co", "co"),
     "cooccur_pruned": _with("SELECT * FROM pruned", "pruned"),
     "entity_knn": _with("SELECT src, dst, sim::DOUBLE AS sim FROM knn", "knn"),
+    "dense_neighbors": _with("SELECT src, dst, sim::DOUBLE AS sim FROM dense", "dense"),
+    "link_sparsity": _with(
+        "SELECT name, filled, sources, targets, round(filled / nullif(sources::DOUBLE * targets, 0), 9) AS share FROM ("
+        "SELECT 'mentions' AS name, count(*) AS filled, count(DISTINCT passage_id) AS sources, count(DISTINCT entity_id) AS targets FROM ment "
+        "UNION ALL SELECT 'sentence_entities', count(*), count(DISTINCT sentence_id), count(DISTINCT entity_id) FROM se "
+        "UNION ALL SELECT 'cooccurrence', count(*), count(DISTINCT src), count(DISTINCT dst) FROM co)",
+        "ment", "se", "co",
+    ),
     "fused_neighbors": _with("SELECT * FROM fused", "fused"),
     "alpha_sweep_neighbors": _with("SELECT * FROM sweep", "sweep"),
     "neighbor_stats": _with(
-        "SELECT alpha, count(*) AS entities, count_if(d = 0)::BIGINT AS zero, count_if(d < 5)::BIGINT AS below_5, count_if(d < 10)::BIGINT AS below_10, sum(d)::BIGINT AS links, round(sum(d) / count(*), 6) AS mean_links FROM ("
+        "SELECT alpha, count(*) AS entities, count_if(d = 0)::BIGINT AS zero, count_if(d < 5)::BIGINT AS below_5, count_if(d < 10)::BIGINT AS below_10, sum(d)::BIGINT AS links, round(sum(d) / count(*), 6) AS mean_links, "
+        "round(100 * count_if(d = 0) / count(*), 6) AS zero_percent, round(100 * count_if(d < 5) / count(*), 6) AS below_5_percent, round(100 * count_if(d < 10) / count(*), 6) AS below_10_percent FROM ("
         "SELECT g.alpha, e.entity_id, count(s.dst) AS d FROM (SELECT DISTINCT entity_id FROM ent) e CROSS JOIN (SELECT DISTINCT alpha FROM sweep) g LEFT JOIN sweep s ON s.alpha = g.alpha AND s.src = e.entity_id GROUP BY ALL) GROUP BY alpha",
         "ent", "sweep",
     ),
@@ -300,29 +322,30 @@ SQL: dict[str, str] = {
     "transition_matrix": _with("SELECT src, dst, round(p, 9) AS p FROM trans", "trans"),
     "question_entities": _with("SELECT * FROM qent", "qent"),
     "seed_entities": _with("SELECT * FROM seed", "seed"),
-    "question_sentence_sim": _with("SELECT * FROM sen_s", "sen_s"),
-    "dense_topk": _with(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, hash_id) AS rank FROM pas_s) WHERE rank <= {C.retrieval_top_k}", "pas_s"),
+    "question_sentence_sim": _with("SELECT question_id, sentence_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, sentence_id) AS rn FROM sen_all) WHERE rn <= 10", "sen_all"),
+    "dense_topk": _with(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, hash_id) AS rank FROM pas_all) WHERE rank <= {PASSAGES}", "pas_all"),
     "hop1_semantic": _with("SELECT question_id, src, sentence_id, dst, round(next, 9) AS next FROM step1", "step1"),
     "hop1_structural": _with("SELECT question_id, entity_id, round(score, 9) AS score FROM grow1", "grow1"),
     "propagate_sync": _with("SELECT question_id, entity_id, round(score, 9) AS score, tier FROM active", "active"),
     "evidence_sync": _with("SELECT question_id, entity_id, round(weight, 9) AS weight FROM evid", "evid"),
     "propagate_matrix": _with(
-        f"SELECT question_id, entity_id, round({_SUM.format('score')}, 6) AS weight FROM (SELECT question_id, entity_id, score FROM seed UNION ALL SELECT * FROM mscore1 UNION ALL SELECT * FROM mscore2) GROUP BY ALL",
+        f"SELECT question_id, entity_id, round(weight, 9) AS weight, round(score, 9) AS score, tier FROM (SELECT question_id, entity_id, {_SUM.format('score')} AS weight FROM (SELECT question_id, entity_id, score FROM seed UNION ALL SELECT * FROM mscore1 UNION ALL SELECT * FROM mscore2) GROUP BY ALL) LEFT JOIN ("
+        f"SELECT question_id, entity_id, arg_max(score, tier) AS score, max(tier)::INT AS tier FROM (SELECT question_id, entity_id, score, 0 AS tier FROM seed UNION ALL SELECT *, 1 FROM mscore1 WHERE score >= {_d} UNION ALL SELECT *, 2 FROM mscore2 WHERE score >= {_d}) GROUP BY ALL) USING (question_id, entity_id)",
         "seed", "mscore1", "mscore2",
     ),
     "entity_occurrences": _with("SELECT * FROM occ", "occ"),
     "entity_bonus": _with("SELECT question_id, passage_id, round(bonus, 6) AS bonus FROM bonus", "bonus"),
-    "passage_scores": _with("SELECT question_id, passage_id, round(score, 6) AS score FROM pscore", "pscore"),
+    "passage_scores": _with("SELECT question_id, passage_id, round(score, 6) AS score FROM gscore", "gscore"),
     "attribute_boost": _with("SELECT question_id, passage_id, round(boost, 9) AS boost FROM boost", "boost"),
     "ppr_scores": _with(f"SELECT * FROM (SELECT question_id, id, round(rank, 6) AS rank FROM {_seed_rank}) WHERE rank > 0", _seed_rank),
     "retrieve_topk": _with(
-        f"SELECT question_id, rank, hash_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, hash_id) AS rank FROM found) WHERE rank <= {C.retrieval_top_k}",
+        f"SELECT question_id, rank, hash_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, hash_id) AS rank FROM found) WHERE rank <= {PASSAGES}",
         "found",
     ),
     "retrieval_nested": _with(
         "SELECT question, p AS sorted_passage, s AS sorted_passage_scores, answer AS gold_answer FROM qs LEFT JOIN (SELECT question_id, list(text ORDER BY rank) AS p, list(sim ORDER BY rank) AS s FROM ("
-        f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, hash_id) AS rank FROM pas_s) JOIN pas USING (hash_id) WHERE rank <= {C.retrieval_top_k} GROUP BY question_id) USING (question_id)",
-        "qs", "pas_s", "pas",
+        f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, hash_id) AS rank FROM pas_all) JOIN pas USING (hash_id) WHERE rank <= {PASSAGES} GROUP BY question_id) USING (question_id)",
+        "qs", "pas_all", "pas",
     ),
     "normalize_answer": f"SELECT pred_id, {_norm('pred_answer')} AS normal FROM predictions",
     "contain_accuracy": f"SELECT pred_id, CASE WHEN {_blank('pred_answer')} OR {_blank('gold_answer')} THEN 0 ELSE contains({_norm('pred_answer')}, {_norm('gold_answer')})::INT END AS contain FROM predictions",
@@ -335,6 +358,8 @@ SQL: dict[str, str] = {
     "best_alpha": f"SELECT * FROM {_ledger} WHERE EM IS NOT NULL AND Contain_Acc IS NOT NULL ORDER BY EM DESC, cooccur_alpha LIMIT 1",
     "alphas_pending": f"SELECT alpha FROM (SELECT round(i * 0.05::DOUBLE, 2) AS alpha FROM range(21) t(i)) WHERE alpha NOT IN (SELECT round(cooccur_alpha, 2) FROM {_ledger} WHERE EM > 0.55)",
     "new_passages_anti": "SELECT DISTINCT 'sentence-' || md5(text) AS hash_id, text FROM (SELECT unnest(map_keys(sentence_to_entities)) AS text FROM ner_results) WHERE 'sentence-' || md5(text) NOT IN (SELECT hash_id FROM sentence_embedding WHERE hash_id IS NOT NULL)",
+    "whole_index": rf"SELECT DISTINCT 'passage-' || md5(text) AS passage_id, 'entity-' || md5(e) AS entity_id FROM (SELECT text, unnest(regexp_extract_all(s, '{_name}')) AS e FROM ("
+    r"SELECT text, unnest(string_split(regexp_replace(regexp_replace(text, '^\s*\d+:', ''), '([.!?。！？।])\s+|\n\s*\n', '\1' || chr(1), 'g'), chr(1))) AS s FROM passage_embedding WHERE text IS NOT NULL))",
     "merge_union": "SELECT key, array_to_string(list_sort(list(DISTINCT e)), '|') AS entities FROM (SELECT m.key AS key, unnest(m.value) AS e FROM (SELECT unnest(map_entries(passage_hash_id_to_entities)) AS m FROM ner_results)) WHERE trim(e) <> '' GROUP BY key",
     "merge_override": "SELECT key, array_to_string(arg_max(v, (written_at, v)), '|') AS entities FROM (SELECT written_at, m.key AS key, m.value AS v FROM (SELECT written_at, unnest(map_entries(passage_hash_id_to_entities)) AS m FROM ner_results)) GROUP BY key",
     "prompt_messages": f"SELECT pred_id, md5(c) AS content_md5, length(c) AS chars FROM (SELECT pred_id, array_to_string(coalesce(sorted_passage, []), chr(10)) || chr(10) || 'Question: ' || question || chr(10) || 'Thought: ' AS c FROM {_one})",

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from larkspur.config import Config
 from larkspur.functions import text as tx
-from larkspur.functions.vectors import dot, min_max, norm
+from larkspur.functions.vectors import dot, fit_encoder, min_max, norm, words
 
 
 def column(spark, values, expr, schema="v string"):
@@ -59,5 +59,23 @@ def test_keywords_and_messages(spark):
 
 
 def test_config_precedence(monkeypatch):
-    monkeypatch.setenv("LARKSPUR_MAX_ITERATIONS", "5")
-    assert Config.load().max_iterations == 5 and Config.load(max_iterations=2).max_iterations == 2 and Config.load(damping=None).damping == 0.5
+    monkeypatch.setenv("LARKSPUR_HOPS", "5")
+    monkeypatch.setenv("LARKSPUR_APPROXIMATE", "false")
+    assert Config.load().hops == 5 and Config.load(hops=2).hops == 2 and Config.load(damping=None).damping == 0.5
+    assert Config.load().approximate is False and Config.load(approximate=True).approximate is True
+    assert Config().gate == 0.5 and Config().boost == 0 and {"birth", "capital"} <= set(Config().keywords)
+
+
+def test_words_of_any_script(spark):
+    got = column(spark, ["Wlsegegrus在 ΟΔΟΣ 12", "Тол, x-y", None], words(F.col("v")))
+    assert got == [["wlsegegrus", "在", "οδοσ", "12"], ["тол", "x", "y"], None]
+
+
+def test_encoder(spark):
+    texts = spark.createDataFrame([("the red mat",), ("the blue sea",), ("красный ковёр",), (None,), ("",)], "t string")
+    encode = fit_encoder(texts, "t", dim=64)
+    got = {r[0]: r[1] for r in texts.select("t", encode(F.col("t"))).collect()}
+    assert sum(x * x for x in got["the red mat"]) == pytest.approx(1) and not any(got[""]) and got[None] is None
+    (q,) = column(spark, ["Who sat on the red mat?"], encode(F.col("v")))
+    sim = {k: sum(a * b for a, b in zip(q, v, strict=True)) for k, v in got.items() if v}
+    assert max(sim, key=sim.get) == "the red mat"

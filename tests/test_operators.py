@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur import queries
+from larkspur.functions.vectors import fit_encoder
 from larkspur.operators import graph, ppr, prior, search
+from larkspur.operators.nearest import nearest
 from larkspur.operators.propagate import fold, propagate, propagate_exact, propagate_matrix
 
 NER = "passage_hash_id_to_entities map<string,array<string>>, sentence_to_entities map<string,array<string>>, entity string"
@@ -64,9 +66,13 @@ def test_without_seeds_or_links(spark):
 
 
 def test_matrix_mode_replaces_scores(spark):
-    got = {r["entity_id"]: r["weight"] for r in propagate_matrix(*world(spark), 0.4, 1, 2).collect()}
+    active, evidence = propagate_matrix(*world(spark), 0.4, 1, 2)
     # A takes s0: 0.95 * 0.9 reaches A and B; the prior pulls A from B
-    assert got == pytest.approx({"A": 0.95 + 0.855 * 0.7})
+    assert {r["entity_id"]: r["weight"] for r in evidence.collect()} == pytest.approx({"A": 0.95 + 0.855 * 0.7})
+    assert {r["entity_id"]: (r["score"], r["tier"]) for r in active.collect()} == {"A": (pytest.approx(0.855 * 0.7), 1)}
+    seed, near, w = world(spark)
+    _, twice = propagate_matrix(seed.unionByName(seed), near.limit(0), w, 0.4, 1, 2)
+    assert twice.first()["weight"] == pytest.approx(1.9)
 
 
 EDGES = [("p0", "A", 0.5), ("p0", "B", 0.5), ("p1", "B", 0.4), ("p1", "C", 0.4), ("p1", "D", 0.2), ("p0", "p1", 1.0)]
@@ -149,12 +155,55 @@ def test_exact_neighbours_in_blocks_and_by_hashing(spark):
 
 
 def test_seeds_and_sims(spark):
-    q = spark.createDataFrame([("q1", "Which office did Tesudas Sunabroser hold in Lake Trobagimul?"), ("q2", "why?"), ("q3", None)], "question_id string, question string")
-    ents = spark.createDataFrame([("e1", "Tesudas Sunabroser"), ("e2", "Lake Trobagimul"), ("e3", "Barola Kedrubalor")], "entity_id string, entity string")
+    q = spark.createDataFrame([("q1", "Which office did Tesudas Sunabroser hold in Lake Trobagimul?"), ("q2", "why?"), ("q3", None), ("q4", "谁在Port Ösklund 和Тол?")], "question_id string, question string")
+    ents = spark.createDataFrame([("e1", "Tesudas Sunabroser"), ("e2", "Lake Trobagimul"), ("e3", "Barola Kedrubalor"), ("e4", "Port Ösklund"), ("e5", "Тол")], "entity_id string, entity string")
     names = search.question_entities(q)
-    assert {r["name"] for r in names.collect()} == {"tesudas sunabroser", "lake trobagimul"}
-    got = {r["entity_id"]: r["score"] for r in search.seeds(names, ents, 0.9).collect()}
-    assert got == {"e1": 1.0, "e2": 1.0}
+    assert {r["name"] for r in names.collect()} == {"tesudas sunabroser", "lake trobagimul", "port ösklund", "тол"}
+    encode = fit_encoder(ents, "entity")
+    got = {r["entity_id"]: r["score"] for r in search.seeds(names, ents, encode).collect()}
+    assert got == {"e1": 1.0, "e2": 1.0, "e4": 1.0, "e5": 1.0}
+    sims = search.question_sims(q, ents, "entity_id", "entity", encode, k=2).groupBy("question_id").count().collect()
+    assert {r[0]: r[1] for r in sims} == {"q1": 2, "q2": 2, "q4": 2}  # a question gets its k even where nothing is alike; none without text
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((70, 8)), rng.standard_normal((90, 8))
+    y[:3] = y[3]  # ties
+    q = spark.createDataFrame([(f"q{i:02d}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * 8), ("odd", [1.0]), ("null", None)], "id string, v array<double>")
+    b = spark.createDataFrame([(f"b{i:02d}", v.tolist()) for i, v in enumerate(y)] + [("b00", y[0].tolist()), (None, y[1].tolist()), ("short", [1.0]), ("empty", [])], "id string, v array<double>")
+    s = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T, 6)
+    got = {(r[0], r[1]): r[2] for r in nearest(q, b, 4, block_rows=32).collect() if r[0] != "zero"}
+    want = {(f"q{i:02d}", f"b{j:02d}") for i in range(70) for j in np.lexsort((np.arange(90), -s[i]))[:4]}
+    assert set(got) == want
+    above = {(r[0], r[1]) for r in nearest(q, b, least=0.5, block_rows=32).collect()}
+    assert above == {(f"q{i:02d}", f"b{j:02d}") for i, j in zip(*np.nonzero(s >= 0.5), strict=True)}
+    assert nearest(q, b.limit(0), 4).count() == 0 and nearest(q.limit(0), b, 4).count() == 0
+
+
+def test_occurrences_are_exact_for_all_names(spark):
+    rng = random.Random(3)
+    names = ["Thol", "IBM", "Тол", "在", "marlow", "Lake Bujoløgrem", "x", "Jut0tavun", "ab", "abc", "a b c d e f g h", "ΟΔΟΣ Α", "aaaaaaaaaa", "straße am", ""]
+    texts = [" ".join(rng.choice([*names[:-1], "marlows", "zz", "IBMs;", "aaaaaaaaaaaaaaaaaaaaa"]) for _ in range(12)) for _ in range(60)] + ["", "thol"]
+    p = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)] + [("null", None), ("p0", texts[0])], "hash_id string, text string")
+    e = spark.createDataFrame([(f"e{i}", n) for i, n in enumerate(names)] + [("none", None)], "entity_id string, entity string")
+    got = {(r[0], r[1]): r[2] for r in search.entity_occurrences(p, e).collect()}
+    want = {(f"p{i}", f"e{j}"): t.lower().count(n.lower()) for i, t in enumerate(texts) for j, n in enumerate(names) if n and n.lower() in t.lower()}
+    assert got == want
+    assert search.entity_occurrences(p.limit(0), e).count() == 0 and search.entity_occurrences(p, e.limit(0)).count() == 0
+
+
+def test_small_ranks_are_dropped(spark):
+    move = graph.transitions(spark.createDataFrame([("h", f"v{i}", 1.0) for i in range(200)], "src string, dst string, weight double"))
+    reset = ppr.clean_reset(spark.createDataFrame([("q", "v0", 1.0)], "question_id string, id string, weight double"))
+    assert ppr.pagerank(reset, move, 0.5, 6).count() == 201
+    got = {r["id"]: r["rank"] for r in ppr.pagerank(reset, move, 0.5, 6, least=0.01).collect()}
+    assert set(got) == {"v0", "h"} and got["v0"] > 0.5
+
+
+def test_sparsity(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "s string, t string")
+    assert {tuple(r) for r in prior.sparsity(one=df, none=df.limit(0)).collect()} == {("one", 3, 2, 2, 0.75), ("none", 0, 0, 0, None)}
 
 
 def test_lsh_compares_all_parts_of_a_crowded_code(spark):
@@ -181,4 +230,4 @@ def test_lsh_recall_of_the_registered_query(spark):
     least = dict(zip(ids, np.sort(s, axis=1)[:, -10] - 2e-6, strict=True))
     hit = sum(r["sim"] >= least[r["src"]] for r in queries.lsh_knn(spark, sf).collect() if r["src"] in least)
     print("recall", hit / (10 * len(ids)))
-    assert hit >= 0.9 * 10 * len(ids)
+    assert hit >= 0.95 * 10 * len(ids)

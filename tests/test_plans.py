@@ -2,11 +2,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.plans import answer
+from larkspur import cli
+from larkspur.config import Config
+from larkspur.plans import answer, corpus, experiment
 from larkspur.plans.retrieve import Index, nested, retrieve
 from larkspur.providers import ChatClient, first_passage, infer, same_text_judge, tag
 from larkspur.queries import QUERIES, SQL
 from larkspur.sources import stores
+from larkspur.sources.stores import read_or_empty
 from larkspur.streaming.incremental import add_passages
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +80,62 @@ def test_stores(spark, tmp_path):
     assert len(tree.fromstring("".join(lines))[-1]) == 2
 
 
+def test_corpus_grows_and_answers(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    texts = spark.createDataFrame([("0:Vibor Tholen founded Lake Trobagimul. It had 12 boats.",), ("1:Nobody lived in Port Ösklund.",), (None,), ("2:nothing",)], "text string")
+    corpus.extend(texts.limit(1), path)
+    for _ in range(2):
+        corpus.extend(texts, path)
+    assert {n: read_or_empty(spark, f"{path}/{n}", stores.STORE).count() for n in ("passages", "sentences", "entities")} == {"passages": 3, "sentences": 3, "entities": 5}
+    index = corpus.load(spark, path, config=Config(related=0.1), store=str(tmp_path / "kept"))
+    q = spark.createDataFrame([("q", "Who founded Lake Trobagimul?", "Vibor Tholen"), ("r", "why?", "x")], "question_id string, question string, answer string")
+    best = {(r["question_id"], r["rank"]): r["hash_id"] for r in retrieve(index, q).collect()}
+    first = index.passages.where("text LIKE '0:%'").first()["hash_id"]
+    assert best["q", 1] == first and ("r", 1) in best
+    assert stores.exists(spark, str(tmp_path / "kept" / "counts")) and index.neighbours_of([0.5, 0.25]).count() == index.neighbours_of([0.25, 0.5]).count()
+
+
+def test_run_is_taken_up_again_and_swept(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    corpus.extend(spark.createDataFrame([("0:Vibor founded Lake Trobagimul.",), ("1:Nobody lived in Port Ösklund.",)], "text string"), path)
+    index = corpus.load(spark, path)
+    q = spark.createDataFrame([("q", "Who founded Lake Trobagimul?", "Vibor"), ("r", "Who lived in Port Ösklund?", "Nobody")], "question_id string, question string, answer string")
+    calls = []
+
+    def lost(messages):
+        raise OSError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        experiment.experiment(index, q, str(tmp_path / "run"), lost, lost, rounds=(1, 1))
+    assert stores.exists(spark, str(tmp_path / "run" / "retrieval")) and not calls
+    got = experiment.experiment(index, q, str(tmp_path / "run"), first_passage, same_text_judge, every=1, rounds=(1, 1)).first()
+    assert got["contain_accuracy"] == 100.0
+    assert experiment.experiment(None, q, str(tmp_path / "run"), lost, lost).first() == got  # evaluated already
+    assert experiment.continued(spark, str(tmp_path), "run", str(tmp_path / "later")) and stores.read_results(spark, str(tmp_path / "later" / "retrieval")).count() == 2
+    bad = experiment.sweep(index, q, [0.0], str(tmp_path / "sweep"), lost, lost)
+    assert [r["EM"] for r in bad.collect()] == [None]
+    both = experiment.sweep(index, q, [0.5, 0.0], str(tmp_path / "sweep"), first_passage, same_text_judge)
+    assert [(r["cooccur_alpha"], r["Contain_Acc"]) for r in both.collect()] == [(0.0, 100.0), (0.5, 100.0)]
+    chunks, questions = tmp_path / "c.json", tmp_path / "q.json"
+    chunks.write_text('["Vibor founded Lake Trobagimul."]')
+    questions.write_text('[{"question": "Who founded Lake Trobagimul?", "answer": "Vibor"}]')
+    more = str(tmp_path / "more")
+    cli.main(["index", "--corpus", more, "--chunks", str(chunks), "--log", str(tmp_path / "log")], spark)
+    cli.main(["retrieve", "--corpus", more, "--questions", str(questions), "--results", str(tmp_path / "out"), "--gate", "0.4"], spark)
+    assert len(stores.read_results(spark, str(tmp_path / "out" / "retrieval")).first()["sorted_passage"]) == 1
+
+
+def test_a_broken_store_is_an_error(spark, tmp_path):
+    at = str(tmp_path / "store")
+    spark.createDataFrame([(1,)], "hash_id int").write.parquet(at)
+    with pytest.raises(Exception):  # noqa: B017
+        stores.read_or_empty(spark, at, stores.STORE).collect()
+    ner = spark.createDataFrame([({"p": ["a"]}, {"s": ["a"]})], stores.NER)
+    stores.write_ner(ner, str(tmp_path / "ner"))
+    left = stores.untagged(spark.createDataFrame([("p",), ("r",)], "hash_id string"), stores.read_or_empty(spark, str(tmp_path / "ner"), stores.NER, "json"))
+    assert [r[0] for r in left.collect()] == ["r"]
+
+
 def test_override_and_union(spark):
     ner = spark.createDataFrame([(1, {"p": ["a", "b"]}), (2, {"p": ["c"]}), (0, None)], "at int, m map<string,array<string>>")
     assert stores.override_ner(ner, "m", "at").first()["entities"] == ["c"]
