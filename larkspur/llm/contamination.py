@@ -21,14 +21,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import UNSPACED
+
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words; markup becomes space, and hyphens vanish, as those of hyphenation do."""
+    """Lower-cased words; markup becomes space, and hyphens vanish, as those of hyphenation do.
+
+    In scripts without spaces every letter is a word, so that a run of words is a run of letters there.
+    """
     plain = F.regexp_replace(text, r"(?s)<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{1,10}|#\d{1,7});", " ")
     joined = F.regexp_replace(plain, r"[­​⁠﻿]|(?<=\p{L})[-\u2010\u2011]\s*(?=\p{L})|(?<=\p{L})['’](?=\p{L})", "")
-    return F.regexp_extract_all(F.lower(joined), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(joined, UNSPACED, " $1 ")), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
 def hashed(ws: Column) -> Column:

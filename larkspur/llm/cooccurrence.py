@@ -1,27 +1,36 @@
 """Items that appear together: an incremental table of pair counts.
 
-`PairTable` keeps three written tables in the shared folder, each partitioned by
-a hash bucket: the item set of every record, the count of every item, and the
-count of every pair. `apply` takes the records that changed, turns the
-difference between their old and new item sets into signed pair and item
-deltas, adds these to the buckets they fall in, and leaves all others alone.
+`PairTable` keeps three tables of counted rows in the shared folder, each in
+hash buckets: the items of every record, the records of every item, and the
+records of every pair. `apply` takes the records that changed, turns the
+difference between their old and new items into signed rows, for pairs only
+those with an item that came or went, and adds them to the buckets they fall
+in; all other buckets stay as they are.
+
+A change is one version: new files of the touched buckets of all three tables,
+then one small manifest that names the files of every bucket. Until the
+manifest is written the earlier version holds, so a lost driver leaves no
+tables that disagree, and a table opened again goes on where it ended. The
+number of buckets follows the number of rows.
 
 Defined results: NULL records and NULL or blank items are ignored; repeated
 items of a record count once; records without items still count as records; an
-empty change alters nothing; further columns are ignored. A record's pairs are
-made in blocks of `block` items, so a very large record is spread over tasks.
+empty change alters nothing; further columns are ignored. Items of a record are
+rows and never one value, so a very large record is joined like any other.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut, work_path
 
 #: Text with at least one character that is not white space.
 NOT_BLANK = r"(?U)\S"
+KEYS = {"baskets": ["kind", "record", "item"], "items": ["kind", "item"], "pairs": ["kind", "a", "b"]}
 
 
 def records(df: DataFrame, kind: str, map_col: str) -> DataFrame:
@@ -34,108 +43,132 @@ def records(df: DataFrame, kind: str, map_col: str) -> DataFrame:
     )
 
 
-def union_items(df: DataFrame) -> DataFrame:
-    """One row a record with the distinct items of all its rows; rows are reduced before the shuffle."""
-    rows = df.where(F.col("record").isNotNull()).select("kind", "record", F.explode_outer("items").alias("item"))
-    return rows.distinct().groupBy("kind", "record").agg(F.sort_array(F.collect_list("item")).alias("items"))
-
-
-def pairs_of(df: DataFrame, sign: str, block: int) -> DataFrame:
-    """``kind, a, b, n`` with a < b for every pair inside ``items`` (sorted, distinct), weighted by column `sign`."""
-
-    def between(x, y):
-        return F.flatten(
-            F.transform(x, lambda a: F.transform(F.filter(y, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-        )
-
-    small = df.where(F.size("items") <= block).select("kind", F.col(sign).alias("n"), F.explode(between(F.col("items"), F.col("items"))).alias("p"))
-    large = df.where(F.size("items") > block).withColumn("blocks", F.ceil(F.size("items") / F.lit(block)).cast("int"))
-    parts = large.select(
-        "kind", "record", F.col(sign).alias("n"), "blocks", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.slice("items", i * block + 1, block))).alias("i", "x")
-    )
-    left = parts.select("kind", "record", "n", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    right = parts.select("kind", "record", "n", F.col("i").alias("j"), F.col("x").alias("y"))
-    big = left.join(right, ["kind", "record", "n", "j"]).select("kind", "n", F.explode(between(F.col("x"), F.col("y"))).alias("p"))
-    return small.unionByName(big).select("kind", "p.a", "p.b", "n")
+def item_rows(df: DataFrame) -> DataFrame:
+    """``kind, record, item``, each once, and for every record one row without item."""
+    marked = F.concat("items", F.array(F.lit(None).cast("string")))
+    return df.where(F.col("record").isNotNull()).select("kind", "record", F.explode(marked).alias("item")).distinct()
 
 
 class PairTable:
-    """Persistent counts below `path`; a new path starts empty."""
-
-    BASKETS = "kind string, record string, items array<string>, bucket int"
-    ITEMS = "kind string, item string, n bigint, bucket int"
-    PAIRS = "kind string, a string, b string, n bigint, bucket int"
+    """Persistent counts below `path`: a stored table is opened, a new path starts empty."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32, block: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, rows_a_bucket: int = 500_000, least_buckets: int = 8):
         self.spark, self.path = spark, path or work_path(spark, "pairs")
-        self.buckets, self.block = buckets, block
-        self._written: set[str] = set()
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if name not in self._written:
-            return self.spark.createDataFrame([], T.StructType.fromDDL(schema))
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def _bucket(self, *cols: str):
-        return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int")
-
-    def _write(self, df: DataFrame, name: str) -> None:
-        """Replaces the buckets that `df` has rows of."""
-        df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/{name}")
-        self._written.add(name)
-
-    def _merge(self, name: str, schema: str, delta: DataFrame, keys: list[str]) -> None:
-        """Adds signed counts to the buckets they fall in."""
-        delta = delta.withColumn("bucket", self._bucket(*keys))
-        stored = self._read(name, schema)
-        if name in self._written:
-            delta = cut(delta)
-            stored = stored.join(F.broadcast(delta.select("bucket").distinct()), "bucket", "left_semi")  # at most `buckets` rows
-            delta = stored.unionByName(delta).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-            delta = cut(delta)
-        # a count that fell to zero stays as a row, so that its bucket is rewritten even if nothing else is left in it
-        self._write(delta.select([f.split()[0] for f in schema.split(", ")]), name)
-
-    def apply(self, changed: DataFrame) -> DataFrame:
-        """Adds the items of `changed` (``kind, record, items``) to their records; returns the items whose counts changed."""
-        fresh = union_items(changed)
-        old = self._read("baskets", self.BASKETS)
-        both = (
-            fresh.join(old.select("kind", "record", F.col("items").alias("was")), ["kind", "record"], "left")
-            .withColumn("now", F.sort_array(F.array_union("items", F.coalesce("was", F.array().cast("array<string>")))))
-            .where(F.col("was").isNull() | (F.size("now") > F.size("was")))
-        )
-        both = cut(both.select("kind", "record", "was", "now"))
-        sides = both.select("kind", "record", F.col("now").alias("items"), F.lit(1).cast("bigint").alias("sign")).unionByName(
-            both.where(F.col("was").isNotNull()).select("kind", "record", F.col("was").alias("items"), F.lit(-1).cast("bigint").alias("sign"))
-        )
-        pairs = pairs_of(sides, "sign", self.block).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
-        items = sides.select("kind", F.explode("items").alias("item"), "sign").groupBy("kind", "item").agg(F.sum("sign").alias("n")).where("n <> 0")
-        self._merge("pairs", self.PAIRS, pairs, ["kind", "a", "b"])
-        self._merge("items", self.ITEMS, items, ["kind", "item"])
-        baskets = both.select("kind", "record", F.col("now").alias("items"), self._bucket("kind", "record").alias("bucket"))
-        if "baskets" in self._written:
-            touched = F.broadcast(baskets.select("bucket").distinct())  # at most `buckets` rows
-            kept = old.join(touched, "bucket", "left_semi").join(baskets.select("kind", "record"), ["kind", "record"], "left_anti")
-            baskets = cut(kept.select("kind", "record", "items", "bucket").unionByName(baskets))
-        self._write(baskets, "baskets")
-        return items.select("kind", "item")
+        self.rows_a_bucket, self.least_buckets = rows_a_bucket, least_buckets
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        stored = [int(n.split(".")[0]) for n in self._names("manifest") if n.endswith(".json")]
+        self.state: dict = {"version": 0, "buckets": 0, "rows": 0, "files": {t: {} for t in KEYS}}
+        if stored:
+            text = spark.read.text(f"{self.path}/manifest/{max(stored):08d}.json", wholetext=True).first()[0]
+            self.state = json.loads(text)
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _commit(self, state: dict) -> None:
+        new, final = self._at(f"manifest/.{state['version']:08d}.new"), self._at(f"manifest/{state['version']:08d}.json")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self._fs.rename(new, final):
+            raise RuntimeError(f"version {state['version']} of {self.path} was written by another run")
+        self.state = state
+
+    def _schema(self, table: str) -> str:
+        return ", ".join(f"{k} string" for k in KEYS[table]) + ", n bigint"
+
+    def read(self, table: str, buckets: set[int] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its buckets."""
+        files = self.state["files"][table]
+        paths = [f"{self.path}/{table}/{v}/bucket={b}" for b, v in files.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self._schema(table)).parquet(*paths) if paths else self.spark.createDataFrame([], self._schema(table))
+
+    def _bucket(self, table: str, buckets: int):
+        keys = KEYS[table][:2] if table == "baskets" else KEYS[table]  # a record's items stay together
+        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def _touched(self, df: DataFrame, table: str) -> set[int]:
+        """Bucket numbers, at most as many as there are buckets."""
+        return {r[0] for r in df.select(self._bucket(table, self.state["buckets"]).alias("b")).distinct().collect()}
+
+    def _merge(self, state: dict, table: str, delta: DataFrame) -> None:
+        """Adds signed rows to the buckets they fall in, as files of a new version."""
+        keys, some = KEYS[table], self._touched(delta, table)
+        rows = self.read(table, some).unionByName(delta.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+        self._write(state, table, rows, some)
+
+    def _write(self, state: dict, table: str, rows: DataFrame, some: set[int]) -> None:
+        rows = rows.withColumn("bucket", self._bucket(table, state["buckets"]))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{state['version']}")
+        there = {n.removeprefix("bucket=") for n in self._names(f"{table}/{state['version']}") if n.startswith("bucket=")}
+        kept = {b: v for b, v in state["files"][table].items() if int(b) not in some}
+        state["files"][table] = kept | {b: state["version"] for b in there}
+
+    def _fit(self, more: int) -> None:
+        """As many buckets as the rows want: a power of two, and all rows placed anew when they have outgrown it."""
+        have, rows = self.state["buckets"], self.state["rows"] + more
+        want = self.least_buckets
+        while want * self.rows_a_bucket < rows:
+            want *= 2
+        state = self.state | {"rows": rows, "buckets": max(have, want)}
+        if have and want > have:
+            state |= {"version": self.state["version"] + 1, "files": dict(self.state["files"])}
+            for table in KEYS:
+                self._write(state, table, self.read(table), set(range(have)))
+            self._commit(state)
+        self.state = state
+
+    def apply(self, changed: DataFrame, replace: bool = False) -> DataFrame:
+        """Adds the items of `changed` (``kind, record, items``) to their records or, with `replace`, takes them as all a record has.
+
+        Returns ``kind, item`` of every item that came or went somewhere: the scores of its pairs are the affected ones.
+        """
+        fresh = cut(item_rows(changed))
+        count = fresh.count()
+        if not count:
+            return self.spark.createDataFrame([], "kind string, item string")
+        self._fit(count)
+        rows = fresh.withColumns({"was": F.lit(0), "now": F.lit(1)})
+        if self.state["files"]["baskets"]:
+            old = self.read("baskets", self._touched(fresh, "baskets")).select("kind", "record", "item")
+            old = old.join(fresh.where("item IS NULL").select("kind", "record"), ["kind", "record"], "left_semi")
+            rows = rows.unionByName(old.withColumns({"was": F.lit(1), "now": F.lit(0 if replace else 1)}))
+            rows = rows.groupBy("kind", "record", "item").agg(F.max("was").alias("was"), F.max("now").alias("now"))
+        rows = cut(rows)
+        moved = rows.where("was <> now").withColumn("n", (F.col("now") - F.col("was")).cast("bigint"))
+        mine = moved.where("item IS NOT NULL").select("kind", "record", F.col("item").alias("x"), F.col("was").alias("xw"), F.col("now").alias("xn"))
+        pairs = mine.join(rows.where("item IS NOT NULL"), ["kind", "record"]).where((F.col("x") < F.col("item")) | (F.col("was") == F.col("now")) & (F.col("x") > F.col("item")))
+        n = (F.col("xn") * F.col("now") - F.col("xw") * F.col("was")).cast("bigint")
+        pairs = pairs.select("kind", F.least("x", "item").alias("a"), F.greatest("x", "item").alias("b"), n.alias("n"))
+        pairs = cut(pairs.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0"))
+        items = cut(moved.groupBy("kind", "item").agg(F.sum("n").alias("n")))
+        state = self.state | {"version": self.state["version"] + 1, "files": dict(self.state["files"])}
+        for table, delta in (("pairs", pairs), ("items", items), ("baskets", moved)):
+            self._merge(state, table, delta)
+        self._commit(state)
+        return items.where("item IS NOT NULL").select("kind", "item")
 
     def scores(self, min_count: int = 1, min_lift: float = 0.0, affected: DataFrame | None = None) -> DataFrame:
-        """``kind, a, b, n_ab, n_a, n_b, n, lift``; with `affected` (``kind, item``) only pairs whose score may have changed.
+        """``kind, a, b, n_ab, n_a, n_b, n, lift``; with `affected` (``kind, item``) only pairs with such an item.
 
+        Where only the number of records `n` changed, all lifts of a kind change by the same factor, and no count does.
         As ``n_ab <= min(n_a, n_b)``, an item in more than ``n / min_lift`` records or fewer than `min_count` is in no
         result, so such items, the hottest among them, leave before the join.
         """
-        totals = self._read("baskets", self.BASKETS).groupBy("kind").agg(F.count("*").alias("n"))  # one row a kind
-        item = self._read("items", self.ITEMS).select("kind", "item", F.col("n").alias("n_item")).join(F.broadcast(totals), "kind")
+        counts = self.read("items")
+        totals = counts.where("item IS NULL").select("kind", "n")  # one row a kind
+        item = counts.where("item IS NOT NULL").select("kind", "item", F.col("n").alias("n_item")).join(F.broadcast(totals), "kind")
         item = item.where((F.col("n_item") >= min_count) & (F.col("n_item") * F.lit(float(min_lift)) <= F.col("n")))
-        pair = self._read("pairs", self.PAIRS).where(F.col("n") >= min_count).select("kind", "a", "b", F.col("n").alias("n_ab"))
+        pair = self.read("pairs").where(F.col("n") >= min_count).select("kind", "a", "b", F.col("n").alias("n_ab"))
         if affected is not None:
-            touched = affected.select("kind", F.col("item"))
-            pair = pair.join(touched.withColumnRenamed("item", "a"), ["kind", "a"], "left_semi").unionByName(
-                pair.join(touched.withColumnRenamed("item", "b"), ["kind", "b"], "left_semi")
-            ).distinct()
+            some = affected.select("kind", "item").distinct().withColumn("hit", F.lit(True))
+            for c in ("a", "b"):
+                pair = pair.join(some.withColumnsRenamed({"item": c, "hit": f"hit_{c}"}), ["kind", c], "left")
+            pair = pair.where(F.col("hit_a") | F.col("hit_b")).drop("hit_a", "hit_b")
         out = (
             pair.join(item.select("kind", F.col("item").alias("a"), F.col("n_item").alias("n_a"), "n"), ["kind", "a"])
             .join(item.select("kind", F.col("item").alias("b"), F.col("n_item").alias("n_b")), ["kind", "b"])

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(path, "rb") as f:
+        shipped = SparkFiles.get(os.path.basename(path))  # sent along by `mix`
+        with open(shipped if os.path.exists(shipped) else path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for part in parts:
@@ -92,18 +95,27 @@ def solve_weights(
 
 def mix(
     docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame,
-    *, budget: int | None = None, entropy: float | None = None, tokenizer: str = TOKENIZER, block_docs: int = 1000, seed: int = 11,
+    *, budget: int | None = None, budget_share: float | None = None, entropy: float | None = None, tokenizer: str = TOKENIZER, block_docs: int = 1000, seed: int = 11,
+    most_sources: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, source, tokens, copies`` of every used document, and the report of shares (one row a target)."""
+    """``doc_id, source, tokens, copies`` of every used document, and the report of shares (one row a target).
+
+    `budget` is in tokens, `budget_share` in parts of all tokens of the sources. More than `most_sources` targets are an error.
+    """
     spark = docs.sparkSession
+    spark.sparkContext.addFile(tokenizer)
     goal = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
-    rows = goal.limit(10_000).collect()  # one row a source, at most 10,000
+    rows = goal.limit(most_sources + 1).collect()  # one row a source
+    if len(rows) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     names = [r["source"] for r in rows]
     sized = docs.select(F.col(doc_id).alias("doc_id"), clean_source(F.col(source)).alias("source"), F.col(text).alias("text"))
     sized = sized.where(F.col("source").isin(names) & F.col("text").rlike(r"(?U)\S"))
     sized = cut(sized.select("doc_id", "source", token_count(F.col("text"), tokenizer).alias("tokens")))
     sums = {r["source"]: (r["tokens"], r["docs"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
-    share, size, _ = solve_weights(
+    if budget_share is not None:
+        budget = int(budget_share * sum(t for t, _ in sums.values()))
+    share, size, exponent = solve_weights(
         {s: t for s, (t, _) in sums.items()}, {r["source"]: r["target_share"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows}, budget, entropy
     )
     plan = []
@@ -128,4 +140,5 @@ def mix(
         .na.fill(0, ["used_tokens", "most_copies"])
         .withColumn("reached_share", F.col("used_tokens") / F.nullif(F.sum("used_tokens").over(total), F.lit(0)))
     )
-    return used, report.select("source", "target_share", "max_repeats", "used_tokens", "most_copies", "reached_share")
+    report = report.withColumns({"exponent": F.lit(round(exponent, 6)), "planned_share": F.coalesce(*[F.when(F.col("source") == s, F.lit(round(w, 6))) for s, w in share.items()], F.lit(0.0))})
+    return used, report.select("source", "target_share", "max_repeats", "used_tokens", "most_copies", "reached_share", "planned_share", "exponent")

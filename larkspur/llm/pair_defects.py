@@ -34,7 +34,7 @@ _LEAD = (
 )
 #: Statements that there is no answer (fixed values).
 _NO_ANSWER = r"(?i)^(?:the (?:passages?|context|text|documents?) (?:do(?:es)? not|don['’]t|doesn['’]t) (?:say|state|mention|tell)|not (?:stated|mentioned|given)(?: in the .*)?|unanswerable|no answer(?: found| given)?|cannot be answered)[.!]?$"
-#: Phrases of refusals by language (fixed values: English, German, French, Spanish, Russian, Chinese, Japanese, Arabic).
+#: Phrases of refusals by language (fixed values, by language: English to Arabic, then Italian, Portuguese, Dutch, Polish, Turkish, Korean, Greek, Hindi, Thai).
 _REFUSAL = (
     r"(?i)\bi(?:['’]m| am)? (?:can(?:no|['’])?t|cannot|can not|not able|unable|would rather not|must decline|decline|have to decline|don['’]?t have|do not have|refuse|won['’]t|will not)\b"
     r"|\bi(?:['’]m| am) (?:sorry|afraid),? (?:but )?(?:i|no|there|it|that)\b|\b(?:isn['’]t|is not|not) possible for me\b|\b(?:not|n['’]t) enough (?:information|context|evidence)\b"
@@ -44,6 +44,9 @@ _REFUSAL = (
     r"|\bje ne (?:peux|puis|dispose|sais|suis) pas\b|\bje regrette\b|\bje suis désolé|\bil m['’]est impossible\b"
     r"|\bno puedo (?:responder|contestar|evaluar|ayudar|decir)|\bno dispongo de\b|\blo siento\b|\bno tengo (?:acceso|información|suficiente)"
     r"|не могу (?:ответить|сказать|оценить)|у меня нет (?:информации|данных|доступа)|我无法|我不能|無法回答|无法回答|抱歉|回答できません|お答えできません|申し訳|わかりません|لا أستطيع|لا يمكنني|آسف|عذر"
+    r"|\bnon (?:posso|sono in grado di) (?:rispondere|dire|valutare|aiutare)|\bmi dispiace\b|\bnão (?:posso|consigo) (?:responder|dizer|avaliar|ajudar)|\bsinto muito\b"
+    r"|\bik kan [^.]{0,40}\bniet (?:beantwoorden|zeggen)|\bhet spijt me\b|\bnie mogę (?:odpowiedzieć|ocenić)|\bprzykro mi\b|\bcevap veremiyorum\b|\büzgünüm\b"
+    r"|답변할 수 없|대답할 수 없|죄송|δεν μπορώ να (?:απαντήσω|κρίνω)|λυπάμαι|उत्तर नहीं दे सकता|क्षमा करें|ไม่สามารถตอบ|ขออภัย"
 )
 #: Words on which no text ends (fixed values: English, German, French, Spanish).
 _DANGLING = set(
@@ -67,6 +70,8 @@ _QUESTION = {
 }
 #: Questions about words of another language.
 _FOREIGN = r"(?i)\b(?:english|french|german|spanish|italian|russian|chinese|japanese|arabic|hindi|greek|thai|latin|portuguese|foreign)\b|\b(?:auf|in) (?:englisch|französisch|russisch|spanisch)|\ben (?:anglais|allemand|russe|espagnol|inglés|alemán|ruso|francés)\b"
+#: Scripts beside the Latin one.
+_SCRIPTS = (r"\p{IsCyrillic}", r"\p{IsGreek}", r"\p{IsArabic}", r"\p{IsHebrew}", r"\p{IsDevanagari}", r"\p{IsThai}", r"\p{IsHangul}", r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
 _WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
@@ -149,6 +154,8 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
         | (_count(body, "„") > _count(body, "[“”]"))
         | (_count(body, "«") > _count(body, "»"))
         | (_count(body, "「") > _count(body, "」"))
+        | (_count(body, r"\{") > _count(body, r"\}"))
+        | ((_count(body, "```") % 2) == 1)
         | ((_count(body, '"') % 2) == 1)
     )
     words = F.regexp_extract_all(F.lower(body), F.lit(_WORD), F.lit(0))
@@ -159,7 +166,8 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
     known, stems, ends = _vocabulary(rows.select("question", "body", "complete"))
     open_ended = ~F.col("complete") & ~F.col("empty")
     hard_stop = body.rlike(r"[,;:–—-]$|…$|\p{L}\s*\.\.\.$")
-    short_words = F.when(F.col("field") == (judge or ""), F.lit(True)).otherwise(F.size("ws") > 1)
+    full_verdict = body.isin("correct", "incorrect")  # nearly all verdicts: they ask nothing
+    short_words = F.when(verdict, ~full_verdict).otherwise(F.size("ws") > 1)
     dangling = open_ended & (F.size("ws") > 1) & F.col("last").isin(*sorted(_DANGLING))
     # only answers that simply stop need the learned tables
     ask = F.when(open_ended & short_words & ~hard_stop & ~dangling & body.rlike(r"\p{L}$"), F.col("last"))
@@ -180,7 +188,6 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
     )
     cut_text = F.col("ask_pair").isNotNull() & F.col("is_end").isNull()
     whole = F.coalesce(body == tidy(F.col("gold")), F.lit(False)) & (F.col("field") != gold)
-    full_verdict = body.isin("correct", "incorrect")
     truncated = (F.col("unclosed") | hard_stop | dangling | cut_word | cut_gold | cut_text | (verdict_cut & (F.length(body) >= 3))) & ~whole & ~(verdict & full_verdict)
 
     lang = F.lit("en")
@@ -189,15 +196,20 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
     lang = F.when(verdict, "en").otherwise(lang)
     low = F.lower(F.col("own"))
     hits = {name: _count(low, _any(words)) for name, words in _WORDS.items()}
-    native = F.coalesce(*[F.when(lang == name, n) for name, n in hits.items()])
+    latin_question = _count(q, r"\p{IsLatin}") >= _count(q, r"[\p{L}&&[^\p{IsLatin}]]")
+    # to a question in another script no language of Latin script is native
+    native = F.when(latin_question | verdict, F.coalesce(*[F.when(lang == name, n) for name, n in hits.items()])).otherwise(0)
     best = F.greatest(*hits.values())
     other_words = (best > native) & (best >= F.when(verdict, 1).otherwise(2))
-    other_script = _count(F.col("own"), r"[\p{L}&&[^\p{IsLatin}]]") >= 2
-    latin_question = _count(q, r"\p{IsLatin}") >= _count(q, r"[\p{L}&&[^\p{IsLatin}]]")
+    strange = _count(F.col("own"), r"[\p{L}&&[^\p{IsLatin}]]")
+    # letters of the scripts the question is written in are not strange to it
+    known_script = F.lit(0)
+    for script in _SCRIPTS:
+        known_script = known_script + F.when(q.rlike(script), _count(F.col("own"), script)).otherwise(0)
+    other_script = F.when(latin_question | verdict, strange >= 2).otherwise(strange - known_script >= 2)
     asks_foreign = q.rlike(_FOREIGN) & ~verdict
-    other = ~asks_foreign & ((other_script & (latin_question | verdict)) | other_words)
+    other = ~asks_foreign & (other_script | other_words)
 
     flags = {"empty": F.col("empty"), "copies_question": F.col("copies_question"), "refusal": F.col("refusal"), "truncated": truncated, "other_language": other}
-    # an empty answer has no further defects
-    defects = F.when(F.col("empty"), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(flags[d], d) for d in DEFECTS[1:]])))
+    defects = F.array_compact(F.array(*[F.when(F.coalesce(flags[d], F.lit(False)), d) for d in DEFECTS]))
     return rows.select("key", "field", defects.alias("defects")).where(F.size("defects") > 0).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import spread, table, work_path
 from .contamination import leaked_items
 from .cooccurrence import NOT_BLANK, PairTable, records
 from .mixing import mix
@@ -15,7 +15,7 @@ from .reading_level import english_measures, fit_languages, fit_scales, grades,
 from .sentences import split_sentences
 from .similar_vectors import linked_pairs, similar_vectors
 from .sql import SQL as SQL
-from .term_frequency import banded, term_frequency
+from .term_frequency import banded, term_intervals
 
 KINDS = {"passage": "passage_hash_id_to_entities", "sentence": "sentence_to_entities"}
 
@@ -34,14 +34,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pair_table(spark: SparkSession, sf: str) -> tuple[PairTable, DataFrame]:
-    """The pair table after two loads: rows written in the first four fifths of the time, then all later ones."""
+    """The pair table after two loads, the second into the reopened table: rows written in the first four fifths of the time, then all later ones."""
     ner = table(spark, sf, "ner_results")
     at = F.unix_micros(F.col("written_at").cast("timestamp"))
     lo, hi = ner.agg(F.min(at), F.max(at)).first()
     early = F.coalesce(at <= F.lit((lo or 0) + ((hi or 0) - (lo or 0)) * 4 // 5), F.lit(True))
-    counts, touched = PairTable(spark), None
+    path, touched = work_path(spark, "pairs"), None
     for part in (ner.where(early), ner.where(~early)):
         rows = [records(part, kind, col) for kind, col in KINDS.items()]
+        counts = PairTable(spark, path)
         touched = counts.apply(rows[0].unionByName(rows[1]))
     return counts, touched
 
@@ -51,12 +52,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return counts.scores(5, 5).select(F.col("kind").alias("record_kind"), F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))
 
 
+def _scored(scores: DataFrame) -> DataFrame:
+    return scores.select(F.col("kind").alias("record_kind"), F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair with its counts and its lift."""
     counts, _ = pair_table(spark, sf)
-    return counts.scores().select(
-        F.col("kind").alias("record_kind"), F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift")
-    )
+    return _scored(counts.scores())
+
+
+def p2_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the pairs whose counts the second load may have changed, scored again."""
+    counts, touched = pair_table(spark, sf)
+    return _scored(counts.scores(affected=touched))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,18 +107,19 @@ def _term_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows, totals
 
 
-def _term_bands(spark: SparkSession, sf: str, max_n: int) -> DataFrame:
+def _term_intervals(spark: SparkSession, sf: str) -> DataFrame:
     rows, totals = _term_rows(spark, sf)
-    return banded(term_frequency(rows, "field", "record", "terms", max_n), totals, {"ner_entity": 0.03, "entity_term": 0.02})
+    return banded(term_intervals(rows, "field", "record", "terms"), totals, {"ner_entity": 0.03, "entity_term": 0.02})
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _term_bands(spark, sf, 1).where("band IS NOT NULL").select("field", F.col("gram")[0].alias("term"), "band")
+    """Bands of single terms: the intervals that a term alone opens."""
+    return _term_intervals(spark, sf).where("shortest = 1 AND band IS NOT NULL").select("field", F.col("gram")[0].alias("term"), "band")
 
 
 def p6_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences, records and band of every n-gram of up to three terms."""
-    return _term_bands(spark, sf, 3).select("field", "n", F.array_join("gram", "\x1f").alias("gram"), "occurrences", "records", F.coalesce("band", F.lit("")).alias("band"))
+    """Occurrences, records and band of the n-grams of every length: one row for those that occur in the same places, from `shortest` terms to the whole gram."""
+    return _term_intervals(spark, sf).select("field", F.array_join("gram", "\x1f").alias("gram"), "shortest", F.size("gram").alias("longest"), "occurrences", "records", F.coalesce("band", F.lit("")).alias("band"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,6 +137,12 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source", table(spark, sf, "source_targets"))[1]
 
 
+def p8_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of a mix as large as all tokens of the sources together, which the repetition limits allow only at a lower exponent."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return mix(docs, "doc_id", "text", "source", table(spark, sf, "source_targets"), budget_share=1.0)[1]
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     scales = fit_scales(table(spark, sf, "graded_texts"), "text", "reading_level")
@@ -146,6 +162,7 @@ QUERIES = {
     "p1_defects": p1_defects,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p2_changed": p2_changed,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_sets": p4_sets,
@@ -155,6 +172,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_budget": p8_budget,
     "p9_found": p9_found,
     "p9_grades": p9_grades,
 }

@@ -103,6 +103,7 @@ def similar_vectors(
     total, rows = src.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("v"))).first()
     if not total:
         return spark.createDataFrame([], SCHEMA)
+    shard_rows = max(shard_rows, -(-rows // max_shards))  # past `max_shards` shards these grow, not their number
     want = min(sample_rows, 200 * -(-rows // shard_rows))
     picked = src.select("v").where(F.rand(11) < min(1.0, 1.1 * want / total)).limit(want).toArrow()
     sample, _ = _matrix(picked["v"].combine_chunks(), dim) if picked.num_rows else (np.zeros((0, dim), np.float32), None)
@@ -155,7 +156,7 @@ def similar_vectors(
             index = Shard(x[inside], m=degree, ef=max(effort, 2 * k), batch=512)
             p, q, s = index.links()
             # rows that came later are found in the finished graph
-            near, sim = index.search(x[inside], max(effort, 2 * k) + 1)
+            near, sim = index.search(x[inside], 2 * k + 6)
             r, c = np.nonzero((near >= 0) & (near != np.arange(len(inside))[:, None]) & (sim >= min_similarity))
             a, b, s = inside[np.concatenate([p, r])], inside[np.concatenate([q, near[r, c]])], np.concatenate([s, sim[r, c]])
             if len(asking):

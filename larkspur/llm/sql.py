@@ -27,17 +27,32 @@ WITH seqs AS (
   SELECT DISTINCT 'entity_term', hash_id, list_filter(string_split_regex(lower(text), '[\s\x{00a0}]+'), lambda x: x <> '') FROM entity_embedding),
 total AS (SELECT field, count(DISTINCT record) AS total FROM seqs GROUP BY field),
 grams AS (
-  SELECT field, record, n, array_to_string(terms[p : p + n - 1], chr(31)) AS gram
-  FROM (SELECT field, record, terms, unnest(range(1, len(terms) + 1)) AS p FROM seqs), (SELECT unnest(range(1, {max_n} + 1)) AS n)
+  SELECT field, record, n, terms[p : p + n - 1] AS gram
+  FROM (SELECT field, record, terms, p, unnest(range(1, {longest} + 1)) AS n FROM (SELECT field, record, terms, unnest(range(1, len(terms) + 1)) AS p FROM seqs))
   WHERE p + n - 1 <= len(terms)),
-counted AS (
+counted AS MATERIALIZED (
   SELECT field, n::INT AS n, gram, count(*) AS occurrences, count(DISTINCT record) AS records FROM grams GROUP BY ALL),
 marked AS (
   SELECT counted.*, CASE WHEN records = 1 THEN 'rare'
     WHEN records * 100 >= total * CASE field WHEN 'ner_entity' THEN 3 ELSE 2 END THEN 'common' ELSE '' END AS band
   FROM counted JOIN total USING (field))
 """
-
+_MAXIMAL = """, longer AS (SELECT DISTINCT field, gram[1 : n - 1] AS gram, occurrences FROM counted WHERE n > 1),
+top AS MATERIALIZED (SELECT * FROM marked ANTI JOIN longer USING (field, gram, occurrences)),
+prefix AS (SELECT field, gram AS whole, gram[1 : i] AS gram FROM (SELECT field, gram, unnest(range(1, n)) AS i FROM top)),
+above AS (SELECT p.field, p.whole AS gram, max(t.n) AS above FROM prefix p JOIN top t ON t.field = p.field AND t.gram = p.gram GROUP BY ALL)
+SELECT field, array_to_string(gram, chr(31)) AS gram, (coalesce(above, 0) + 1)::INT AS shortest, n AS longest, occurrences, records, band FROM top LEFT JOIN above USING (field, gram)
+"""
+_EARLY = """, stamp AS (SELECT min(epoch_us(written_at)) AS lo, max(epoch_us(written_at)) AS hi FROM ner_results),
+first AS (SELECT * FROM ner_results WHERE coalesce(epoch_us(written_at) <= (SELECT lo + (hi - lo) * 4 // 5 FROM stamp), true)),
+fmaps AS (
+  SELECT 'passage' AS k, unnest(map_entries(passage_hash_id_to_entities)) AS m FROM first
+  UNION ALL SELECT 'sentence', unnest(map_entries(sentence_to_entities)) FROM first),
+fitem AS (SELECT DISTINCT k, r, e FROM (SELECT k, m.key AS r, unnest(m.value) AS e FROM fmaps)),
+fresh AS (SELECT DISTINCT k, e FROM item ANTI JOIN fitem USING (k, r, e))
+SELECT k AS record_kind, a AS entity_a, b AS entity_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift FROM scored
+WHERE EXISTS (SELECT 1 FROM fresh f WHERE f.k = scored.k AND f.e = a) OR EXISTS (SELECT 1 FROM fresh f WHERE f.k = scored.k AND f.e = b)
+"""
 
 
 def _words(text: str) -> str:
@@ -46,7 +61,8 @@ def _words(text: str) -> str:
     joined = rf"regexp_replace({plain}, '[\x{{ad}}\x{{200b}}\x{{2060}}\x{{feff}}]', '', 'g')"
     for _ in range(2):
         joined = rf"regexp_replace({joined}, '(\p{{L}})(?:[-\x{{2010}}\x{{2011}}]\s*|[''\x{{2019}}])(\p{{L}})', '\1\2', 'g')"
-    return rf"regexp_extract_all(lower({joined}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+    apart = rf"regexp_replace({joined}, '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}])', ' \1 ', 'g')"
+    return rf"regexp_extract_all(lower({apart}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
 
 
 _LEAKS = f"""
@@ -61,6 +77,7 @@ SQL: dict[str, str] = {
     "p2_found": _PAIRS + "SELECT k AS record_kind, a AS entity_a, b AS entity_b FROM scored WHERE n_ab >= 5 AND n_ab * n >= 5 * n_a * n_b",
     "p2_pairs": _PAIRS + "SELECT k AS record_kind, a AS entity_a, b AS entity_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift FROM scored",
     "p7_found": _LEAKS,
-    "p6_found": _GRAMS.replace("{max_n}", "1") + "SELECT field, gram AS term, band FROM marked WHERE band <> ''",
-    "p6_ngrams": _GRAMS.replace("{max_n}", "3") + "SELECT field, n, gram, occurrences, records, band FROM marked",
+    "p6_found": _GRAMS.replace("{longest}", "1") + "SELECT field, gram[1] AS term, band FROM marked WHERE band <> ''",
+    "p6_ngrams": _GRAMS.replace("{longest}", "len(terms)") + _MAXIMAL,
+    "p2_changed": _PAIRS + _EARLY,
 }

@@ -145,6 +145,23 @@ def test_weights():
     assert -sum(v * __import__("math").log(v) for v in w.values()) == pytest.approx(0.5, abs=1e-6)
 
 
+def test_mix_larger_than_the_targets_allow(spark):
+    df = spark.createDataFrame([(i, "word " * 20, "big" if i % 10 else "small") for i in range(400)], "doc_id bigint, text string, source string")
+    target = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    free, bound = ({r["source"]: r for r in mix(df, "doc_id", "text", "source", target, block_docs=20, budget_share=b)[1].collect()} for b in (0.1, 1.0))
+    assert free["big"]["exponent"] == 1.0 and abs(free["small"]["reached_share"] - 0.5) < 0.02
+    assert 0 < bound["big"]["exponent"] < 1 and abs(bound["small"]["reached_share"] - 0.2) < 0.02 and bound["small"]["most_copies"] == 2
+    with pytest.raises(ValueError):
+        mix(df, "doc_id", "text", "source", target, most_sources=1)
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    item = "山上的石桥在一七四二年由村民建成并且从未倒塌"
+    docs = spark.createDataFrame([(1, f"前言。{item}。后记"), (2, "山上的村民"), (3, item[:4] + "，" + item[9:12])], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [(r["item_id"], r["doc_id"]) for r in leaked_items(docs, "doc_id", "text", items, "item_id", "text").collect()] == [(7, 1)]
+
+
 def test_token_count_is_exact(spark):
     df = spark.createDataFrame([("Hello world",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(token_count(F.col("t"))).collect()] == [2, 0, 0]
