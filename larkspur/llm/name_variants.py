@@ -9,10 +9,13 @@
 3. Each name splits into its core (the token shared by a family) and its
    qualifiers (given names, or the words that say what a place or body is).
    Equal forms collapse, so a name typed a million times is one form.
-4. Complete forms are star centres. A form with initials, nicknames,
-   abbreviations or dropped middle names meets the centres of its core by a
-   shared first letter, is verified by Monge-Elkan similarity over the
-   qualifiers, and joins the best centre; if two are equally good it joins none.
+4. Whole names meet by MinHash bands over the padded q-grams of the core and the
+   leading q-grams of the qualifiers, in any order; a band, of a large family
+   say, is split by the first letters in the name.
+5. Complete forms are star centres. A form with initials, nicknames,
+   abbreviations or dropped middle names that meets a centre of its core is
+   verified by Monge-Elkan similarity over the qualifiers and joins the best
+   centre; if two are equally good it joins none.
 
 Defined results: NULL and blank names are in no set; repeated rows of an id
 count once; names without any letter are equal only to themselves; an empty
@@ -206,8 +209,31 @@ def monge_elkan(a: list[str], b: list[str], other: dict[str, list[str]] | None =
     return total / len(a)
 
 
-def name_sets(df: DataFrame, id_col: str, text_col: str, nicknames: DataFrame, least: float = 0.88) -> DataFrame:
-    """``id, entity``: the set of names each row belongs to. `nicknames` has ``nickname, given_name``."""
+def _name_bands(forms: DataFrame, core: str, q: int, rows: int, bands: int) -> DataFrame:
+    """`forms` once for every band and letter: the bands of the MinHash signature of a whole name, each split by the first letters in it.
+
+    A name's q-grams are those of its core and the leading one of every other token, so that initials, nicknames (by the
+    letters of what they stand for) and any order of tokens leave most of them as they are.
+    """
+    lead = F.transform("letters", lambda c: F.concat(F.lit("#" * (q - 1)), c))
+    grams = forms.withColumn("g", F.transform(F.array_distinct(F.concat(_grams(F.col(core), q), lead)), lambda g: F.xxhash64(g)))
+    def lowest(seed: int) -> Column:
+        return F.array_min(F.transform("g", lambda h: F.xxhash64(h, F.lit(seed))))
+
+    sig = grams.withColumn("s", F.array(*[lowest(i) for i in range(rows * bands)])).drop("g")
+    parts = F.array(*[F.xxhash64(F.lit(b), *[F.col("s")[b * rows + r] for r in range(rows)]) for b in range(bands)])
+    return sig.withColumn("band", F.explode(parts)).withColumn("letter", F.explode(F.array_distinct("letters"))).drop("s", "letters")
+
+
+def name_sets(
+    df: DataFrame, id_col: str, text_col: str, nicknames: DataFrame, least: float = 0.88,
+    *, name_q: int = 3, name_rows: int = 3, name_similarity: float = 0.75, name_recall: float = 0.999,
+) -> DataFrame:
+    """``id, entity``: the set of names each row belongs to. `nicknames` has ``nickname, given_name``.
+
+    Names that share `name_similarity` of their q-grams, which forms of one name do even if an initial stands for a given
+    name and a second one is left out, meet in a band with probability `name_recall`.
+    """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"])
 
@@ -276,15 +302,18 @@ def name_sets(df: DataFrame, id_col: str, text_col: str, nicknames: DataFrame, l
     centre = forms.where("whole = 1").select(
         F.col("form").alias("centre"), "core", F.col("junior").alias("cj"), F.col("kind").alias("ck"), F.col("quals").alias("cq"), F.col("rows").alias("cr")
     )
-    letters = F.array_union(
+    initials = F.array_union(
         F.transform("quals", lambda w: F.substring(w, 1, 1)),
         F.coalesce(F.flatten(F.transform(F.map_values("other"), lambda g: F.transform(g, lambda w: F.substring(w, 1, 1)))), F.array().cast("array<string>")),
     )
     short = forms.where(~((F.col("whole") == 1) & (F.col("kind") != "person")) | F.col("whole").isNull() | ((F.col("kind") == "person") & (F.size("quals") == 1)))
-    asks = short.withColumn("letter", F.explode(F.array_distinct(letters)))
-    gives = centre.withColumn("letter", F.explode(F.array_distinct(F.transform("cq", lambda w: F.substring(w, 1, 1)))))
-    pairs = asks.join(gives, ["core", "letter"]).where(
-        (F.col("form") != F.col("centre"))
+    number = bands_for(name_similarity, name_recall, name_rows)
+    asks = _name_bands(short.withColumn("letters", initials), "core", name_q, name_rows, number)
+    gives = centre.withColumns({"letters": F.array_distinct(F.transform("cq", lambda w: F.substring(w, 1, 1))), "name": F.col("core")})
+    gives = _name_bands(gives.withColumnRenamed("core", "cc"), "name", name_q, name_rows, number)
+    pairs = asks.join(gives, ["band", "letter"]).where(
+        (F.col("core") == F.col("cc"))
+        & (F.col("form") != F.col("centre"))
         & ((F.col("kind") == F.col("ck")) | (F.col("whole") == 0))  # initials do not tell a place from a person
         & (F.col("junior") == F.col("cj"))
         & ((F.size("cq") == F.size("quals")) | (F.col("ck") == "person") & ((F.size("cq") > F.size("quals")) | (F.length(F.element_at("quals", -1)) == 1)))
