@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of scripts without spaces between words; each is a word of its own.
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: Thai, Lao, Burmese, Khmer, Kana and Han letters, which no spaces part; each is a word of its own.
+UNSPACED = r"([\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}])"
 #: Number of buckets of words whose frequency is kept: the bound of what an encoder carries.
 BUCKETS = 1 << 16
 

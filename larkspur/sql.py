@@ -15,7 +15,7 @@ _SUM = "sum(round({0}, 12)::DECIMAL(38,12))::DOUBLE"
 
 
 def _words(text: str) -> str:
-    unspaced = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+    unspaced = r"([\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}])"
     return rf"regexp_extract_all(regexp_replace(replace(lower({text}), 'ς', 'σ'), '{unspaced}', ' \1 ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]+')"
 
 
