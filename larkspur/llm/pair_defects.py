@@ -193,23 +193,28 @@ def pair_defects(df: DataFrame, key: str, question: str, gold: str, answers: lis
     lang = F.lit("en")
     for name, pattern in _QUESTION.items():
         lang = F.when(q.rlike(pattern), name).otherwise(lang)
-    lang = F.when(verdict, "en").otherwise(lang)
     low = F.lower(F.col("own"))
-    hits = {name: _count(low, _any(words)) for name, words in _WORDS.items()}
-    latin_question = _count(q, r"\p{IsLatin}") >= _count(q, r"[\p{L}&&[^\p{IsLatin}]]")
+    rows = rows.withColumns(
+        {
+            "truncated": truncated,
+            "lang": F.when(verdict, "en").otherwise(lang),
+            "latin": verdict | (_count(q, r"\p{IsLatin}") >= _count(q, r"[\p{L}&&[^\p{IsLatin}]]")),
+            "strange": _count(F.col("own"), r"[\p{L}&&[^\p{IsLatin}]]"),
+            **{f"hits_{name}": _count(low, _any(words)) for name, words in _WORDS.items()},
+        }
+    )
     # to a question in another script no language of Latin script is native
-    native = F.when(latin_question | verdict, F.coalesce(*[F.when(lang == name, n) for name, n in hits.items()])).otherwise(0)
-    best = F.greatest(*hits.values())
+    native = F.when(F.col("latin"), F.coalesce(*[F.when(F.col("lang") == name, F.col(f"hits_{name}")) for name in _WORDS])).otherwise(0)
+    best = F.greatest(*[f"hits_{name}" for name in _WORDS])
     other_words = (best > native) & (best >= F.when(verdict, 1).otherwise(2))
-    strange = _count(F.col("own"), r"[\p{L}&&[^\p{IsLatin}]]")
     # letters of the scripts the question is written in are not strange to it
     known_script = F.lit(0)
     for script in _SCRIPTS:
         known_script = known_script + F.when(q.rlike(script), _count(F.col("own"), script)).otherwise(0)
-    other_script = F.when(latin_question | verdict, strange >= 2).otherwise(strange - known_script >= 2)
+    other_script = (F.col("strange") >= 2) & (F.col("latin") | (F.col("strange") - known_script >= 2))
     asks_foreign = q.rlike(_FOREIGN) & ~verdict
-    other = ~asks_foreign & (other_script | other_words)
+    other = (other_script | other_words) & ~asks_foreign
 
-    flags = {"empty": F.col("empty"), "copies_question": F.col("copies_question"), "refusal": F.col("refusal"), "truncated": truncated, "other_language": other}
+    flags = {"empty": F.col("empty"), "copies_question": F.col("copies_question"), "refusal": F.col("refusal"), "truncated": F.col("truncated"), "other_language": other}
     defects = F.array_compact(F.array(*[F.when(F.coalesce(flags[d], F.lit(False)), d) for d in DEFECTS]))
     return rows.select("key", "field", defects.alias("defects")).where(F.size("defects") > 0).distinct()

@@ -61,7 +61,8 @@ def _words(text: str) -> str:
     joined = rf"regexp_replace({plain}, '[\x{{ad}}\x{{200b}}\x{{2060}}\x{{feff}}]', '', 'g')"
     for _ in range(2):
         joined = rf"regexp_replace({joined}, '(\p{{L}})(?:[-\x{{2010}}\x{{2011}}]\s*|[''\x{{2019}}])(\p{{L}})', '\1\2', 'g')"
-    apart = rf"regexp_replace({joined}, '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}])', ' \1 ', 'g')"
+    unspaced = r"([\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}])"
+    apart = rf"regexp_replace({joined}, '{unspaced}', ' \1 ', 'g')"
     return rf"regexp_extract_all(lower({apart}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
 
 
