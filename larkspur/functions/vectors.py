@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thai, Lao, Burmese, Khmer, Kana and Han letters, which no spaces part; each is a word of its own.
-UNSPACED = r"([\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}])"
+UNSPACED = r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
+#: A word: one such letter, or a run of other letters, marks and digits.
+WORD = UNSPACED + r"|[\p{L}\p{M}\p{N}&&[^" + UNSPACED[1:-1] + "]]+"
 #: Number of buckets of words whose frequency is kept: the bound of what an encoder carries.
 BUCKETS = 1 << 16
 
@@ -34,8 +36,7 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters, marks and digits of any script."""
-    low = F.translate(F.lower(text), "ς", "σ")
-    return F.regexp_extract_all(F.regexp_replace(low, UNSPACED, " $1 "), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.lower(text), "ς", "σ"), F.lit(WORD), F.lit(0))
 
 
 @lru_cache(1 << 16)
