@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import UNSPACED
+from ..functions.vectors import WORD
 
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
@@ -33,7 +33,7 @@ def words(text: Column) -> Column:
     """
     plain = F.regexp_replace(text, r"(?s)<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{1,10}|#\d{1,7});", " ")
     joined = F.regexp_replace(plain, r"[­​⁠﻿]|(?<=\p{L})[-\u2010\u2011]\s*(?=\p{L})|(?<=\p{L})['’](?=\p{L})", "")
-    return F.regexp_extract_all(F.lower(F.regexp_replace(joined, UNSPACED, " $1 ")), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(joined), F.lit(WORD), F.lit(0))
 
 
 def hashed(ws: Column) -> Column:
@@ -125,7 +125,7 @@ def leaked_items(
     hits = found.groupBy("doc_id", "item_id").agg(F.first("n").alias("n"), F.collect_set("at").alias("ats"))
     bound = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda i: F.sequence(i, i + run - 1)))))
     likely = hits.where(bound >= F.round(F.lit(share) * F.col("n"), 6)).select("doc_id", "item_id")
-    pairs = likely.join(doc.select("doc_id", words(F.col("text")).alias("dw")), "doc_id").join(item, "item_id")
+    pairs = likely.join(doc, "doc_id").select("doc_id", "item_id", words(F.col("text")).alias("dw")).join(item, "item_id")  # only texts that may hold an item are split again
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
