@@ -4,7 +4,7 @@ The rules follow the standard character properties for sentence breaks: a
 terminator (``Sentence_Break`` STerm or ATerm) with its closing marks ends a
 sentence, unless what follows continues it. To this come suppressed
 abbreviations per language, the closing of quotations and brackets, blank lines
-as breaks, and, for Thai, spaces, as it has no terminators.
+as breaks, and, for Thai and Lao, spaces, as they have no terminators.
 
 Defined results: NULL and blank texts give no sentence; a text without any
 boundary is one unit; repeated ids count once; offsets count code points of the
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Abbreviations that do not end a sentence (fixed values: English, German, French, Spanish, Russian, Greek, Hindi, Arabic).
+#: Abbreviations that do not end a sentence (fixed values: English, German, French, Spanish, Russian, Greek, Hindi, Arabic, Italian, Portuguese, Dutch, Polish, Swedish).
 INNER = set(
     "dr mr mrs ms prof rev capt col gen lt sgt hon gov sen rep st mt ft fig figs no nos vol vols pp ch sec ed eds cf vs viz approx e.g i.e eg ie "
     "jan feb mar apr jun jul aug sept sep oct nov dec up pt "
@@ -29,11 +29,17 @@ INNER = set(
     "sr sra srta ud uds aprox pág núm "
     "проф ул им тов гг стр рис см т.е т.н "
     "περ κ π.χ δηλ βλ "
-    "डॉ श्री प्रो د أ".split()
+    "डॉ श्री प्रो د أ "
+    "abb vgl kap bd ggf sog evtl hrsg "
+    "sig sigg dott avv pag pagg cfr "
+    "exmo exma "
+    "blz mevr dhr bijv "
+    "ul św tzw "
+    "t.ex bl.a s.k".split()
 )
 #: Abbreviations that may end a sentence: they do before a capital, a quotation or another script.
 OUTER = set(
-    "p.m a.m ltd co inc corp bros etc jr sr. u.k u.s u.s.a m.d ph.d b.a m.a esq г млн млрд μ "
+    "p.m a.m ltd co inc corp bros etc usw itd ecc jr sr. u.k u.s u.s.a m.d ph.d b.a m.a esq г млн млрд μ "
     "soc fdn found lib stud acad mus hosp comm assoc assn inst lab rly ry eng engg res med hist nav vly is univ dept bot tech nat coll".split()
 )
 #: Words that open sentences, to tell an initial at a sentence's end from one before a surname (fixed values).
@@ -48,11 +54,11 @@ _CLOSE = r"[\"'”’»›」』)\]）】]"
 _TOKEN = regex.compile(
     r"(?P<para>[^\S\n]*\n\s*?\n\s*)"
     r"|(?P<span>“[^“”\n]*(?:\n(?!\s*\n)[^“”\n]*)*”|„[^„“”\n]*(?:\n(?!\s*\n)[^„“”\n]*)*[“”]|«[^«»\n]*(?:\n(?!\s*\n)[^«»\n]*)*»|「[^「」\n]*(?:\n[^「」\n]*)*」|『[^『』]*』"
-    r"|(?<![\p{L}\p{N}])\"(?=\S)[^\"\n]{1,400}(?:\n(?!\s*\n)[^\"\n]{0,400})?\"(?!\p{L})"
-    r"|\((?:[^()\n]|\n(?!\s*\n)){0,300}\)|（[^（）\n]{0,300}）)"
+    r"|(?<![\p{L}\p{N}])\"(?=\S)[^\"\n]++(?:\n(?!\s*\n)[^\"\n]*+)*+\"(?!\p{L})"
+    r"|\((?:[^()\n]|\n(?!\s*\n))*+\)|（(?:[^（）\n]|\n(?!\s*\n))*+）)"
     r"|(?P<term>[\p{SB=STerm}\p{SB=ATerm}…]+(?:\s?[»]|" + _CLOSE + r")*)"
     r"|(?P<greek>;)"
-    r"|(?P<thai>(?<=[฀-๿\d])[^\S\n]*[ \n][^\S\n]*(?=\S))",
+    r"|(?P<spaced>(?<=[\p{Thai}\p{Lao}\d])[^\S\n]*[ \n][^\S\n]*(?=\S))",
 )
 _END = regex.compile(r"(?P<t>[\p{SB=STerm}\p{SB=ATerm}…]+)(?:\s?[»]|" + _CLOSE + r")*$")
 _STERM = regex.compile(r"[\p{SB=STerm}]")
@@ -63,6 +69,7 @@ _LOWER_WORD = regex.compile(r"(?r)(?<![\p{L}\p{N}.])(?:\p{Ll}{3,}|\d{3,})")
 _NAME_END = regex.compile(r"(?r)(?<![\p{L}.])\p{Lu}\p{Ll}{4,}")
 _NEXT_WORD = regex.compile(r"\p{L}+")
 _GREEK = regex.compile(r"\p{Greek}")
+_SPACED = regex.compile(r"[\p{Thai}\p{Lao}]")
 _INDEX = regex.compile(r"\s*\d+:")
 _SPACE = regex.compile(r"\s*")
 
@@ -138,13 +145,13 @@ def boundaries(text: str, start: int = 0) -> list[tuple[int, int]]:
         k = _SPACE.match(text, j).end()
         if k >= n:
             continue
-        if kind == "thai":
+        if kind == "spaced":
             left = text[m.start() - 1]
             if left.isdigit():  # a year glued to its word ends a sentence, a measure before its unit does not
                 i = m.start() - 1
                 while i > begin and (text[i - 1].isdigit() or text[i - 1] in ".,"):
                     i -= 1
-                if not (i > begin and "฀" <= text[i - 1] <= "๿"):
+                if not (i > begin and _SPACED.match(text, i - 1)):
                     continue
             if text[k].isdigit() or text[k] in "(":
                 continue

@@ -29,6 +29,10 @@ def cut(text):
         ["Ποιος πούλησε τον κήπο;", "Κανείς δεν μίλησε."],
         ["هل رأى Vibor الجسر؟", "لم يعترض أحد."],
         ["क्या Vibor ने पुल देखा?", "डॉ. Vibor आया।"],
+        ["Vgl. Kap. 4 und Abb. 3 zum Pegel.", "Niemand widersprach."],
+        ["Lo disse il Sig. Rossi a pag. 3 del libro.", "Nessuno rispose."],
+        ["Zie blz. 3 van het boek.", "Niemand klaagde."],
+        ["Mieszka na ul. Nowej od roku.", "Nikt nie odpowiedział."],
     ],
 )
 def test_sentences_with_spaces(parts):
@@ -44,6 +48,16 @@ def test_thai_layout_and_missing_space():
     assert cut("ระดับน้ำที่Tholสูง 7.9 เมตร ไม่มีใครคัดค้านViborเลย") == ["ระดับน้ำที่Tholสูง 7.9 เมตร", "ไม่มีใครคัดค้านViborเลย"]
     assert cut("History of Thol\n\nIt stood\nempty.The mill burned.") == ["History of Thol", "It stood\nempty.", "The mill burned."]
     assert cut("") == [] and cut(" \n\t") == [] and cut("no end") == ["no end"]
+    assert cut("ລະດັບນ້ຳສູງຂຶ້ນ ບໍ່ມີໃຜຄັດຄ້ານ") == ["ລະດັບນ້ຳສູງຂຶ້ນ", "ບໍ່ມີໃຜຄັດຄ້ານ"]
+
+
+@pytest.mark.parametrize("opens, closes", ["()", '""', "“”"])
+def test_long_quotations_and_brackets_follow_the_same_rules(opens, closes):
+    def ends(times):
+        return [len(cut(f"It fell {opens}{'we saw it. It is so,' * n} as they say{closes} at noon. Nobody objected.")) for n in times]
+
+    assert ends([1, 30, 3_000]) == [2, 2, 2]
+    assert len(cut(opens * 100_000 + " It fell. Nobody objected.")) <= 3  # never closed
 
 
 def test_split_sentences_on_a_table(spark):
