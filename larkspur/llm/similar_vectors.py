@@ -156,9 +156,8 @@ def similar_vectors(
             index = Shard(x[inside], m=degree, ef=max(effort, 2 * k), batch=512)
             p, q, s = index.links()
             # rows that came later are found in the finished graph
-            near, sim = index.search(x[inside], 2 * k + 6)
-            r, c = np.nonzero((near >= 0) & (near != np.arange(len(inside))[:, None]) & (sim >= min_similarity))
-            a, b, s = inside[np.concatenate([p, r])], inside[np.concatenate([q, near[r, c]])], np.concatenate([s, sim[r, c]])
+            p2, q2, s2 = index.again(2 * k + 4)
+            a, b, s = inside[np.concatenate([p, p2])], inside[np.concatenate([q, q2])], np.concatenate([s, s2])
             if len(asking):
                 near, sim = index.search(x[asking], max(effort, 2 * k))
                 r, c = np.nonzero((near >= 0) & (sim >= min_similarity))
