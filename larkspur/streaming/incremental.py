@@ -19,11 +19,11 @@ def add_passages(batch: DataFrame, path: str, namespace: str = "passage") -> Non
     append_store(embed(new), path)
 
 
-def follow(spark: SparkSession, source: str, path: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
+def follow(spark: SparkSession, source: str, path: str, checkpoint: str, files_per_batch: int = 1, namespace: str = "passage") -> StreamingQuery:
     """Follows a directory of Parquet files with a `text` column until all present files are taken in."""
     stream = spark.readStream.schema("text string").option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return (
-        stream.writeStream.foreachBatch(lambda df, _: add_passages(df, path))
+        stream.writeStream.foreachBatch(lambda df, _: add_passages(df, path, namespace))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
