@@ -231,3 +231,29 @@ def test_lsh_recall_of_the_registered_query(spark):
     hit = sum(r["sim"] >= least[r["src"]] for r in queries.lsh_knn(spark, sf).collect() if r["src"] in least)
     print("recall", hit / (10 * len(ids)))
     assert hit >= 0.95 * 10 * len(ids)
+
+
+def test_nearest_copies_no_rows_for_pairs_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (400, 6)).astype(float)  # many ties, some zero vectors
+    df = spark.createDataFrame([(f"e{i:03}", r.tolist()) for i, r in enumerate(x)], "id string, v array<double>")
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(n == 0, 1, n)
+    sims = np.round(u @ u.T, 6)
+    for k, least in ((3, None), (60, None), (5, 0.8), (None, 0.9)):
+        found = nearest(df, df, k, least, others=True, block_rows=64, query_rows=256)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+        want = set()
+        for i in range(400):
+            near = sorted((-sims[i, j], j) for j in range(400) if j != i and (least is None or sims[i, j] >= least))
+            want |= {(f"e{i:03}", f"e{j:03}", -s) for s, j in near[:k]}
+        assert {tuple(r) for r in found.collect()} == want
+    odd = spark.createDataFrame([("nan", [float("nan")] * 6), ("none", None)], "id string, v array<double>")
+    assert {r["sim"] for r in nearest(odd, df, 2).collect()} == {0.0}  # as SQL has it
+
+
+def test_nearest_of_nothing(spark):
+    none = spark.createDataFrame([], "id string, v array<float>")
+    some = spark.createDataFrame([("a", [1.0, 0.0])], "id string, v array<float>")
+    assert [nearest(q, b, 2).count() for q, b in ((none, none), (none, some), (some, none), (some, some))] == [0, 0, 0, 1]
