@@ -257,3 +257,15 @@ def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "id string, v array<float>")
     some = spark.createDataFrame([("a", [1.0, 0.0])], "id string, v array<float>")
     assert [nearest(q, b, 2).count() for q, b in ((none, none), (none, some), (some, none), (some, some))] == [0, 0, 0, 1]
+
+
+def test_attribute_boost_of_all_passages_makes_only_pairs_that_share_a_keyword(spark):
+    ask = ["Where was Ada born?", "When did Bo die?", "Who was it?", "What year, and where?", "Was Eve born where Bo was?", ""]
+    have = ["Ada was born somewhere.", "Nothing here.", "BORN in a year when it rained.", "Whenever.", ""]
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(ask)], "question_id string, question string")
+    p = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(have)], "hash_id string, text string")
+    words, sims = ("born", "where", "when", "year"), q.select("question_id").crossJoin(p.select("hash_id"))
+    want = {tuple(r) for r in search.attribute_boost(q, p, sims, words, 0.25).collect()}
+    for spread in (1, 16):
+        got = search.attribute_boost(q, p, None, words, 0.25, spread)
+        assert len(want) > 5 and sorted(map(tuple, got.collect())) == sorted(want)
