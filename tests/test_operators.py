@@ -269,3 +269,13 @@ def test_attribute_boost_of_all_passages_makes_only_pairs_that_share_a_keyword(s
     for spread in (1, 16):
         got = search.attribute_boost(q, p, None, words, 0.25, spread)
         assert len(want) > 5 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_passage_scores_shuffle_similarities_once(spark):
+    sims = spark.createDataFrame([("q", "p0", 0.8), ("q", "p1", 0.2), ("r", "p1", 0.3)], "question_id string, hash_id string, sim double")
+    bonus = spark.createDataFrame([("q", "p1", 1.0), ("q", "p2", 2.0), ("s", "p0", 0.5)], "question_id string, passage_id string, bonus double")
+    out = search.passage_scores(sims, bonus, 3, 0.5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    e = np.e
+    want = {("q", "p0"): e / 2, ("q", "p1"): (np.exp(0.25) + 1) / 2, ("q", "p2"): 1.5, ("r", "p1"): e / 2, ("s", "p0"): 0.75}
+    assert {(r[0], r[1]): r[2] for r in out.collect()} == pytest.approx(want)
