@@ -39,4 +39,4 @@ def test_sentences_found_from_entities_equal_those_of_all_near_ones(spark, eta):
 def test_propagation_makes_no_row_for_sentences_that_no_entity_asks_for(spark, monkeypatch):
     monkeypatch.setattr(retrieve.Index, "near", lambda *_: pytest.fail("all near sentences of all questions"))
     sf = "/root/testdata/sf0.001"
-    assert queries.hop1_semantic(spark, sf).count() > 0 and queries.hop1_structural(spark, sf).count() >= 0
+    assert queries.hop1_semantic(spark, sf).count() > 0 and queries.hop1_structural(spark, sf).count() >= 0 and queries.propagate_matrix(spark, sf).count() > 0
