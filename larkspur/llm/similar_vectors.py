@@ -21,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import packed
 from .hnsw import Shard
 
 SCHEMA = "id string, neighbour string, similarity float"
+#: Of a graph; `key` instead of `id` is a vector of more ids than answer for it.
+FOUND = "key binary, id string, neighbour string, similarity float"
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,34 +124,66 @@ def similar_vectors(
             vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(raw)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), vec], names=["id", "vec"])
 
+    def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # of a batch, no more rows of one vector than can matter
+            code = pc.dictionary_encode(b.column(1)).indices.to_numpy()
+            if b.num_rows and code[-1] + 1 == b.num_rows == len(np.unique(code)):
+                yield b
+                continue
+            name = _ranks(b.column(0))
+            by = np.lexsort((name, code))
+            by = by[np.concatenate([[True], (np.diff(code[by]) != 0) | (np.diff(name[by]) != 0)])] if len(by) else by
+            yield b.take(pa.array(by[_place(code[by]) < k + 2]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of their vectors and ids: a vector's `k + 1` smallest ids, and whether there are more."""
+        last, heads = None, []
+
+        def batch(done: list[tuple[bytes, list[str]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([h[: k + 1] for _, h in done], pa.list_(pa.string())), pa.array([len(h) > k + 1 for _, h in done], pa.bool_()), pa.array([v for v, _ in done], pa.binary())],
+                names=["head", "more", "vec"],
+            )
+
+        for b in batches:
+            done = []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if v != last:
+                    if last is not None:
+                        done.append((last, heads))
+                    last, heads = v, [i]
+                elif len(heads) < k + 2 and i != heads[-1]:
+                    heads.append(i)
+            yield batch(done)
+        if last is not None:
+            yield batch([(last, heads)])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vec = b.column(0), b.column(1)
+            head, key, vec = b.column(0), b.column(1), b.column(2)
             x = np.frombuffer(b"".join(vec.to_pylist()), dtype=np.float32).reshape(-1, dim)
             sim = x @ cent.T
             best = sim.max(axis=1, initial=-2.0)
             r, c = np.nonzero(sim >= (best - border)[:, None])
             home = c == sim.argmax(axis=1)[r] if len(r) else np.zeros(0, bool)
             # the graph of a spread cell in which a row is indexed follows from the row's hash
-            part = b.column(2).to_numpy()
+            part = b.column(3).to_numpy()
             copies = spread[c]
             rr, cc, hh = np.repeat(r, copies), np.repeat(c, copies), np.repeat(home, copies)
             g = np.arange(len(rr)) - np.repeat(np.cumsum(copies) - copies, copies)
             own = hh & (g == part[rr] % spread[cc])
             idx = pa.array(rr)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((first[cc] + g).astype(np.int32)), pa.array(own), ids.take(idx), vec.take(idx)],
-                names=["shard", "own", "id", "vec"],
+                [pa.array((first[cc] + g).astype(np.int32)), pa.array(own), head.take(idx), key.take(idx), vec.take(idx)],
+                names=["shard", "own", "head", "key", "vec"],
             )
 
     def graph(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy(zero_copy_only=False).astype(str)
+        group = group.combine_chunks()
+        group = group.take(pa.array(np.argsort(_ranks(pc.list_element(group["head"].combine_chunks(), 0)), kind="stable")))  # ties go by the smallest id
+        head, key = group["head"].combine_chunks(), group["key"].combine_chunks()
         x = np.frombuffer(b"".join(group["vec"].to_pylist()), dtype=np.float32).reshape(-1, dim)
         own = group["own"].to_numpy(zero_copy_only=False)
-        # repeated rows: once each, an indexed row before a row that only asks
-        by = np.lexsort((~own, ids))
-        keep = by[np.concatenate([[True], ids[by][1:] != ids[by][:-1]])]
-        ids, x, own = ids[keep], x[keep], own[keep]
         inside, asking = np.flatnonzero(own), np.flatnonzero(~own)
         a = b = np.zeros(0, np.int64)
         s = np.zeros(0, np.float32)
@@ -164,43 +199,78 @@ def similar_vectors(
                 a, b, s = np.concatenate([a, asking[r]]), np.concatenate([b, inside[near[r, c]]]), np.concatenate([s, sim[r, c]])
         ok = s >= min_similarity
         a, b, s = np.concatenate([a[ok], b[ok]]), np.concatenate([b[ok], a[ok]]), np.concatenate([s[ok], s[ok]])
-        _, once = np.unique(a * len(ids) + b, return_index=True)
+        _, once = np.unique(a * len(x) + b, return_index=True)
         a, b, s = a[once], b[once], s[once]
-        by = np.lexsort((b, -s, a))  # row numbers follow the ids here
-        a, b, s = a[by], b[by], s[by]
-        start = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-        rank = np.arange(len(a)) - np.maximum.accumulate(np.where(start, np.arange(len(a)), 0)) if len(a) else a
-        ok = rank < k
-        return pa.table({"id": pa.array(ids[a[ok]], pa.string()), "neighbour": pa.array(ids[b[ok]], pa.string()), "similarity": pa.array(s[ok], pa.float32())})
-
-    unit = src.mapInArrow(units, "id string, vec binary").withColumn("key", F.md5("vec"))
-    # a distinct vector goes by its smallest id, and by its key, as an id may have several vectors
-    distinct = unit.groupBy("key").agg(F.min("id").alias("id"), F.first("vec").alias("vec"))
-    distinct = distinct.select(F.concat("id", F.lit("\1"), "key").alias("id"), "vec", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("part"))
-    shards = distinct.mapInArrow(route, "shard int, own boolean, id string, vec binary")
-    found = cut(_best(shards.groupBy("shard").applyInArrow(graph, SCHEMA), k))  # read by both branches below
-
-    members = unit.select("key", "id").distinct()
-    place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    head = members.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("key").agg(F.collect_list("id").alias("head"))
-    head = cut(head.where(F.size("head") > 1))
-    parts = [f(c) for c in ("id", "neighbour") for f in (lambda c: F.right(F.col(c), F.lit(32)), lambda c: F.left(F.col(c), F.length(c) - 33))]
-    near = found.select(*[p.alias(c) for p, c in zip(parts, ("key", "id", "other", "neighbour"), strict=True)], "similarity")
-    ends = head.select(F.col("key").alias("other"), "head")
-    near = near.join(ends, "other", "left").select("key", "id", F.explode(F.coalesce("head", F.array("neighbour"))).alias("neighbour"), "similarity")
-    alone = near.join(head, "key", "left_anti").select("id", "neighbour", "similarity")
-    # rows of one vector share a short list: each other, then what is near to the vector
-    equal = head.select("key", F.explode("head").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity"))
-    lists = near.join(head, "key", "left_semi").select("key", "neighbour", "similarity").unionByName(equal.where(F.col("similarity") >= min_similarity))
-    lists = lists.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("far"), "neighbour"))).alias("list"))
-    others = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("id")), 1, k)
-    shared = members.join(lists, "key").select("id", F.explode(others).alias("x")).select("id", "x.neighbour", (-F.col("x.far")).alias("similarity"))
-    return _best(alone.where("id <> neighbour").unionByName(shared), k)
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    rank = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    once = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+        best = _top(a, b, s, k)  # row numbers follow the ids here
+        a, b, s = a[best], b[best], s[best]
+        # from vectors to their ids; the ids of one vector are near to each other
+        flat, size = head.flatten(), head.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at, name = np.cumsum(size) - size, _ranks(flat)
+        alike = np.flatnonzero(size > 1) if min_similarity <= 1 else np.zeros(0, np.int64)
+        a, b, s = np.concatenate([a, alike]), np.concatenate([b, alike]), np.concatenate([s, np.ones(len(alike), np.float32)])
+        a, s, j = np.repeat(a, size[b]), np.repeat(s, size[b]), _runs(at[b], size[b])
+        i, t, m = _runs(at[a], size[a]), np.repeat(s, size[a]), np.repeat(j, size[a])
+        other = name[i] != name[m]
+        i, t, m = i[other], t[other], m[other]
+        best = _top(i, name[m], t, k)
+        i, t, m = i[best], t[best], m[best]
+        # what further ids of a vector are near to
+        large = np.flatnonzero(key.is_valid().to_numpy(zero_copy_only=False)[a])
+        large = large[_top(a[large], name[j[large]], s[large], k + 1)]
+        return pa.table(
+            {
+                "key": pa.concat_arrays([pa.nulls(len(i), pa.binary()), key.take(pa.array(a[large]))]),
+                "id": pa.concat_arrays([flat.take(pa.array(i)), pa.nulls(len(large), pa.string())]),
+                "neighbour": flat.take(pa.array(np.concatenate([m, j[large]]))),
+                "similarity": pa.array(np.concatenate([t, s[large]]).astype(np.float32)),
+            }
+        )
+
+    unit = src.mapInArrow(units, "id string, vec binary")
+    # equal vectors meet once, in order, and go on as one row; no key goes with them, as the vector is it
+    alike = unit.mapInArrow(fewer, "id string, vec binary").repartition("vec").sortWithinPartitions("vec", "id")
+    distinct = alike.mapInArrow(fold, "head array<string>, more boolean, vec binary")
+    key = F.unhex(F.md5("vec"))
+    distinct = distinct.select("head", F.when(F.col("more"), key).alias("key"), "vec", F.pmod(F.xxhash64("vec"), F.lit(1 << 30)).alias("part"))
+    shards = distinct.mapInArrow(route, "shard int, own boolean, head array<string>, key binary, vec binary")
+    found = packed(shards.groupBy("shard").applyInArrow(graph, FOUND))  # read by both branches below
+    near, lists = found.where("id IS NOT NULL").drop("key"), found.where("key IS NOT NULL").drop("id")
+    if not lists.isEmpty():  # vectors of more than k + 1 ids: every further id takes the list of the vector
+        lists = _best(lists, "key", k + 1).groupBy("key").agg(F.collect_list(F.struct("neighbour", "similarity")).alias("list"))
+        shared = unit.select(key.alias("key"), "id").join(lists, "key").select("id", F.explode("list").alias("x")).select("id", "x.neighbour", "x.similarity")
+        near = near.unionByName(shared.where("id <> neighbour"))
+    return _best(near, "id", k)
+
+
+def _ranks(names: pa.Array) -> np.ndarray:
+    """The place of each name in their order; equal names share one."""
+    return pc.rank(names, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _place(group: np.ndarray) -> np.ndarray:
+    """The place of each row in its group; groups stand together."""
+    every = np.arange(len(group))
+    start = np.concatenate([[True], np.diff(group) != 0]) if len(group) else np.zeros(0, bool)
+    return every - np.maximum.accumulate(np.where(start, every, 0)) if len(group) else every
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each `start` on, as many as its `size`."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _top(group: np.ndarray, item: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers of the `k` best items of each group, each item once; ties go to the smaller one."""
+    by = np.lexsort((item, -sim, group))
+    pair = group[by] * (item.max(initial=0) + 1) + item[by]
+    by = by[np.sort(np.unique(pair, return_index=True)[1])]
+    return by[_place(group[by]) < k]
+
+
+def _best(found: DataFrame, of: str, k: int) -> DataFrame:
+    """The `k` best neighbours of each `of`, which meet in one shuffle."""
+    rank = Window.partitionBy(of).orderBy(F.desc("similarity"), "neighbour")
+    once = found.repartition(of).groupBy(of, "neighbour").agg(F.max("similarity").alias("similarity"))
     return once.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
 
 

@@ -67,6 +67,38 @@ def test_equal_vectors_are_one_row_of_the_graphs(spark, monkeypatch):
     assert mates and all({"e0000", "e0001"} <= near[f"{i:04d}"] for i in mates if x[i] @ x[0] >= np.sort(x @ x[i])[-2])
 
 
+def test_vectors_are_shuffled_twice_and_pairs_once(spark):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    x = np.random.default_rng(5).standard_normal((4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(x)], "hash_id string, embedding array<float>").repartition(4).localCheckpoint()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    began = written()
+    assert similar_vectors(df, "hash_id", "embedding", 5, border=0.0).count() == 5 * len(x)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    took = (written() - began) / x.nbytes
+    print("shuffled x vectors", took)
+    assert 1.9 < took < 3
+
+
+def test_every_id_of_equal_vectors_and_of_several_vectors(spark):
+    x = clusters(40, each=4)
+    rows = [(f"v{i:03d}", x[i]) for i in range(len(x))]
+    rows += [(f"{c}{n:03d}", x[i]) for c, i, m in (("a", 0, 3), ("b", 1, 9), ("z", 2, 30), ("y", 9, 2)) for n in range(m)]  # equal ones: few, many, before and behind
+    rows += [("v000", x[50]), ("b001", x[51]), ("z029", x[52]), ("z029", x[2])]  # ids of two vectors, and repeated rows
+    got = {}
+    for i, n, s in similar_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "hash_id string, embedding array<float>").repartition(3), "hash_id", "embedding", 4, 0.6, dim=16, effort=200).collect():
+        got.setdefault(i, {})[n] = s
+    s = np.stack([v for _, v in rows]) @ np.stack([v for _, v in rows]).T
+    for i in {i for i, _ in rows}:
+        best = {}
+        for r in (r for r, (n, _) in enumerate(rows) if n == i):
+            for c, (n, v) in enumerate(rows):
+                if n != i and s[r, c] >= 0.6:
+                    best[n] = max(best.get(n, -1), 1.0 if np.array_equal(v, rows[r][1]) else round(float(s[r, c]), 5))
+        want = dict(sorted(best.items(), key=lambda y: (-y[1], y[0]))[:4])
+        assert got.get(i, {}).keys() == want.keys() and all(abs(got[i][n] - want[n]) < 1e-4 for n in want), i
+
+
 def test_rows_inserted_later_are_found(spark):
     rng = np.random.default_rng(6)
     x = np.ones(16) + 0.05 * rng.standard_normal((2000, 16))  # one dense cell: near rows of most rows come later
