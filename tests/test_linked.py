@@ -5,7 +5,7 @@ import pytest
 from larkspur import queries
 from larkspur.functions.vectors import fit_encoder
 from larkspur.operators import propagate, search
-from larkspur.operators.nearest import Linked
+from larkspur.operators.nearest import Linked, nearest
 from larkspur.plans import retrieve
 
 
@@ -40,3 +40,26 @@ def test_propagation_makes_no_row_for_sentences_that_no_entity_asks_for(spark, m
     monkeypatch.setattr(retrieve.Index, "near", lambda *_: pytest.fail("all near sentences of all questions"))
     sf = "/root/testdata/sf0.001"
     assert queries.hop1_semantic(spark, sf).count() > 0 and queries.hop1_structural(spark, sf).count() >= 0 and queries.propagate_matrix(spark, sf).count() > 0
+
+
+def test_texts_of_an_encoder_and_vectors_of_queries_are_shuffled_once(spark):
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    rng = random.Random(3)
+    texts = spark.createDataFrame([(f"{rng.random()}", " ".join(f"{rng.getrandbits(60):x}" for _ in range(20))) for _ in range(2000)], "id string, v string").repartition(4).localCheckpoint()
+    began = written()
+    texts.dropDuplicates(["id"]).write.format("noop").mode("overwrite").save()
+    once, began = written() - began, written()
+    encode = fit_encoder(texts.dropDuplicates(["id"]), "v", dim=4)
+    assert once < written() - began < 1.8 * once
+
+    rows = spark.createDataFrame([(f"{rng.random()}", [rng.gauss(0, 1) for _ in range(64)]) for _ in range(3000)] + [("short", [1.0]), (None, [1.0] * 64)], "id string, v array<double>").repartition(4).localCheckpoint()
+    began = written()
+    assert nearest(rows, rows, 3, query_rows=700).count() == 9000
+    assert 0.9 < (written() - began) / (3000 * 64 * 8) < 1.5
+    few = rows.limit(2)
+    got = nearest(few, rows, 1).collect()
+    assert len(got) == 2 and all(r["query"] == r["item"] and r["sim"] == 1 for r in got) and nearest(rows.limit(0), rows, 1).count() == 0
+    assert nearest(texts.limit(5), texts, 1, encode=encode).count() == 5
