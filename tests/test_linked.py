@@ -63,3 +63,12 @@ def test_texts_of_an_encoder_and_vectors_of_queries_are_shuffled_once(spark):
     got = nearest(few, rows, 1).collect()
     assert len(got) == 2 and all(r["query"] == r["item"] and r["sim"] == 1 for r in got) and nearest(rows.limit(0), rows, 1).count() == 0
     assert nearest(texts.limit(5), texts, 1, encode=encode).count() == 5
+
+
+def test_what_is_found_is_not_broadcast_for_the_size_of_the_numbers_of_its_parts(spark):
+    rows = spark.createDataFrame([(f"r{i:03}", [float(i % 7), float(i % 11), 1.0]) for i in range(200)], "id string, v array<double>")
+    found = nearest(rows, rows, least=-1.0)
+    named = spark.createDataFrame([(f"r{i:03}", f"e{i}") for i in range(200)], "item string, name string")
+    joined = found.join(named.repartition(4), "item")
+    assert len(joined.collect()) == 200 * 200  # a join of two lists, of which the found one must not go through the driver
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
