@@ -72,3 +72,13 @@ def test_what_is_found_is_not_broadcast_for_the_size_of_the_numbers_of_its_parts
     joined = found.join(named.repartition(4), "item")
     assert len(joined.collect()) == 200 * 200  # a join of two lists, of which the found one must not go through the driver
     assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_and_passages_of_a_frequent_entity_meet_in_parts(spark):
+    active = spark.createDataFrame([(f"q{i}", e, 0.5 + i / 100, 1 + i % 2) for i in range(20) for e in ("hub", f"e{i % 3}")], "question_id string, entity_id string, score double, tier int")
+    occ = spark.createDataFrame([(f"p{i:02}", "hub", 1 + i % 4) for i in range(50)] + [(f"p{i:02}", f"e{i % 5}", 2) for i in range(8)], "passage_id string, entity_id string, n bigint")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    split = search.entity_bonus(active, occ, block=4)
+    assert rows(split) == rows(search.entity_bonus(active, occ, block=1000)) and split.count() == 20 * 50
+    keys = {x for line in split._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line for x in ("entity_id", "part") if x in line}
+    assert keys == {"entity_id", "part"}
