@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +32,26 @@ def test_retrieval_of_graphs_that_tasks_hold_equals_that_by_joins(spark, monkeyp
     monkeypatch.setattr(ppr, "EDGES", 0)
     want = rows()
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-9)
+
+
+def test_steps_over_all_edges_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(ppr, "TURNS", 3)  # so that vertices have more edges than there are turns
+    rng = np.random.default_rng(4)
+    n = 60
+    pairs = np.unique(np.concatenate([rng.integers(0, n, 200) * n + rng.integers(0, 5, 200), np.arange(n - 5) * n + np.arange(1, n - 4)]))
+    src, dst = pairs // n, pairs % n
+    p = 1 / np.bincount(src, minlength=n)[src]
+    g = ppr._Graph(np.arange(n), src, dst, p)
+    assert len(g.heads) and len(g.turns) == 3
+    for least in (0.0, 1e-3):
+        v, mass = np.array([0, 3, n - 1]), np.array([0.5, 0.3, 0.2])  # the last may have no edge that leaves it
+        got = np.zeros(n)
+        at, x = g.rank(v, mass, 0.5, 20, least)
+        got[at] = x
+        m, reset = np.zeros((n, n)), np.bincount(v, mass, n)
+        m[dst, src] = p
+        want = reset
+        for _ in range(20):
+            want = 0.5 * m @ want + reset * (0.5 + 0.5 * want[np.bincount(src, minlength=n) == 0].sum())
+            want = np.where(want >= least, want, 0.0)
+        assert np.allclose(got, want, atol=1e-15) and (got > 0).tolist() == (want > 0).tolist()
